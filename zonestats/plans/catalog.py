@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from zonestats.plans import reports_rank  # noqa: F401  (registers)
+from zonestats.plans import (  # noqa: F401  (importing registers the queries)
+    reports_clean,
+    reports_cluster,
+    reports_dims,
+    reports_io,
+    reports_rank,
+    reports_stats,
+)
 from zonestats.plans.registry import ORACLES, QUERIES, QueryFn
 
 

@@ -32,13 +32,18 @@ def register(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
     return deco
 
 
-def rounded(df: DataFrame, digits: int = 6, per_column: dict[str, int] | None = None) -> DataFrame:
-    """Round every double column (half away from zero, like SQL ``round``)."""
+def rounded(df: DataFrame, digits: int | None = 6,
+            per_column: dict[str, int | None] | None = None) -> DataFrame:
+    """Round double columns (half away from zero, like SQL ``round``).
+
+    ``per_column`` overrides ``digits`` per column; ``None`` leaves a column
+    as computed (for values both engines produce with the same operations).
+    """
     per_column = per_column or {}
     cols = []
     for f in df.schema.fields:
-        if isinstance(f.dataType, (DoubleType, FloatType)):
-            d = per_column.get(f.name, digits)
+        d = per_column.get(f.name, digits)
+        if isinstance(f.dataType, (DoubleType, FloatType)) and d is not None:
             cols.append(F.round(F.col(f.name), d).alias(f.name))
         else:
             cols.append(F.col(f.name))
