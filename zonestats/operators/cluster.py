@@ -36,18 +36,20 @@ DEFAULT_THRESHOLDS = {
 def standardize(df: DataFrame, cols: Sequence[str], suffix: str = "",
                 scales: Mapping[str, int] | None = None) -> DataFrame:
     """z = (x - mean) / population std, with a zero std replaced by 1
-    (scikit-learn ``StandardScaler``). Means and stds come from one
-    aggregate, attached as scalar subqueries: no join, no window.
+    (scikit-learn ``StandardScaler``). All means and stds come from one
+    aggregate, attached as a single struct-valued scalar subquery (one
+    extra pass over the input, no join, no window).
     ``scales`` marks fixed-point columns whose mean is an exact sum."""
     from zonestats.operators.stats import mean_expr
     scales = scales or {}
     stats = df.agg(*[mean_expr(c, scales.get(c)).alias(f"m_{i}") for i, c in enumerate(cols)],
                    *[F.stddev_pop(c).alias(f"s_{i}") for i, c in enumerate(cols)])
+    st = stats.select(F.struct(*stats.columns).alias("st")).scalar()
     out = df
     for i, c in enumerate(cols):
-        m = stats.select(f"m_{i}").scalar()
-        s = stats.select(F.when(F.col(f"s_{i}") == 0, F.lit(1.0)).otherwise(F.col(f"s_{i}"))).scalar()
-        out = out.withColumn(c + suffix, (F.col(c) - m) / s)
+        sd = st.getField(f"s_{i}")
+        sd = F.when(sd == 0, F.lit(1.0)).otherwise(sd)
+        out = out.withColumn(c + suffix, (F.col(c) - st.getField(f"m_{i}")) / sd)
     return out
 
 
@@ -56,43 +58,70 @@ def _vectors(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataF
     return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="error").transform(df)
 
 
+# k-means settings of the reference (scikit-learn defaults): up to 300
+# Lloyd iterations, tolerance 1e-4, seed 42.
+KMEANS_MAX_ITER = 300
+KMEANS_TOL = 1e-4
+
+
+def _kmeans(k: int, seed: int, max_iter: int, features: str, prediction: str = "prediction"):
+    from pyspark.ml.clustering import KMeans
+    # "block" evaluates distances as blocked matrix products (dense vectors)
+    return KMeans(k=int(k), seed=seed, maxIter=max_iter, tol=KMEANS_TOL, solver="block",
+                  featuresCol=features, predictionCol=prediction)
+
+
 def elbow(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(2, 10), seed: int = 42,
-          max_iter: int = 20) -> DataFrame:
+          max_iter: int = KMEANS_MAX_ITER, parallelism: int = 4) -> DataFrame:
     """k-means inertia (within-cluster sum of squares) for each k, on the
-    given (already standardised) columns. The vectors are persisted for
-    the fits and released afterwards; lost blocks are recomputed."""
-    from pyspark.ml.clustering import KMeans
+    given (already standardised) columns.
+
+    The vectors are persisted once for all fits and released afterwards
+    (lost blocks are recomputed from lineage). The fits are independent
+    Spark jobs, submitted from ``parallelism`` driver threads so the
+    cluster is not idle between the short iteration jobs of one fit.
+    """
+    from concurrent.futures import ThreadPoolExecutor
     vec = _vectors(df.select(*cols).dropna(), cols).select("features")
     vec = vec.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        costs = []
-        for k in ks:
-            model = KMeans(k=int(k), seed=seed, maxIter=max_iter, featuresCol="features").fit(vec)
-            costs.append((int(k), float(model.summary.trainingCost)))
+        vec.count()
+
+        def fit(k: int) -> tuple[int, float]:
+            model = _kmeans(k, seed, max_iter, "features").fit(vec)
+            return int(k), float(model.summary.trainingCost)
+
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+            costs = sorted(pool.map(fit, list(ks)))
     finally:
         vec.unpersist()
     return df.sparkSession.createDataFrame(costs, "k int, inertia double")
 
 
 def kmeans_labels(df: DataFrame, cols: Sequence[str], k: int = 4, seed: int = 42,
-                  out: str = "cluster", max_iter: int = 20) -> DataFrame:
-    """Append a k-means cluster number. Cluster numbers are made
-    deterministic by renumbering the centres in lexicographic order."""
-    from pyspark.ml.clustering import KMeans
-    vec = _vectors(df, cols, "_features")
-    model = KMeans(k=int(k), seed=seed, maxIter=max_iter, featuresCol="_features",
-                   predictionCol="_pred").fit(vec)
+                  out: str = "cluster", max_iter: int = KMEANS_MAX_ITER) -> DataFrame:
+    """Append a k-means cluster number. The model is fitted on persisted
+    feature vectors (released after the fit); labelling is a lazy
+    transform of ``df``. Cluster numbers are made deterministic by
+    renumbering the centres in lexicographic order."""
+    train = _vectors(df.select(*cols).dropna(), cols, "_features").select("_features")
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = _kmeans(k, seed, max_iter, "_features", "_pred").fit(train)
+    finally:
+        train.unpersist()
     centres = [tuple(float(x) for x in c) for c in model.clusterCenters()]
     order = sorted(range(len(centres)), key=lambda i: centres[i])
     remap = F.create_map(*[x for new, old in enumerate(order) for x in (F.lit(old), F.lit(new))])
-    return model.transform(vec).withColumn(out, F.element_at(remap, F.col("_pred"))) \
-                .drop("_features", "_pred")
+    labelled = model.transform(_vectors(df, cols, "_features"))
+    return labelled.withColumn(out, F.element_at(remap, F.col("_pred"))).drop("_features", "_pred")
 
 
 def pca2(df: DataFrame, cols: Sequence[str], names: Sequence[str] = ("PC1", "PC2")) -> DataFrame:
     """Scores on the first two principal components of (standardised,
-    centred) columns. The sign of each component is fixed so that its
-    largest absolute loading is positive; scores are column arithmetic."""
+    centred) columns. The covariance is one distributed pass; the sign of
+    each component is fixed so that its largest absolute loading is
+    positive; scores are column arithmetic on ``df``."""
     from pyspark.ml.feature import PCA
     vec = _vectors(df.select(*cols).dropna(), cols)
     model = PCA(k=2, inputCol="features", outputCol="_pca").fit(vec)

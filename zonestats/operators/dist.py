@@ -37,10 +37,8 @@ def _attach(rows: DataFrame, per_group: DataFrame, keys: Sequence[str], cols: Se
     subqueries for the whole-column case (no join at all)."""
     if keys:
         return rows.join(per_group.select(*keys, *cols), list(keys))
-    out = rows
-    for c in cols:
-        out = out.withColumn(c, per_group.select(c).scalar())
-    return out
+    st = per_group.select(F.struct(*cols).alias("st")).scalar()
+    return rows.withColumns({c: st.getField(c) for c in cols})
 
 
 def round_frac(x: Column, precision: int = 3) -> Column:
@@ -86,7 +84,8 @@ def frequency_table(df: DataFrame, value: str, keys: Sequence[str] = (),
                    .otherwise(i.cast("double") * step + F.col("_start")))
     g = g.withColumn("_edges", edges)
 
-    rows = _attach(src.where(F.col(value).isNotNull()), g, keys, ["_edges"])
+    rows = _attach(src.where(F.col(value).isNotNull()), g, keys, ["_edges"]) \
+        .where(F.col("_edges").isNotNull())
     cls = F.size(F.filter(F.col("_edges"), lambda e: e < F.col(value)))
     counts = rows.groupBy(*keys, cls.alias("class")).agg(F.count(F.lit(1)).alias("freq"))
 
@@ -124,7 +123,7 @@ def kde(df: DataFrame, value: str, keys: Sequence[str] = (), bw: float = 0.1,
     g = g.withColumn("_h", F.lit(float(bw)) * F.col("_sd")) \
          .where(F.col("_h").isNotNull() & (F.col("_h") > 0))
     collapsed = src.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w"))
-    rows = _attach(collapsed, g, keys, ["_n", "_h", "_mn", "_mx"])
+    rows = _attach(collapsed, g, keys, ["_n", "_h", "_mn", "_mx"]).where(F.col("_h").isNotNull())
     step = (F.col("_mx") - F.col("_mn")) / F.lit(float(grid - 1))
     pts = rows.select(*keys, value, "_w", "_n", "_h", "_mn", "_mx",
                       F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point"))

@@ -72,9 +72,9 @@ def centre_stats(df: DataFrame, value: str, keys: Sequence[str] = (), scale: int
     modes = mode_all(src, value, keys, out=mode_n)
     if keys:
         return modes.join(means, keys).join(med, keys).select(*keys, mean_n, median_n, mode_n)
-    return (modes.withColumn(mean_n, means.select(mean_n).scalar())
-                 .withColumn(median_n, med.select(median_n).scalar())
-                 .select(mean_n, median_n, mode_n))
+    return modes.withColumns({mean_n: means.select(mean_n).scalar(),
+                              median_n: med.select(median_n).scalar()}) \
+                .select(mean_n, median_n, mode_n)
 
 
 def spread_stats(df: DataFrame, value: str, keys: Sequence[str] = (),
@@ -144,9 +144,9 @@ def box_stats(df: DataFrame, value: str, keys: Sequence[str] = (),
     if keys:
         j = src.join(pos.select(*keys, "lower_fence", "upper_fence"), keys)
     else:
-        fences = pos.select("lower_fence", "upper_fence")
-        j = src.withColumn("lower_fence", fences.select("lower_fence").scalar()) \
-               .withColumn("upper_fence", fences.select("upper_fence").scalar())
+        st = pos.select(F.struct("lower_fence", "upper_fence").alias("st")).scalar()
+        j = src.withColumns({"lower_fence": st.getField("lower_fence"),
+                             "upper_fence": st.getField("upper_fence")})
     inside = (F.col(value) >= F.col("lower_fence")) & (F.col(value) <= F.col("upper_fence"))
     w = _group(j, keys,
                F.min(F.when(inside, F.col(value))).alias("lower_whisker"),
@@ -155,8 +155,8 @@ def box_stats(df: DataFrame, value: str, keys: Sequence[str] = (),
     if keys:
         out = pos.join(w, keys)
     else:
-        out = pos
-        for c in ("lower_whisker", "upper_whisker", "n_outliers"):
-            out = out.withColumn(c, w.select(c).scalar())
+        cols = ("lower_whisker", "upper_whisker", "n_outliers")
+        st = w.select(F.struct(*cols).alias("st")).scalar()
+        out = pos.withColumns({c: st.getField(c) for c in cols})
     return out.select(*keys, "q1", F.col("q2").alias("median"), "q3", "lower_whisker",
                       "upper_whisker", "n_outliers")
