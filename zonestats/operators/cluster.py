@@ -59,15 +59,34 @@ def _vectors(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataF
 
 
 # k-means settings of the reference (scikit-learn defaults): up to 300
-# Lloyd iterations, tolerance 1e-4, seed 42.
+# Lloyd iterations, relative tolerance 1e-4, seed 42.
 KMEANS_MAX_ITER = 300
 KMEANS_TOL = 1e-4
 
 
-def _kmeans(k: int, seed: int, max_iter: int, features: str, prediction: str = "prediction"):
+def spark_tol(mean_variance: float, k: int, rel_tol: float = KMEANS_TOL) -> float:
+    """Translate scikit-learn's stopping rule to Spark's.
+
+    scikit-learn stops when the *sum* over centres of squared centre shifts
+    is at most ``rel_tol * mean feature variance``; Spark stops when *every*
+    centre moved less than ``tol``. With tol = sqrt(rel_tol * var / k) the
+    Spark rule implies the scikit-learn one (k shifts each below tol^2),
+    without iterating far past it.
+    """
+    return max(1e-12, (rel_tol * max(mean_variance, 0.0) / max(k, 1)) ** 0.5)
+
+
+def _mean_variance(df: DataFrame, cols: Sequence[str]) -> float:
+    r = df.agg(*[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(cols)]).first()
+    vals = [r[f"v{i}"] for i in range(len(cols)) if r[f"v{i}"] is not None]
+    return sum(vals) / len(vals) if vals else 0.0
+
+
+def _kmeans(k: int, seed: int, max_iter: int, features: str, prediction: str = "prediction",
+            tol: float = KMEANS_TOL):
     from pyspark.ml.clustering import KMeans
     # "block" evaluates distances as blocked matrix products (dense vectors)
-    return KMeans(k=int(k), seed=seed, maxIter=max_iter, tol=KMEANS_TOL, solver="block",
+    return KMeans(k=int(k), seed=seed, maxIter=max_iter, tol=tol, solver="block",
                   featuresCol=features, predictionCol=prediction)
 
 
@@ -76,25 +95,25 @@ def elbow(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(2, 10),
     """k-means inertia (within-cluster sum of squares) for each k, on the
     given (already standardised) columns.
 
-    The vectors are persisted once for all fits and released afterwards
-    (lost blocks are recomputed from lineage). The fits are independent
+    The feature columns are persisted once for all fits and released
+    afterwards (lost blocks are recomputed from lineage). The fits are independent
     Spark jobs, submitted from ``parallelism`` driver threads so the
     cluster is not idle between the short iteration jobs of one fit.
     """
     from concurrent.futures import ThreadPoolExecutor
-    vec = _vectors(df.select(*cols).dropna(), cols).select("features")
-    vec = vec.persist(StorageLevel.MEMORY_AND_DISK)
+    clean = df.select(*cols).dropna().persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        vec.count()
+        var = _mean_variance(clean, cols)
+        vec = _vectors(clean, cols).select("features")
 
         def fit(k: int) -> tuple[int, float]:
-            model = _kmeans(k, seed, max_iter, "features").fit(vec)
+            model = _kmeans(k, seed, max_iter, "features", tol=spark_tol(var, k)).fit(vec)
             return int(k), float(model.summary.trainingCost)
 
         with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
             costs = sorted(pool.map(fit, list(ks)))
     finally:
-        vec.unpersist()
+        clean.unpersist()
     return df.sparkSession.createDataFrame(costs, "k int, inertia double")
 
 
@@ -104,12 +123,13 @@ def kmeans_labels(df: DataFrame, cols: Sequence[str], k: int = 4, seed: int = 42
     feature vectors (released after the fit); labelling is a lazy
     transform of ``df``. Cluster numbers are made deterministic by
     renumbering the centres in lexicographic order."""
-    train = _vectors(df.select(*cols).dropna(), cols, "_features").select("_features")
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    clean = df.select(*cols).dropna().persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model = _kmeans(k, seed, max_iter, "_features", "_pred").fit(train)
+        tol = spark_tol(_mean_variance(clean, cols), k)
+        train = _vectors(clean, cols, "_features").select("_features")
+        model = _kmeans(k, seed, max_iter, "_features", "_pred", tol=tol).fit(train)
     finally:
-        train.unpersist()
+        clean.unpersist()
     centres = [tuple(float(x) for x in c) for c in model.clusterCenters()]
     order = sorted(range(len(centres)), key=lambda i: centres[i])
     remap = F.create_map(*[x for new, old in enumerate(order) for x in (F.lit(old), F.lit(new))])
@@ -123,8 +143,11 @@ def pca2(df: DataFrame, cols: Sequence[str], names: Sequence[str] = ("PC1", "PC2
     each component is fixed so that its largest absolute loading is
     positive; scores are column arithmetic on ``df``."""
     from pyspark.ml.feature import PCA
-    vec = _vectors(df.select(*cols).dropna(), cols)
-    model = PCA(k=2, inputCol="features", outputCol="_pca").fit(vec)
+    clean = df.select(*cols).dropna().persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = PCA(k=2, inputCol="features", outputCol="_pca").fit(_vectors(clean, cols))
+    finally:
+        clean.unpersist()
     pc = model.pc.toArray()  # d x 2 loadings (driver metadata)
     out = df
     for j, name in enumerate(names):
