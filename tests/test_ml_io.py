@@ -85,3 +85,36 @@ def test_jdbc_options():
     assert o2["dbtable"] == "energias.servicios_detalle" and "password" not in o2
     with pytest.raises(ValueError):
         jdbc_options("u")
+
+
+def test_census_build_from_sheet_export(spark):
+    """DM4: preamble/footer cut by predicate, unnamed columns renamed,
+    strict integer casts, identifying text columns dropped."""
+    from zonestats.operators.clean import drop_columns, rename_columns, strict_int_cast
+    d = tempfile.mkdtemp(prefix="zs-census-")
+    p = os.path.join(d, "census.csv")
+    lines = [f"preamble {i},,,," for i in range(8)]
+    lines += [",,,,Personas en NBI", "91,AMAZONAS,91001,LETICIA,41.5,12.0,350",
+              "91,AMAZONAS,91001005,SANTA SOFIA,80.25,60.0,1200",
+              "Fuente: censo,,,,,,", "Nota,,,,,,"]
+    with open(p, "w") as f:
+        f.write("\n".join(lines) + "\n")
+    raw = read_preamble_csv(
+        spark, p,
+        "c0 string, c1 string, c2 string, c3 string, nbi double, servicios double, c6 string",
+        is_number("c2"))
+    census = rename_columns(raw, {"c2": "id_centro_poblado", "c6": "personas_hogares_particulares"})
+    census = strict_int_cast(census, ["id_centro_poblado", "personas_hogares_particulares"], "int")
+    census = drop_columns(census, ["c0", "c1", "c3"])
+    rows = sorted(census.collect())
+    assert census.columns == ["id_centro_poblado", "nbi", "servicios", "personas_hogares_particulares"]
+    assert [tuple(r) for r in rows] == [(91001, 41.5, 12.0, 350), (91001005, 80.25, 60.0, 1200)]
+
+
+def test_parquet_sink_partitioned(spark):
+    from zonestats.sources.files import write_parquet
+    d = tempfile.mkdtemp(prefix="zs-pq-")
+    df = spark.createDataFrame([(1, "a", 2.0), (2, "b", 3.0), (3, "a", 4.0)], "id int, k string, v double")
+    write_parquet(df, os.path.join(d, "t"), partition_by=["k"])
+    back = spark.read.parquet(os.path.join(d, "t")).where("k = 'a'")
+    assert sorted(r["id"] for r in back.collect()) == [1, 3]
