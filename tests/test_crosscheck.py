@@ -119,3 +119,32 @@ def test_kde_vs_numpy(spark):
         assert np.allclose(mine["density"].values, y, rtol=1e-10, atol=0)
         # mass inside [min, max] is at most 1
         assert np.trapezoid(mine["density"].values, grid) <= 1.0 + 1e-9
+
+
+def test_hot_value_pair_is_collapsed_and_exact(spark):
+    """One (group, value) pair holds a third of all rows."""
+    from zonestats.operators.order_stats import weighted_positions
+    rng = np.random.default_rng(3)
+    n = 6000
+    g = rng.integers(0, 5, n)
+    v = np.round(rng.uniform(0, 10, n), 1)
+    g[: n // 3], v[: n // 3] = 2, 24.0
+    pdf = pd.DataFrame({"g": g.astype("int64"), "v": v})
+    df = spark.createDataFrame(pdf).repartition(5)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "37")  # many Arrow batches per partition: runs span batches
+    try:
+        pos = weighted_positions(df, ["g"], "v", num_partitions=3).toPandas()
+    finally:
+        spark.conf.set(key, old)
+    assert len(pos) == len(pdf.drop_duplicates())
+    for (gg, vv), row in pos.set_index(["g", "v"]).iterrows():
+        grp = pdf[pdf.g == gg]
+        assert row["_before"] == (grp.v < vv).sum() and row["_w"] == (grp.v == vv).sum()
+        assert row["_n"] == len(grp)
+    got = exact_quantiles(df, "v", [0.25, 0.75], ["g"], names=["q1", "q3"], median_name="med",
+                          num_partitions=7).toPandas().set_index("g")
+    for gg, s in pdf.groupby("g")["v"]:
+        assert got.loc[gg, "q1"] == s.quantile(0.25) and got.loc[gg, "q3"] == s.quantile(0.75)
+        assert got.loc[gg, "med"] == s.median()

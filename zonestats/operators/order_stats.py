@@ -1,25 +1,32 @@
-"""Exact ranks and quantiles that scale with hot groups.
+"""Exact ranks and quantiles that scale with hot groups and hot values.
 
 Spark's exact ``percentile``/``median`` aggregates merge a map of every
 distinct value of a group inside one task; a group holding a third of a
 100 TB table would not fit. Window functions partitioned by the group have
 the same single-task problem. Here ranks are computed instead from a range
-partitioning on (group, value):
-
-1. ``repartitionByRange(group, value)`` splits even a hot group over many
-   partitions; ``sortWithinPartitions`` orders each one (spillable sort).
-2. Each row gets its partition id and a position id; per (partition, group)
-   segment we keep the first position and the row count. This table has at
-   most (#groups + #partitions) rows.
-3. A window over that small table, partitioned by group and ordered by
-   partition id, gives each segment its offset inside the group and the
-   group size.
-4. Joining rows to their segment on (partition id, group) gives the exact
-   0-based rank. The join key contains the partition id, so a hot group is
-   spread over many join tasks; AQE broadcasts the segment table when small.
-
-Quantiles then only need the rows at the interpolation ranks (an equality
-filter on rank), followed by a tiny ``groupBy``.
+partitioning on (group, value).
+
+Quantiles (``exact_quantiles``):
+
+1. Collapse to one row per distinct (group, value) with its multiplicity,
+   a partial aggregate: a (group, value) pair holding a third of all rows
+   becomes one row before any shuffle, and duplicates never travel.
+2. ``repartitionByRange(group, value)`` on the collapsed rows (all keys are
+   distinct, so the range bounds split even a hot group evenly) and sort
+   each partition.
+3. Inside each sorted partition, the exclusive running sum of the
+   multiplicities per group segment (a vectorised per-partition scan).
+4. Per (partition, group) segment totals, a window over that small table
+   (partitioned by group, ordered by partition id) gives each segment its
+   offset inside the group and the group size. Joining on (partition id,
+   group) keeps a hot group spread; AQE broadcasts the segment table when
+   it is small.
+5. Each collapsed row covers the rank interval [before, before + count);
+   only rows covering an interpolation rank survive, then a tiny groupBy.
+
+Per-row ranks (``exact_ranks``) use the same layout without the collapse,
+with a content hash as a deterministic tie-breaker so equal values can be
+split over partitions.
 
 Interpolation follows numpy's "linear" method bit for bit, including its
 symmetric form ``hi - (hi - lo) * (1 - t)`` for ``t >= 0.5``; the median of
@@ -30,8 +37,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 
 def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
@@ -40,37 +49,121 @@ def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _not_null(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    for c in cols:
+        df = df.where(F.col(c).isNotNull())
+    return df
+
+
+def _segment_offsets(s: DataFrame, keys: list[str], weight: Column) -> DataFrame:
+    """(partition, group) segments of a range-partitioned frame with the
+    number of rows of the group in earlier partitions (_off) and the group
+    size (_n). At most #groups + #partitions rows."""
+    seg = s.groupBy(F.spark_partition_id().alias("_pid"), *keys).agg(weight.alias("_cnt"))
+    by_group = Window.partitionBy(*keys) if keys else Window.partitionBy()
+    before = by_group.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    return seg.select(
+        "_pid", *keys,
+        F.coalesce(F.sum("_cnt").over(before), F.lit(0)).cast("long").alias("_off"),
+        F.sum("_cnt").over(by_group).cast("long").alias("_n"),
+    )
+
+
+def _stable(s: DataFrame) -> DataFrame:
+    """The offsets and the rows below are two reads of one range-partitioned
+    frame; they agree because Spark reuses the exchange (default). If the
+    session turned exchange reuse off, pin the partitioning by a reliable
+    checkpoint in the configured checkpoint folder."""
+    if s.sparkSession.conf.get("spark.sql.exchange.reuse", "true").lower() != "true":
+        return s.checkpoint(eager=True)
+    return s
+
+
 def exact_ranks(df: DataFrame, keys: Sequence[str], value: str,
                 num_partitions: int | None = None) -> DataFrame:
     """Rows of ``df`` (keys, value non-null) with ``_rank`` (0-based position
-    of the value inside its group, ascending) and ``_n`` (group size)."""
+    of the value inside its group, ascending) and ``_n`` (group size).
+
+    Equal values are ordered by a hash of the whole row, so a run of equal
+    values can be split across partitions (only rows identical in every
+    column stay together)."""
     keys = list(keys)
-    src = df
-    for k in keys:
-        src = src.where(F.col(k).isNotNull())
-    src = src.where(F.col(value).isNotNull())
+    src = _not_null(df, [*keys, value])
     n_parts = _num_partitions(df, num_partitions)
-    s = (src.repartitionByRange(n_parts, *keys, value)
-            .sortWithinPartitions(*keys, value)
-            .withColumn("_pid", F.spark_partition_id())
-            .withColumn("_mid", F.monotonically_increasing_id()))
-    seg = s.groupBy("_pid", *keys).agg(
-        F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
+    tie = F.xxhash64(*[F.col(c) for c in df.columns])
+    s = _stable(src.withColumn("_tie", tie)
+                   .repartitionByRange(n_parts, *keys, value, "_tie")
+                   .sortWithinPartitions(*keys, value, "_tie")
+                   .withColumn("_pid", F.spark_partition_id())
+                   .withColumn("_mid", F.monotonically_increasing_id()))
+    seg = s.groupBy("_pid", *keys).agg(F.min("_mid").alias("_first"),
+                                       F.count(F.lit(1)).alias("_cnt"))
     by_group = Window.partitionBy(*keys) if keys else Window.partitionBy()
     before = by_group.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    seg = seg.select(
-        "_pid", *keys, "_first",
-        F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"),
-        F.sum("_cnt").over(by_group).alias("_n"),
-    )
+    seg = seg.select("_pid", *keys, "_first",
+                     F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"),
+                     F.sum("_cnt").over(by_group).alias("_n"))
     ranked = s.join(seg, ["_pid", *keys], "inner")
     return ranked.select(
-        *[c for c in df.columns],
+        *df.columns,
         (F.col("_off") + F.col("_mid") - F.col("_first")).alias("_rank"),
         F.col("_n"),
     )
 
 
+def _prefix_schema(base: StructType) -> StructType:
+    return StructType(list(base.fields) + [StructField("_pid", IntegerType(), False),
+                                          StructField("_lc", LongType(), False)])
+
+
+def _local_prefix(keys: list[str]):
+    """Per sorted partition: exclusive running sum of ``_w`` within each run
+    of equal keys (state carried across Arrow batches)."""
+    def run(batches):
+        from pyspark import TaskContext
+        pid = TaskContext.get().partitionId()
+        last_key = None
+        carry = 0
+        for pdf in batches:
+            n = len(pdf)
+            if n == 0:
+                yield pdf.assign(_pid=np.int32(pid), _lc=np.int64(0))
+                continue
+            w = pdf["_w"].to_numpy(dtype=np.int64)
+            change = np.zeros(n, dtype=bool)
+            for k in keys:
+                col = pdf[k].to_numpy()
+                change[1:] |= col[1:] != col[:-1]
+            first_key = tuple(pdf[k].iloc[0] for k in keys)
+            continues = last_key is not None and first_key == last_key
+            change[0] = True
+            seg = np.cumsum(change) - 1
+            csum = np.cumsum(w)
+            start = (csum - w)[change]
+            lc = csum - w - start[seg]
+            if continues:  # first run of this batch goes on from the last batch
+                lc[seg == 0] += carry
+            carry = int(lc[-1] + w[-1])
+            last_key = tuple(pdf[k].iloc[-1] for k in keys)
+            yield pdf.assign(_pid=np.int32(pid), _lc=lc.astype(np.int64))
+    return run
+
+
+def weighted_positions(df: DataFrame, keys: Sequence[str], value: str,
+                       num_partitions: int | None = None) -> DataFrame:
+    """One row per distinct (keys, value) with ``_w`` (multiplicity),
+    ``_before`` (rows of the group with a smaller value) and ``_n``."""
+    keys = list(keys)
+    src = _not_null(df.select(*keys, value), [*keys, value])
+    collapsed = src.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w"))
+    n_parts = _num_partitions(df, num_partitions)
+    s = _stable(collapsed.repartitionByRange(n_parts, *keys, value).sortWithinPartitions(*keys, value))
+    seg = _segment_offsets(s, keys, F.sum("_w"))
+    local = s.mapInPandas(_local_prefix(keys), _prefix_schema(s.schema))
+    j = local.join(seg, ["_pid", *keys], "inner")
+    return j.select(*keys, value, "_w", (F.col("_off") + F.col("_lc")).alias("_before"), "_n")
+
+
 def _lerp(lo: Column, hi: Column, t: Column) -> Column:
     diff = hi - lo
     return F.when(t >= F.lit(0.5), hi - diff * (F.lit(1.0) - t)).otherwise(lo + diff * t)
@@ -92,29 +185,27 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     keys = list(keys)
     probs = [float(p) for p in probs]
     names = list(names) if names else [_pname(p) for p in probs]
-    ranked = exact_ranks(df.select(*keys, value), keys, value, num_partitions)
-    n1 = F.col("_n") - F.lit(1)
-    targets = []
-    for p in probs:
-        h = n1.cast("double") * F.lit(p)
-        targets += [F.floor(h), F.ceil(h)]
-    if median_name:
-        targets += [F.floor(n1 / F.lit(2)), F.ceil(n1 / F.lit(2))]
-    wanted = F.col("_rank").isin(*targets) if targets else F.lit(False)
-    at = ranked.where(wanted)
-    aggs = []
+    pos = weighted_positions(df, keys, value, num_partitions)
+    n1 = (F.col("_n") - F.lit(1)).cast("double")
+    lo_end = F.col("_before") + F.col("_w")
+
+    def covers(r: Column) -> Column:
+        return (F.col("_before") <= r) & (r < lo_end)
+
+    ranks: list[tuple[str, Column]] = []
     for i, p in enumerate(probs):
-        h = n1.cast("double") * F.lit(p)
-        aggs += [
-            F.max(F.when(F.col("_rank") == F.floor(h), F.col(value))).alias(f"_lo{i}"),
-            F.max(F.when(F.col("_rank") == F.ceil(h), F.col(value))).alias(f"_hi{i}"),
-            F.max(h - F.floor(h)).alias(f"_t{i}"),
-        ]
+        h = n1 * F.lit(p)
+        ranks += [(f"_lo{i}", F.floor(h)), (f"_hi{i}", F.ceil(h))]
     if median_name:
-        aggs += [
-            F.max(F.when(F.col("_rank") == F.floor(n1 / F.lit(2)), F.col(value))).alias("_mlo"),
-            F.max(F.when(F.col("_rank") == F.ceil(n1 / F.lit(2)), F.col(value))).alias("_mhi"),
-        ]
+        ranks += [("_mlo", F.floor(n1 / F.lit(2.0))), ("_mhi", F.ceil(n1 / F.lit(2.0)))]
+    wanted = F.lit(False)
+    for _, r in ranks:
+        wanted = wanted | covers(r)
+    at = pos.where(wanted)
+    aggs = [F.max(F.when(covers(r), F.col(value))).alias(name) for name, r in ranks]
+    aggs += [F.max(n1 * F.lit(p) - F.floor(n1 * F.lit(p))).alias(f"_t{i}") for i, p in enumerate(probs)]
+    if not aggs:
+        aggs = [F.count(F.lit(1)).alias("_c")]
     g = at.groupBy(*keys).agg(*aggs) if keys else at.agg(*aggs)
     out = [F.col(k) for k in keys]
     for i, name in enumerate(names):
