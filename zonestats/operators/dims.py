@@ -21,19 +21,23 @@ from pyspark.sql import functions as F
 
 from zonestats.functions.columns import RAW_TIMESTAMP_FORMAT, parse_ts
 from zonestats.operators.joins import bounded_broadcast
+from zonestats.operators.order_stats import _stable
 
 
 def add_serial(df: DataFrame, id_col: str, order_by: Sequence[str] | None = None,
                num_partitions: int | None = None) -> DataFrame:
-    """Append ``id_col`` = 1..n following ``order_by`` (default: all
-    columns, ascending, missing last)."""
+    """Append ``id_col`` = 1..n following ``order_by`` (then the other
+    columns), ascending, missing last."""
     order = list(order_by) if order_by else list(df.columns)
+    # remaining columns break ties, so equal sort keys can still be split
+    # over range partitions and the numbering is deterministic
+    order += [c for c in df.columns if c not in order]
     n_parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.asc_nulls_last(c) for c in order]
-    s = (df.repartitionByRange(n_parts, *keys)
-           .sortWithinPartitions(*keys)
-           .withColumn("_pid", F.spark_partition_id())
-           .withColumn("_mid", F.monotonically_increasing_id()))
+    s = _stable(df.repartitionByRange(n_parts, *keys)
+                  .sortWithinPartitions(*keys)
+                  .withColumn("_pid", F.spark_partition_id())
+                  .withColumn("_mid", F.monotonically_increasing_id()))
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_first"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", "_first",

@@ -11,6 +11,7 @@ from zonestats.operators.geo import map_aggregate, map_centre
 from zonestats.operators.lookup import (
     child_options,
     lookup_id,
+    lookup_id_sql,
     lookup_ids,
     time_series,
     time_series_mean,
@@ -43,6 +44,15 @@ def _lookup_id(spark, d):
                      scope={L.dept_id: 2})
 
 
+@register("lookup_id_sql",
+          f"{V} SELECT min(town_id) AS result FROM v WHERE town_name = 'Customer#000000042'")
+def _lookup_id_sql(spark, d):
+    """The lookup as parameterised SQL over a session view of the star view:
+    table, columns and value are bound parameters, not pasted text."""
+    driver_view(spark, d).createOrReplaceTempView("servicios_detalle")
+    return lookup_id_sql(spark, "servicios_detalle", L.town_id, L.town_name, "Customer#000000042")
+
+
 @register("lookup_ids",
           f"{V} SELECT town_name, min(town_id) AS town_id, count(DISTINCT town_id) AS n_codes "
           "FROM v WHERE town_name IS NOT NULL GROUP BY town_name")
