@@ -57,7 +57,7 @@ def _rename_columns(spark, d):
 
 
 _CENSUS_SQL = ("SELECT c_custkey AS id_centro_poblado, ABS(c_acctbal) / 100.0 AS personas_nbi, "
-               "c_nationkey * 4.0 AS servicios FROM customer")
+               "CAST(c_nationkey AS DOUBLE) * 4.0 AS servicios FROM customer")
 
 
 @register("complement_pct",

@@ -216,8 +216,8 @@ _FREQ_SQL = (
           f"{_FREQ_SQL} SELECT user_id, class, lower, upper, "
           f"'(' || CAST({_round_frac_sql('lower')} AS VARCHAR) || ', ' || "
           f"CAST({_round_frac_sql('upper')} AS VARCHAR) || ']' AS interval, freq, "
-          "sum(freq) OVER (PARTITION BY user_id ORDER BY class ROWS BETWEEN UNBOUNDED PRECEDING "
-          "AND CURRENT ROW) AS cum_freq, round(freq / n * 100.0, 9) AS rel_freq, "
+          "CAST(sum(freq) OVER (PARTITION BY user_id ORDER BY class ROWS BETWEEN UNBOUNDED PRECEDING "
+          "AND CURRENT ROW) AS BIGINT) AS cum_freq, round(freq / n * 100.0, 9) AS rel_freq, "
           "round(sum(freq / n * 100.0) OVER (PARTITION BY user_id ORDER BY class ROWS BETWEEN "
           "UNBOUNDED PRECEDING AND CURRENT ROW), 9) AS cum_rel_freq FROM t")
 def _frequency_table(spark, d):

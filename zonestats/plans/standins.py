@@ -131,7 +131,7 @@ VIEW_SQL = """
            l.l_quantity AS max_power, l.l_shipdate AS peak_ts,
            l.l_discount * 100.0 AS daily_hours,
            k.c_acctbal AS population, ABS(k.c_acctbal) / 100.0 AS need_pct,
-           k.c_nationkey * 4.0 AS services_pct
+           CAST(k.c_nationkey AS DOUBLE) * 4.0 AS services_pct
     FROM lineitem l
     JOIN orders o ON l.l_orderkey = o.o_orderkey
     LEFT JOIN (customer c JOIN nation cn ON c.c_nationkey = cn.n_nationkey)
