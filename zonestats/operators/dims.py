@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from zonestats.functions.columns import RAW_TIMESTAMP_FORMAT, parse_ts
 from zonestats.operators.joins import bounded_broadcast
-from zonestats.operators.order_stats import _stable
+from zonestats.operators.order_stats import _num_partitions, _stable
 
 
 def add_serial(df: DataFrame, id_col: str, order_by: Sequence[str] | None = None,
@@ -32,7 +32,7 @@ def add_serial(df: DataFrame, id_col: str, order_by: Sequence[str] | None = None
     # remaining columns break ties, so equal sort keys can still be split
     # over range partitions and the numbering is deterministic
     order += [c for c in df.columns if c not in order]
-    n_parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = _num_partitions(df, num_partitions)
     keys = [F.asc_nulls_last(c) for c in order]
     s = _stable(df.repartitionByRange(n_parts, *keys)
                   .sortWithinPartitions(*keys)

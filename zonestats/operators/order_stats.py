@@ -44,9 +44,16 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 
 def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
+    """Range partitions: explicit, else the shuffle partition setting capped
+    at twice the cluster's cores. The number is fixed on purpose: AQE must
+    not coalesce these partitions, because the segment offsets and the rows
+    are two reads of the same exchange and must agree on partition ids."""
     if num_partitions:
         return int(num_partitions)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = df.sparkSession
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cores = spark.sparkContext.defaultParallelism
+    return max(1, min(shuffle, 2 * cores))
 
 
 def _not_null(df: DataFrame, cols: Sequence[str]) -> DataFrame:
