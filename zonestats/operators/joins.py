@@ -20,15 +20,35 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_ROWS = 1_000_000
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+# (application, plan hash, input files, bound) -> within bound?
+_CHECKED: dict[tuple, bool] = {}
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
+                      memo: bool = True) -> DataFrame:
     """Broadcast hint only if ``df`` has at most ``max_rows`` rows.
 
     The check is ``limit(max_rows + 1).count()``, which stops reading once
     the bound is passed; beyond it the frame is returned unhinted and the
-    planner picks a shuffle join.
+    planner picks a shuffle join. With ``memo`` the answer is kept for the
+    session per logical plan (``semanticHash``) and input file list, so a
+    dimension rebuilt the same way over the same files is checked once;
+    rewritten data comes with new files and is checked again.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    key = None
+    if memo:
+        try:
+            key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(),
+                   tuple(sorted(df.inputFiles())), int(max_rows))
+        except Exception:  # plans without file inputs or hash support
+            key = None
+    if key is not None and key in _CHECKED:
+        small = _CHECKED[key]
+    else:
+        small = df.limit(max_rows + 1).count() <= max_rows
+        if key is not None:
+            _CHECKED[key] = small
+    return F.broadcast(df) if small else df
 
 
 def left_join_keys(left: DataFrame, right: DataFrame, left_on: Sequence[str],
