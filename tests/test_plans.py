@@ -36,3 +36,10 @@ def test_fact_scan_is_pruned_and_view_joins_broadcast(spark):
 def test_filter_reaches_scan(spark):
     p = _plan(spark, "filter_eq")
     assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(r_name,ASIA\)", p)
+
+
+def test_quantile_offsets_and_rows_share_one_exchange(spark):
+    df = QUERIES["position_stats"](spark, SF_SMALL)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in final and "rangepartitioning" in final

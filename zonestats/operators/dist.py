@@ -107,7 +107,7 @@ def frequency_table(df: DataFrame, value: str, keys: Sequence[str] = (),
         interval_label(F.col("lower"), F.col("upper"), precision).alias("interval"),
         "freq", F.sum("freq").over(w).alias("cum_freq"),
         "rel_freq", F.sum("rel_freq").over(w).alias("cum_rel_freq"),
-    )
+    ).orderBy(*keys, "class")
 
 
 def kde(df: DataFrame, value: str, keys: Sequence[str] = (), bw: float = 0.1,
@@ -134,4 +134,5 @@ def kde(df: DataFrame, value: str, keys: Sequence[str] = (), bw: float = 0.1,
     # (_n, _h, _mn, _mx) are constant per group: grouping by them is free
     agg = pts.groupBy(*keys, "point", "_n", "_h", "_mn", "_mx").agg(F.sum(contrib).alias("_s"))
     norm = F.col("_n") * F.col("_h") * F.lit(math.sqrt(2.0 * math.pi))
-    return agg.select(*keys, "point", x.alias("x"), (F.col("_s") / norm).alias("density"))
+    return agg.select(*keys, "point", x.alias("x"), (F.col("_s") / norm).alias("density")) \
+              .orderBy(*keys, "point")

@@ -55,7 +55,7 @@ def mode_all(df: DataFrame, value: str, keys: Sequence[str] = (), out: str = "mo
         modes = counts.join(top, keys).where(F.col("_c") == F.col("_top"))
     else:
         modes = counts.where(F.col("_c") == top.select("_top").scalar())
-    return modes.select(*keys, F.col(value).alias(out))
+    return modes.select(*keys, F.col(value).alias(out)).orderBy(*keys, out)
 
 
 def centre_stats(df: DataFrame, value: str, keys: Sequence[str] = (), scale: int | None = None,
@@ -71,7 +71,8 @@ def centre_stats(df: DataFrame, value: str, keys: Sequence[str] = (), scale: int
                           num_partitions=num_partitions)
     modes = mode_all(src, value, keys, out=mode_n)
     if keys:
-        return modes.join(means, keys).join(med, keys).select(*keys, mean_n, median_n, mode_n)
+        return modes.join(means, keys).join(med, keys).select(*keys, mean_n, median_n, mode_n) \
+                    .orderBy(*keys, mode_n)
     return modes.withColumns({mean_n: means.select(mean_n).scalar(),
                               median_n: med.select(median_n).scalar()}) \
                 .select(mean_n, median_n, mode_n)
