@@ -203,3 +203,10 @@ def test_nan_power_factor_range(spark):
     df = spark.createDataFrame([(3.0, -4.0), (-3.0, 4.0), (1e-300, 1e-300)], "a double, r double")
     for (v,) in df.select(power_factor("a", "r")).collect():
         assert v is None or (-1.0 <= v <= 1.0 and not math.isnan(v))
+
+
+def test_labels_print_like_python(spark):
+    from zonestats.functions.columns import float_text
+    vals = [0.00021, -0.00016, 1.5e-05, 0.001, 41.907, 5.0, 12345678.0, 1e16]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    assert [r[0] for r in df.select(float_text("x")).collect()] == [repr(v) for v in vals]

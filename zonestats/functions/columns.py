@@ -94,3 +94,28 @@ def classify_expr(rules: Sequence[tuple[Column, str]], default: str) -> Column:
     for cond, label in rules[1:]:
         expr = expr.when(cond, F.lit(label))
     return expr.otherwise(F.lit(default))
+
+
+def float_text(c: ColumnOrName) -> Column:
+    """A double as text the way Python prints it (pandas labels): fixed
+    notation for 1e-4 <= |x| < 1e16, else ``1.5e-05`` / ``1e+16``. Spark's
+    own cast gives the same digits but switches to ``2.1E-4`` style below
+    1e-3 and from 1e7 on; those cases are rewritten."""
+    s = col(c).cast("string")
+    pat = r"^(-?)([0-9.]+)E(-?[0-9]+)$"
+    sign = F.regexp_extract(s, pat, 1)
+    mant = F.regexp_extract(s, pat, 2)
+    exp = F.regexp_extract(s, pat, 3).cast("int")
+    digits = F.regexp_replace(F.regexp_replace(mant, r"\.", ""), "0+$", "")
+    digits = F.when(digits == "", F.lit("0")).otherwise(digits)
+    n = F.length(digits)
+    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -exp - 1), digits)
+    int_part = F.rpad(F.substr(digits, F.lit(1), exp + 1), exp + 1, F.lit("0"))
+    frac = F.when(n > exp + 1, F.substr(digits, exp + 2, n)).otherwise(F.lit("0"))
+    fixed = F.concat(sign, int_part, F.lit("."), frac)
+    e_abs = F.abs(exp).cast("string")
+    e_txt = F.when(F.length(e_abs) < 2, F.concat(F.lit("0"), e_abs)).otherwise(e_abs)
+    sci = F.concat(sign, F.regexp_replace(mant, r"\.0$", ""), F.lit("e"),
+                   F.when(exp < 0, F.lit("-")).otherwise(F.lit("+")), e_txt)
+    conv = F.when((exp >= -4) & (exp < 0), small).when((exp >= 0) & (exp < 16), fixed).otherwise(sci)
+    return F.when(s.rlike(pat), conv).otherwise(s)

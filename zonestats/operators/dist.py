@@ -27,6 +27,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from zonestats.functions.columns import float_text
+
 
 def _group(src: DataFrame, keys: Sequence[str], *aggs: Column) -> DataFrame:
     return src.groupBy(*keys).agg(*aggs) if keys else src.agg(*aggs)
@@ -54,8 +56,8 @@ def round_frac(x: Column, precision: int = 3) -> Column:
 
 
 def interval_label(lo: Column, hi: Column, precision: int = 3) -> Column:
-    return F.concat(F.lit("("), round_frac(lo, precision).cast("string"), F.lit(", "),
-                    round_frac(hi, precision).cast("string"), F.lit("]"))
+    return F.concat(F.lit("("), float_text(round_frac(lo, precision)), F.lit(", "),
+                    float_text(round_frac(hi, precision)), F.lit("]"))
 
 
 def frequency_table(df: DataFrame, value: str, keys: Sequence[str] = (),

@@ -19,7 +19,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType
 
 from zonestats.functions.columns import round_half_even
 from zonestats.operators.order_stats import exact_quantiles
@@ -33,12 +32,12 @@ def _clean(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
 
 
 def mean_expr(value: str, scale: int | None = None) -> Column:
-    """Mean of the non-missing values; with ``scale`` the sum is an exact
-    decimal sum (reproducible whatever the partitioning)."""
+    """Mean of the non-missing values; with ``scale`` the sum is exact
+    (integer units, reproducible whatever the partitioning)."""
     if scale is None:
         return F.avg(value)
-    s = F.sum(F.col(value).cast(DecimalType(18, scale))).cast("double")
-    return s / F.count(value)
+    from zonestats.operators.rank import exact_sum
+    return exact_sum(value, scale) / F.count(value)
 
 
 def _group(src: DataFrame, keys: Sequence[str], *aggs: Column) -> DataFrame:
