@@ -148,3 +148,25 @@ def test_hot_value_pair_is_collapsed_and_exact(spark):
     for gg, s in pdf.groupby("g")["v"]:
         assert got.loc[gg, "q1"] == s.quantile(0.25) and got.loc[gg, "q3"] == s.quantile(0.75)
         assert got.loc[gg, "med"] == s.median()
+
+
+def test_map_aggregate_vs_pandas(spark):
+    from zonestats.operators.geo import map_aggregate
+    rng = np.random.default_rng(11)
+    n = 4000
+    town = rng.integers(0, 60, n)
+    lat = (town % 17).astype(float)       # shared locations across towns
+    lon = (town % 5).astype(float)
+    val = np.round(rng.uniform(0, 24, n), 1)
+    val[rng.random(n) < 0.1] = np.nan      # missing measures
+    pdf = pd.DataFrame({"town": [f"T{t:03d}" for t in town], "lat": lat, "lon": lon, "v": val})
+    sdf = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None),
+                                "town string, lat double, lon double, v double")
+    got = map_aggregate(sdf, ["town"], "v", "lat", "lon").toPandas().set_index("town").sort_index()
+    g = pdf.groupby("town")
+    ref = pd.DataFrame({"v": g["v"].median(), "lat": g["lat"].mean(), "lon": g["lon"].mean()})
+    ref = ref.dropna(subset=["lat", "lon", "v"]).drop_duplicates(subset=["lat", "lon"])
+    ref["elevation_norm"] = ref["v"] / ref["v"].max() * 10000
+    assert list(got.index) == list(ref.index)
+    for c in ["v", "lat", "lon", "elevation_norm"]:
+        assert (got[c].values == ref[c].values).all(), c

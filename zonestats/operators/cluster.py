@@ -164,7 +164,7 @@ def pca2(df: DataFrame, cols: Sequence[str], names: Sequence[str] = ("PC1", "PC2
 def cluster_summary(df: DataFrame, label: str, cols: Sequence[str], decimals: int = 2,
                     scales: Mapping[str, int] | None = None) -> DataFrame:
     """Mean of each column per cluster, rounded half-to-even. ``scales``
-    marks fixed-point columns whose sums are done exactly in DECIMAL."""
+    marks fixed-point columns whose sums are done exactly (integer units)."""
     from zonestats.operators.stats import mean_expr
     scales = scales or {}
     return df.groupBy(label).agg(*[

@@ -18,15 +18,24 @@ def map_aggregate(df: DataFrame, keys: Sequence[str], measure: str, lat: str, lo
     longitude; places missing any of the three are dropped; places sharing
     the same (lat, lon) keep the first by key; ``out`` = measure / max * scale.
 
-    The median is the skew-safe exact median; the means are one partial
-    aggregate; the maximum is a scalar subquery (no join, no global window).
+    The input is read once: it is collapsed to (place, value) rows with
+    counts and coordinate sums, from which come both the skew-safe exact
+    median and the mean position; the maximum is a scalar subquery (no
+    join, no global window).
     """
     keys = list(keys)
     src = df.select(*keys, measure, lat, lon)
     for k in keys:
         src = src.where(F.col(k).isNotNull())
-    med = exact_median(src, measure, keys, name=measure, num_partitions=num_partitions)
-    pos = src.groupBy(*keys).agg(F.avg(lat).alias("lat"), F.avg(lon).alias("lon"))
+    # one pass over the input: collapse to (place, value) with the count and
+    # the coordinate sums; the median and the mean position both use it
+    c = src.groupBy(*keys, measure).agg(
+        F.count(F.lit(1)).alias("_w"),
+        F.sum(lat).alias("_slat"), F.count(lat).alias("_nlat"),
+        F.sum(lon).alias("_slon"), F.count(lon).alias("_nlon"))
+    med = exact_median(c, measure, keys, name=measure, num_partitions=num_partitions, weight="_w")
+    pos = c.groupBy(*keys).agg((F.sum("_slat") / F.sum("_nlat")).alias("lat"),
+                               (F.sum("_slon") / F.sum("_nlon")).alias("lon"))
     m = pos.join(med, keys, "left")
     m = m.dropna(how="any", subset=["lat", "lon", measure])
     m = distinct_first(m, ["lat", "lon"], keys)

@@ -157,12 +157,19 @@ def _local_prefix(keys: list[str]):
 
 
 def weighted_positions(df: DataFrame, keys: Sequence[str], value: str,
-                       num_partitions: int | None = None) -> DataFrame:
+                       num_partitions: int | None = None, weight: str | None = None) -> DataFrame:
     """One row per distinct (keys, value) with ``_w`` (multiplicity),
-    ``_before`` (rows of the group with a smaller value) and ``_n``."""
+    ``_before`` (rows of the group with a smaller value) and ``_n``.
+
+    ``weight`` names a count column of an input that is already collapsed
+    to distinct (keys, value) rows (no further aggregation is done)."""
     keys = list(keys)
-    src = _not_null(df.select(*keys, value), [*keys, value])
-    collapsed = src.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w"))
+    if weight is None:
+        src = _not_null(df.select(*keys, value), [*keys, value])
+        collapsed = src.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w"))
+    else:
+        collapsed = _not_null(df.select(*keys, value, F.col(weight).cast("long").alias("_w")),
+                              [*keys, value])
     n_parts = _num_partitions(df, num_partitions)
     s = _stable(collapsed.repartitionByRange(n_parts, *keys, value).sortWithinPartitions(*keys, value))
     seg = _segment_offsets(s, keys, F.sum("_w"))
@@ -183,16 +190,17 @@ def _pname(p: float) -> str:
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                     keys: Sequence[str] = (), names: Sequence[str] | None = None,
                     median_name: str | None = None,
-                    num_partitions: int | None = None) -> DataFrame:
+                    num_partitions: int | None = None, weight: str | None = None) -> DataFrame:
     """Exact quantiles of ``value`` per group (numpy/pandas linear method).
 
     Returns one row per group: keys, one column per probability (``names``)
-    and, if ``median_name`` is given, the pandas median as well.
+    and, if ``median_name`` is given, the pandas median as well. ``weight``:
+    see ``weighted_positions`` (input already collapsed with counts).
     """
     keys = list(keys)
     probs = [float(p) for p in probs]
     names = list(names) if names else [_pname(p) for p in probs]
-    pos = weighted_positions(df, keys, value, num_partitions)
+    pos = weighted_positions(df, keys, value, num_partitions, weight)
     n1 = (F.col("_n") - F.lit(1)).cast("double")
     lo_end = F.col("_before") + F.col("_w")
 
@@ -223,6 +231,6 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
 
 
 def exact_median(df: DataFrame, value: str, keys: Sequence[str] = (), name: str | None = None,
-                 num_partitions: int | None = None) -> DataFrame:
+                 num_partitions: int | None = None, weight: str | None = None) -> DataFrame:
     return exact_quantiles(df, value, [], keys, median_name=name or value,
-                           num_partitions=num_partitions)
+                           num_partitions=num_partitions, weight=weight)
