@@ -44,37 +44,58 @@ def _group(src: DataFrame, keys: Sequence[str], *aggs: Column) -> DataFrame:
     return src.groupBy(*keys).agg(*aggs) if keys else src.agg(*aggs)
 
 
-def mode_all(df: DataFrame, value: str, keys: Sequence[str] = (), out: str = "mode") -> DataFrame:
-    """Every most frequent value per group (ties all kept)."""
-    keys = list(keys)
+def collapse(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Distinct (keys, value) rows with their count ``_w``: a partial
+    aggregate, so repeated values never travel more than once per task."""
     src = _clean(df, value, keys).where(F.col(value).isNotNull())
-    counts = src.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    top = _group(counts, keys, F.max("_c").alias("_top"))
+    return src.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w"))
+
+
+def _modes(c: DataFrame, value: str, keys: Sequence[str], out: str) -> DataFrame:
+    top = _group(c, keys, F.max("_w").alias("_top"))
     if keys:
-        modes = counts.join(top, keys).where(F.col("_c") == F.col("_top"))
+        modes = c.join(top, list(keys)).where(F.col("_w") == F.col("_top"))
     else:
-        modes = counts.where(F.col("_c") == top.select("_top").scalar())
-    return modes.select(*keys, F.col(value).alias(out)).orderBy(*keys, out)
+        modes = c.where(F.col("_w") == top.select("_top").scalar())
+    return modes.select(*keys, F.col(value).alias(out))
+
+
+def mode_all(df: DataFrame, value: str, keys: Sequence[str] = (), out: str = "mode") -> DataFrame:
+    """Every most frequent value per group (ties all kept), ascending."""
+    keys = list(keys)
+    return _modes(collapse(df, value, keys), value, keys, out).orderBy(*keys, out)
+
+
+def _weighted_mean(value: str, scale: int | None) -> Column:
+    """Mean over collapsed (value, _w) rows; exact with ``scale``."""
+    if scale is None:
+        return F.sum(F.col(value) * F.col("_w")) / F.sum("_w")
+    from zonestats.operators.rank import unscaled
+    total = F.sum(unscaled(value, scale) * F.col("_w")).cast("double") / F.lit(float(10**scale))
+    return total / F.sum("_w")
 
 
 def centre_stats(df: DataFrame, value: str, keys: Sequence[str] = (), scale: int | None = None,
                  names: Sequence[str] = ("mean", "median", "mode"),
                  num_partitions: int | None = None) -> DataFrame:
     """Mean, median and mode; one row per mode with the scalars repeated.
-    A group without values gives no row (as the reference's table)."""
+    A group without values gives no row (as the reference's table).
+
+    The input is read once: mean, median and modes all come from its
+    collapse to (group, value, count)."""
     keys = list(keys)
     mean_n, median_n, mode_n = names
-    src = _clean(df, value, keys)
-    means = _group(src, keys, mean_expr(value, scale).alias(mean_n))
-    med = exact_quantiles(src, value, [], keys, median_name=median_n,
-                          num_partitions=num_partitions)
-    modes = mode_all(src, value, keys, out=mode_n)
+    c = collapse(df, value, keys)
+    means = _group(c, keys, _weighted_mean(value, scale).alias(mean_n))
+    med = exact_quantiles(c, value, [], keys, median_name=median_n,
+                          num_partitions=num_partitions, weight="_w")
+    modes = _modes(c, value, keys, mode_n)
     if keys:
         return modes.join(means, keys).join(med, keys).select(*keys, mean_n, median_n, mode_n) \
                     .orderBy(*keys, mode_n)
     return modes.withColumns({mean_n: means.select(mean_n).scalar(),
                               median_n: med.select(median_n).scalar()}) \
-                .select(mean_n, median_n, mode_n)
+                .select(mean_n, median_n, mode_n).orderBy(mode_n)
 
 
 def spread_stats(df: DataFrame, value: str, keys: Sequence[str] = (),
@@ -118,11 +139,13 @@ def shape_stats(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFram
 
 
 def position_stats(df: DataFrame, value: str, keys: Sequence[str] = (),
-                   num_partitions: int | None = None) -> DataFrame:
-    """Q1, Q2, Q3, IQR and the 1.5 IQR fences."""
+                   num_partitions: int | None = None, weight: str | None = None) -> DataFrame:
+    """Q1, Q2, Q3, IQR and the 1.5 IQR fences. ``weight``: the input is
+    already collapsed to distinct (keys, value) rows with this count."""
     keys = list(keys)
-    q = exact_quantiles(_clean(df, value, keys), value, [0.25, 0.5, 0.75], keys,
-                        names=["q1", "q2", "q3"], num_partitions=num_partitions)
+    src = df if weight else _clean(df, value, keys)
+    q = exact_quantiles(src, value, [0.25, 0.5, 0.75], keys, names=["q1", "q2", "q3"],
+                        num_partitions=num_partitions, weight=weight)
     iqr = F.col("q3") - F.col("q1")
     return q.select(*keys, "q1", "q2", "q3", iqr.alias("iqr"),
                     (F.col("q1") - F.lit(1.5) * iqr).alias("lower_fence"),
@@ -134,29 +157,30 @@ def box_stats(df: DataFrame, value: str, keys: Sequence[str] = (),
     """What a box plot draws: quartiles, whiskers (most extreme values inside
     the fences) and the number of outliers, per group.
 
-    Rows are joined to their group's fences on the group key; a hot group
-    is split by AQE's skew-join handling, and the per-group table is
-    broadcast at runtime when small.
+    The input is read once: collapsed to (group, value, count), it gives the
+    quartiles, and its rows are then joined to their group's fences on the
+    group key (AQE broadcasts the per-group table when small and splits a
+    hot group otherwise).
     """
     keys = list(keys)
-    src = _clean(df, value, keys).where(F.col(value).isNotNull())
-    pos = position_stats(src, value, keys, num_partitions)
+    c = collapse(df, value, keys)
+    pos = position_stats(c, value, keys, num_partitions, weight="_w")
     if keys:
-        j = src.join(pos.select(*keys, "lower_fence", "upper_fence"), keys)
+        j = c.join(pos.select(*keys, "lower_fence", "upper_fence"), keys)
     else:
         st = pos.select(F.struct("lower_fence", "upper_fence").alias("st")).scalar()
-        j = src.withColumns({"lower_fence": st.getField("lower_fence"),
-                             "upper_fence": st.getField("upper_fence")})
+        j = c.withColumns({"lower_fence": st.getField("lower_fence"),
+                           "upper_fence": st.getField("upper_fence")})
     inside = (F.col(value) >= F.col("lower_fence")) & (F.col(value) <= F.col("upper_fence"))
     w = _group(j, keys,
                F.min(F.when(inside, F.col(value))).alias("lower_whisker"),
                F.max(F.when(inside, F.col(value))).alias("upper_whisker"),
-               F.count(F.when(~inside, F.lit(1))).alias("n_outliers"))
+               F.coalesce(F.sum(F.when(~inside, F.col("_w"))), F.lit(0)).alias("n_outliers"))
     if keys:
         out = pos.join(w, keys)
     else:
         cols = ("lower_whisker", "upper_whisker", "n_outliers")
         st = w.select(F.struct(*cols).alias("st")).scalar()
-        out = pos.withColumns({c: st.getField(c) for c in cols})
+        out = pos.withColumns({c_: st.getField(c_) for c_ in cols})
     return out.select(*keys, "q1", F.col("q2").alias("median"), "q3", "lower_whisker",
                       "upper_whisker", "n_outliers")
