@@ -67,7 +67,11 @@ def frequency_table(df: DataFrame, value: str, keys: Sequence[str] = (),
     src = df.select(*keys, value)
     for k in keys:
         src = src.where(F.col(k).isNotNull())
-    g = _group(src, keys, F.count(F.lit(1)).alias("_n_all"), F.count(value).alias("_n"),
+    # one pass: distinct (group, value) with counts, the missing value kept
+    # as its own row so that n still counts it
+    c = src.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w"))
+    g = _group(c, keys, F.sum("_w").alias("_n_all"),
+               F.coalesce(F.sum(F.when(F.col(value).isNotNull(), F.col("_w"))), F.lit(0)).alias("_n"),
                F.min(value).alias("_mn"), F.max(value).alias("_mx"))
     nb = F.lit(int(bins)) if bins else F.floor(F.log2(F.col("_n_all") + 1)).cast("int")
     g = g.withColumn("_bins", nb).where((F.col("_bins") > 0) & (F.col("_n") > 0))
@@ -86,10 +90,10 @@ def frequency_table(df: DataFrame, value: str, keys: Sequence[str] = (),
                    .otherwise(i.cast("double") * step + F.col("_start")))
     g = g.withColumn("_edges", edges)
 
-    rows = _attach(src.where(F.col(value).isNotNull()), g, keys, ["_edges"]) \
+    rows = _attach(c.where(F.col(value).isNotNull()), g, keys, ["_edges"]) \
         .where(F.col("_edges").isNotNull())
     cls = F.size(F.filter(F.col("_edges"), lambda e: e < F.col(value)))
-    counts = rows.groupBy(*keys, cls.alias("class")).agg(F.count(F.lit(1)).alias("freq"))
+    counts = rows.groupBy(*keys, cls.alias("class")).agg(F.sum("_w").alias("freq"))
 
     classes = g.select(*keys, "_n", "_edges",
                        F.explode(F.sequence(F.lit(1), F.col("_bins"))).alias("class"))
