@@ -192,10 +192,20 @@ def classify(df: DataFrame, active: str, reactive: str, power: str, pf: str,
 
 def label_members(members: DataFrame, summary: DataFrame, label: str, desc: str = "description",
                   max_clusters: int | None = None) -> DataFrame:
-    """Attach each member row's cluster description. With ``max_clusters``
-    (k of the clustering, a proven bound) the summary is broadcast;
-    otherwise the planner decides."""
+    """Attach each member row's cluster description.
+
+    With ``max_clusters`` (k of the clustering: a proven bound on the
+    summary's rows) the at most k (label, description) pairs are read once
+    and applied as a literal map lookup: a projection, no join and no
+    shuffle, so a cluster holding a third of the rows costs nothing extra.
+    If the summary has more rows than the bound, or no bound is given, it
+    is a left join chosen by the planner."""
     s = summary.select(label, desc)
     if max_clusters is not None:
-        s = F.broadcast(s)
+        pairs = s.limit(int(max_clusters) + 1).collect()
+        if len(pairs) <= max_clusters and all(r[0] is not None for r in pairs):
+            if not pairs:
+                return members.withColumn(desc, F.lit(None).cast("string"))
+            lookup = F.create_map(*[x for r in pairs for x in (F.lit(r[0]), F.lit(r[1]))])
+            return members.withColumn(desc, F.try_element_at(lookup, F.col(label)))
     return members.join(s, label, "left")

@@ -127,7 +127,8 @@ def _label_members(spark, d):
     f = _features(spark, d)
     s = classify(cluster_summary(f, "cluster", FEATURES, scales=SCALES),
                  L.active, L.reactive, L.power, L.pf, thresholds=DRIVER_THRESHOLDS)
-    return label_members(f.select("l_orderkey", "l_linenumber", "cluster"), s, "cluster")
+    return label_members(f.select("l_orderkey", "l_linenumber", "cluster"), s, "cluster",
+                         max_clusters=10)
 
 
 def _zview(spark, d):
