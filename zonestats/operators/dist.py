@@ -124,11 +124,18 @@ def kde(df: DataFrame, value: str, keys: Sequence[str] = (), bw: float = 0.1,
     src = df.select(*keys, value).where(F.col(value).isNotNull())
     for k in keys:
         src = src.where(F.col(k).isNotNull())
-    g = _group(src, keys, F.count(value).alias("_n"), F.stddev_samp(value).alias("_sd"),
-               F.min(value).alias("_mn"), F.max(value).alias("_mx"))
-    g = g.withColumn("_h", F.lit(float(bw)) * F.col("_sd")) \
-         .where(F.col("_h").isNotNull() & (F.col("_h") > 0))
+    # the input is read once: everything below uses its collapse to
+    # (group, value, multiplicity)
     collapsed = src.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w"))
+    g1 = _group(collapsed, keys, F.sum("_w").alias("_n"),
+                (F.sum(F.col(value) * F.col("_w")) / F.sum("_w")).alias("_m"),
+                F.min(value).alias("_mn"), F.max(value).alias("_mx"))
+    dev = _attach(collapsed, g1, keys, ["_n", "_m", "_mn", "_mx"])
+    # sample variance, two-pass (deviations from the mean) for stability
+    ss = F.sum(F.col("_w") * F.pow(F.col(value) - F.col("_m"), 2))
+    g = dev.groupBy(*keys, "_n", "_mn", "_mx").agg(
+        (F.lit(float(bw)) * F.sqrt(ss / (F.col("_n") - 1))).alias("_h"))
+    g = g.where(F.col("_h").isNotNull() & (F.col("_h") > 0))
     rows = _attach(collapsed, g, keys, ["_n", "_h", "_mn", "_mx"]).where(F.col("_h").isNotNull())
     step = (F.col("_mx") - F.col("_mn")) / F.lit(float(grid - 1))
     pts = rows.select(*keys, value, "_w", "_n", "_h", "_mn", "_mx",
