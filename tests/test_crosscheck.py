@@ -170,3 +170,17 @@ def test_map_aggregate_vs_pandas(spark):
     assert list(got.index) == list(ref.index)
     for c in ["v", "lat", "lon", "elevation_norm"]:
         assert (got[c].values == ref[c].values).all(), c
+
+
+def test_quantiles_without_exchange_reuse(spark):
+    """With exchange reuse off the range-partitioned frame is checkpointed,
+    so offsets and rows still agree."""
+    df, pdf = _frame(spark, hot_share=1 / 3)
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = exact_quantiles(df, "v", [0.25, 0.75], ["g"], names=["q1", "q3"],
+                              num_partitions=5).toPandas().set_index("g")
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", "true")
+    for g, s in pdf.groupby("g")["v"]:
+        assert got.loc[g, "q1"] == s.quantile(0.25) and got.loc[g, "q3"] == s.quantile(0.75)

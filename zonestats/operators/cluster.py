@@ -53,6 +53,18 @@ def standardize(df: DataFrame, cols: Sequence[str], suffix: str = "",
     return out
 
 
+def _training_input(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """The complete feature rows for an iterative fit: written once as a
+    reliable checkpoint (the shared ``spark.checkpoint.dir``) to cut the
+    lineage back to the source joins, then kept in memory/disk for the
+    iterations. A lost executor's blocks are re-read from the checkpoint,
+    not recomputed from the sources."""
+    from zonestats.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    clean = df.select(*cols).dropna().checkpoint(eager=True)
+    return clean.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _vectors(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
     return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="error").transform(df)
@@ -95,13 +107,13 @@ def elbow(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(2, 10),
     """k-means inertia (within-cluster sum of squares) for each k, on the
     given (already standardised) columns.
 
-    The feature columns are persisted once for all fits and released
-    afterwards (lost blocks are recomputed from lineage). The fits are independent
+    The feature columns are checkpointed and persisted once for all fits
+    and released afterwards (see ``_training_input``). The fits are independent
     Spark jobs, submitted from ``parallelism`` driver threads so the
     cluster is not idle between the short iteration jobs of one fit.
     """
     from concurrent.futures import ThreadPoolExecutor
-    clean = df.select(*cols).dropna().persist(StorageLevel.MEMORY_AND_DISK)
+    clean = _training_input(df, cols)
     try:
         var = _mean_variance(clean, cols)
         vec = _vectors(clean, cols).select("features")
@@ -119,11 +131,11 @@ def elbow(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(2, 10),
 
 def kmeans_labels(df: DataFrame, cols: Sequence[str], k: int = 4, seed: int = 42,
                   out: str = "cluster", max_iter: int = KMEANS_MAX_ITER) -> DataFrame:
-    """Append a k-means cluster number. The model is fitted on persisted
-    feature vectors (released after the fit); labelling is a lazy
+    """Append a k-means cluster number. The model is fitted on checkpointed
+    feature rows (released after the fit); labelling is a lazy
     transform of ``df``. Cluster numbers are made deterministic by
     renumbering the centres in lexicographic order."""
-    clean = df.select(*cols).dropna().persist(StorageLevel.MEMORY_AND_DISK)
+    clean = _training_input(df, cols)
     try:
         tol = spark_tol(_mean_variance(clean, cols), k)
         train = _vectors(clean, cols, "_features").select("_features")
@@ -143,7 +155,7 @@ def pca2(df: DataFrame, cols: Sequence[str], names: Sequence[str] = ("PC1", "PC2
     each component is fixed so that its largest absolute loading is
     positive; scores are column arithmetic on ``df``."""
     from pyspark.ml.feature import PCA
-    clean = df.select(*cols).dropna().persist(StorageLevel.MEMORY_AND_DISK)
+    clean = _training_input(df, cols)
     try:
         model = PCA(k=2, inputCol="features", outputCol="_pca").fit(_vectors(clean, cols))
     finally:

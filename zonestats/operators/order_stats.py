@@ -82,6 +82,8 @@ def _stable(s: DataFrame) -> DataFrame:
     session turned exchange reuse off, pin the partitioning by a reliable
     checkpoint in the configured checkpoint folder."""
     if s.sparkSession.conf.get("spark.sql.exchange.reuse", "true").lower() != "true":
+        from zonestats.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(s.sparkSession)
         return s.checkpoint(eager=True)
     return s
 

@@ -48,13 +48,17 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the configured ``spark.checkpoint.dir``; only when it is unset
-    (local tests) fall back to a fresh scratch folder."""
+    """Use the configured ``spark.checkpoint.dir`` (a shared folder on a
+    cluster). Only a local master without that setting (tests) falls back
+    to a fresh scratch folder; on a cluster a missing setting is an error,
+    never a machine-local folder."""
     d = checkpoint_dir(spark)
     if d:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(d)
         return spark.sparkContext.getCheckpointDir() or d
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
     d = tempfile.mkdtemp(prefix="zonestats-ckpt-")
     spark.sparkContext.setCheckpointDir(d)
     return d
