@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from zonestats.operators.rank import head_n, rank_by, share_of_total, tail_n, top_k
 from zonestats.plans.registry import register, rounded
