@@ -48,3 +48,11 @@ def test_semi_and_anti_partition_the_input(spark):
     anti = missing_keys(docs, labels, "doc_id")
     assert semi.count() + anti.count() == docs.count()
     assert semi.intersect(anti).count() == 0
+
+
+def test_declared_driver_schemas_match_files(spark):
+    from zonestats.plans.standins import DRIVER_SCHEMAS
+    for name, ddl in DRIVER_SCHEMAS.items():
+        inferred = spark.read.parquet(f"{SF_SMALL}/{name}.parquet").schema
+        declared = DriverTables(spark, SF_SMALL)[name].schema
+        assert [(f.name, f.dataType) for f in inferred] == [(f.name, f.dataType) for f in declared], name

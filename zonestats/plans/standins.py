@@ -40,9 +40,35 @@ DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "
 # Tables whose row count does not grow with the scale factor (TPC-H spec).
 FIXED_SIZE_TABLES = {"region": 5, "nation": 25}
 
+# Declared schemas of the driver tables: reading with them skips Spark's
+# footer-reading schema inference job on every scan.
+DRIVER_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+                "c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+            "p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+                "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "
+              "props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
 
 class DriverTables:
-    """Lazy parquet readers for ``{sf_dir}/{name}.parquet``."""
+    """Lazy parquet readers for ``{sf_dir}/{name}.parquet`` with declared
+    schemas (no inference pass)."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -51,7 +77,10 @@ class DriverTables:
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._cache:
-            self._cache[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            reader = self.spark.read
+            if name in DRIVER_SCHEMAS:
+                reader = reader.schema(DRIVER_SCHEMAS[name])
+            self._cache[name] = reader.parquet(f"{self.sf_dir}/{name}.parquet")
         return self._cache[name]
 
     def fixed(self, name: str) -> DataFrame:
