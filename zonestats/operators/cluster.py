@@ -61,8 +61,14 @@ def _training_input(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     not recomputed from the sources."""
     from zonestats.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
-    clean = df.select(*cols).dropna().checkpoint(eager=True)
-    return clean.persist(StorageLevel.MEMORY_AND_DISK)
+    # cached first, so writing the checkpoint does not compute the sources twice
+    base = df.select(*cols).dropna().persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        clean = base.checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
+        clean.count()
+    finally:
+        base.unpersist()
+    return clean
 
 
 def _vectors(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:
