@@ -53,16 +53,18 @@ def standardize(df: DataFrame, cols: Sequence[str], suffix: str = "",
     return out
 
 
-def _training_input(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def _training_input(df: DataFrame, cols: Sequence[str], keep_all: bool = False) -> DataFrame:
     """The complete feature rows for an iterative fit: written once as a
     reliable checkpoint (the shared ``spark.checkpoint.dir``) to cut the
     lineage back to the source joins, then kept in memory/disk for the
     iterations. A lost executor's blocks are re-read from the checkpoint,
-    not recomputed from the sources."""
+    not recomputed from the sources. ``keep_all`` keeps every column, so
+    outputs built on it read the checkpoint too."""
     from zonestats.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
+    rows = df.dropna(subset=list(cols)) if keep_all else df.select(*cols).dropna()
     # cached first, so writing the checkpoint does not compute the sources twice
-    base = df.select(*cols).dropna().persist(StorageLevel.MEMORY_AND_DISK)
+    base = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         clean = base.checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
         clean.count()
@@ -137,37 +139,40 @@ def elbow(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(2, 10),
 
 def kmeans_labels(df: DataFrame, cols: Sequence[str], k: int = 4, seed: int = 42,
                   out: str = "cluster", max_iter: int = KMEANS_MAX_ITER) -> DataFrame:
-    """Append a k-means cluster number. The model is fitted on checkpointed
-    feature rows (released after the fit); labelling is a lazy
-    transform of ``df``. Cluster numbers are made deterministic by
-    renumbering the centres in lexicographic order."""
-    clean = _training_input(df, cols)
+    """The rows with complete features, with a k-means cluster number.
+
+    The rows are checkpointed once; the fit and the labelled output both
+    read that copy (the output stays valid after the cache is released).
+    Cluster numbers are made deterministic by renumbering the centres in
+    lexicographic order."""
+    data = _training_input(df, cols, keep_all=True)
     try:
-        tol = spark_tol(_mean_variance(clean, cols), k)
-        train = _vectors(clean, cols, "_features").select("_features")
+        tol = spark_tol(_mean_variance(data, cols), k)
+        train = _vectors(data.select(*cols), cols, "_features")
         model = _kmeans(k, seed, max_iter, "_features", "_pred", tol=tol).fit(train)
     finally:
-        clean.unpersist()
+        data.unpersist()
     centres = [tuple(float(x) for x in c) for c in model.clusterCenters()]
     order = sorted(range(len(centres)), key=lambda i: centres[i])
     remap = F.create_map(*[x for new, old in enumerate(order) for x in (F.lit(old), F.lit(new))])
-    labelled = model.transform(_vectors(df, cols, "_features"))
+    labelled = model.transform(_vectors(data, cols, "_features"))
     return labelled.withColumn(out, F.element_at(remap, F.col("_pred"))).drop("_features", "_pred")
 
 
 def pca2(df: DataFrame, cols: Sequence[str], names: Sequence[str] = ("PC1", "PC2")) -> DataFrame:
-    """Scores on the first two principal components of (standardised,
-    centred) columns. The covariance is one distributed pass; the sign of
-    each component is fixed so that its largest absolute loading is
-    positive; scores are column arithmetic on ``df``."""
+    """The rows with complete (standardised, centred) features, with their
+    scores on the first two principal components. The covariance is one
+    distributed pass over the checkpointed rows; the sign of each
+    component is fixed so that its largest absolute loading is positive;
+    scores are column arithmetic on the same checkpointed rows."""
     from pyspark.ml.feature import PCA
-    clean = _training_input(df, cols)
+    data = _training_input(df, cols, keep_all=True)
     try:
-        model = PCA(k=2, inputCol="features", outputCol="_pca").fit(_vectors(clean, cols))
+        model = PCA(k=2, inputCol="features", outputCol="_pca").fit(_vectors(data.select(*cols), cols))
     finally:
-        clean.unpersist()
+        data.unpersist()
     pc = model.pc.toArray()  # d x 2 loadings (driver metadata)
-    out = df
+    out = data
     for j, name in enumerate(names):
         load = [float(v) for v in pc[:, j]]
         big = max(range(len(load)), key=lambda i: abs(load[i]))
