@@ -53,7 +53,20 @@ def standardize(df: DataFrame, cols: Sequence[str], suffix: str = "",
     return out
 
 
-def _training_input(df: DataFrame, cols: Sequence[str], keep_all: bool = False) -> DataFrame:
+def cluster_input(df: DataFrame, cols: Sequence[str],
+                  scales: Mapping[str, int] | None = None) -> DataFrame:
+    """The reference's clustering input: the rows with complete features,
+    standardised. The rows are checkpointed once (shared folder); the
+    means/stds and the z-scores are then computed from the checkpoint, so
+    the sources are read once however many fits follow (pass
+    ``checkpoint=False`` to the fits)."""
+    data = _training_input(df, cols, keep_all=True)
+    data.unpersist()  # the checkpoint files stay; they are the lineage
+    return standardize(data, cols, scales=scales)
+
+
+def _training_input(df: DataFrame, cols: Sequence[str], keep_all: bool = False,
+                    checkpoint: bool = True) -> DataFrame:
     """The complete feature rows for an iterative fit: written once as a
     reliable checkpoint (the shared ``spark.checkpoint.dir``) to cut the
     lineage back to the source joins, then kept in memory/disk for the
@@ -61,8 +74,15 @@ def _training_input(df: DataFrame, cols: Sequence[str], keep_all: bool = False)
     not recomputed from the sources. ``keep_all`` keeps every column, so
     outputs built on it read the checkpoint too."""
     from zonestats.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
     rows = df.dropna(subset=list(cols)) if keep_all else df.select(*cols).dropna()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:
+        # fewer partitions than cores (e.g. one large file): spread the rows
+        # once, so every iteration uses the whole cluster
+        rows = rows.repartition(cores)
+    if not checkpoint:  # input lineage already short (e.g. from cluster_input)
+        return rows.persist(StorageLevel.MEMORY_AND_DISK)
+    ensure_checkpoint_dir(df.sparkSession)
     # cached first, so writing the checkpoint does not compute the sources twice
     base = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -111,7 +131,8 @@ def _kmeans(k: int, seed: int, max_iter: int, features: str, prediction: str = "
 
 
 def elbow(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(2, 10), seed: int = 42,
-          max_iter: int = KMEANS_MAX_ITER, parallelism: int = 4) -> DataFrame:
+          max_iter: int = KMEANS_MAX_ITER, parallelism: int = 4,
+          checkpoint: bool = True) -> DataFrame:
     """k-means inertia (within-cluster sum of squares) for each k, on the
     given (already standardised) columns.
 
@@ -121,7 +142,7 @@ def elbow(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(2, 10),
     cluster is not idle between the short iteration jobs of one fit.
     """
     from concurrent.futures import ThreadPoolExecutor
-    clean = _training_input(df, cols)
+    clean = _training_input(df, cols, checkpoint=checkpoint)
     try:
         var = _mean_variance(clean, cols)
         vec = _vectors(clean, cols).select("features")
@@ -138,14 +159,15 @@ def elbow(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(2, 10),
 
 
 def kmeans_labels(df: DataFrame, cols: Sequence[str], k: int = 4, seed: int = 42,
-                  out: str = "cluster", max_iter: int = KMEANS_MAX_ITER) -> DataFrame:
+                  out: str = "cluster", max_iter: int = KMEANS_MAX_ITER,
+                  checkpoint: bool = True) -> DataFrame:
     """The rows with complete features, with a k-means cluster number.
 
     The rows are checkpointed once; the fit and the labelled output both
     read that copy (the output stays valid after the cache is released).
     Cluster numbers are made deterministic by renumbering the centres in
     lexicographic order."""
-    data = _training_input(df, cols, keep_all=True)
+    data = _training_input(df, cols, keep_all=True, checkpoint=checkpoint)
     try:
         tol = spark_tol(_mean_variance(data, cols), k)
         train = _vectors(data.select(*cols), cols, "_features")
@@ -159,14 +181,15 @@ def kmeans_labels(df: DataFrame, cols: Sequence[str], k: int = 4, seed: int = 42
     return labelled.withColumn(out, F.element_at(remap, F.col("_pred"))).drop("_features", "_pred")
 
 
-def pca2(df: DataFrame, cols: Sequence[str], names: Sequence[str] = ("PC1", "PC2")) -> DataFrame:
+def pca2(df: DataFrame, cols: Sequence[str], names: Sequence[str] = ("PC1", "PC2"),
+         checkpoint: bool = True) -> DataFrame:
     """The rows with complete (standardised, centred) features, with their
     scores on the first two principal components. The covariance is one
     distributed pass over the checkpointed rows; the sign of each
     component is fixed so that its largest absolute loading is positive;
     scores are column arithmetic on the same checkpointed rows."""
     from pyspark.ml.feature import PCA
-    data = _training_input(df, cols, keep_all=True)
+    data = _training_input(df, cols, keep_all=True, checkpoint=checkpoint)
     try:
         model = PCA(k=2, inputCol="features", outputCol="_pca").fit(_vectors(data.select(*cols), cols))
     finally:

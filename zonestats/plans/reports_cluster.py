@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from zonestats.functions.columns import power_factor
 from zonestats.operators.cluster import (
     classify,
+    cluster_input,
     cluster_summary,
     elbow,
     kmeans_labels,
@@ -132,21 +133,22 @@ def _label_members(spark, d):
 
 
 def _zview(spark, d):
-    v = driver_view(spark, d).select(L.town_id, L.town_name, L.ts, *FEATURES).dropna()
-    return standardize(v, FEATURES, scales=SCALES)
+    """Rows with complete features, standardised, read from a checkpoint."""
+    v = driver_view(spark, d).select(L.town_id, L.town_name, L.ts, *FEATURES)
+    return cluster_input(v, FEATURES, scales=SCALES)
 
 
 @register("elbow")
 def _elbow(spark, d):
-    return elbow(_zview(spark, d), FEATURES, ks=range(2, 10), seed=42)
+    return elbow(_zview(spark, d), FEATURES, ks=range(2, 10), seed=42, checkpoint=False)
 
 
 @register("kmeans_labels")
 def _kmeans_labels(spark, d):
-    return kmeans_labels(_zview(spark, d), FEATURES, k=4, seed=42) \
+    return kmeans_labels(_zview(spark, d), FEATURES, k=4, seed=42, checkpoint=False) \
         .select(L.town_id, L.ts, "cluster")
 
 
 @register("pca2")
 def _pca2(spark, d):
-    return pca2(_zview(spark, d), FEATURES).select(L.town_id, L.ts, "PC1", "PC2")
+    return pca2(_zview(spark, d), FEATURES, checkpoint=False).select(L.town_id, L.ts, "PC1", "PC2")
