@@ -35,7 +35,7 @@ from zonestats.operators.joins import bounded_broadcast
 
 # Above this many place rows (towns x census rows) the view is joined by
 # sort-merge instead of broadcast (about 100 bytes per place row).
-PLACE_BROADCAST_ROWS = 2_000_000
+PLACE_BROADCAST_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
