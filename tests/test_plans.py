@@ -43,3 +43,25 @@ def test_quantile_offsets_and_rows_share_one_exchange(spark):
     df.collect()
     final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "ReusedExchange" in final and "rangepartitioning" in final
+
+
+def test_place_join_beyond_bound_same_result(spark):
+    from pyspark.sql import functions as F
+    from zonestats.plans.standins import DriverTables, census, departments, municipalities, services, towns
+    from zonestats.plans.star import star_view
+    t = DriverTables(spark, SF_SMALL)
+    parts = (services(t), towns(t), municipalities(t), departments(t), census(t))
+    small = star_view(*parts)                               # broadcast after the check
+    big = star_view(*parts, place_broadcast_rows=10)        # bound exceeded: shuffle join
+    cols = ["town_id", "peak_ts", "active_energy", "dept_name", "population"]
+    assert small.select(cols).exceptAll(big.select(cols)).count() == 0
+    assert big.select(cols).exceptAll(small.select(cols)).count() == 0
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = big.groupBy("dept_name").agg(F.sum("active_energy"))._jdf.queryExecution() \
+               .executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in p
