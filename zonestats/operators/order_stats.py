@@ -201,7 +201,11 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     """
     keys = list(keys)
     probs = [float(p) for p in probs]
+    if any(not 0.0 <= p <= 1.0 for p in probs):
+        raise ValueError(f"probabilities must lie in [0, 1]: {probs}")
     names = list(names) if names else [_pname(p) for p in probs]
+    if len(names) != len(probs):
+        raise ValueError("one name per probability")
     pos = weighted_positions(df, keys, value, num_partitions, weight)
     n1 = (F.col("_n") - F.lit(1)).cast("double")
     lo_end = F.col("_before") + F.col("_w")
