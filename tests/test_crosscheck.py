@@ -184,3 +184,30 @@ def test_quantiles_without_exchange_reuse(spark):
         spark.conf.set("spark.sql.exchange.reuse", "true")
     for g, s in pdf.groupby("g")["v"]:
         assert got.loc[g, "q1"] == s.quantile(0.25) and got.loc[g, "q3"] == s.quantile(0.75)
+
+
+def test_global_statistics_vs_pandas(spark):
+    df, pdf = _frame(spark)
+    s = pdf["v"]
+    b = box_stats(df, "v").first()
+    p = position_stats(df, "v").first()
+    lo, hi = p["lower_fence"], p["upper_fence"]
+    inside = s[(s >= lo) & (s <= hi)]
+    assert (b["q1"], b["median"], b["q3"]) == (s.quantile(0.25), s.quantile(0.5), s.quantile(0.75))
+    assert b["lower_whisker"] == inside.min() and b["upper_whisker"] == inside.max()
+    assert b["n_outliers"] == len(s) - len(inside)
+    sp = spread_stats(df, "v", scale=2).first()
+    assert sp["min"] == s.min() and sp["max"] == s.max() and sp["std"] == round(s.std(), 2)
+    assert math.isclose(sp["variance"], s.var(), rel_tol=1e-12)
+    c = centre_stats(df, "v", scale=2).toPandas()
+    assert sorted(c["mode"]) == sorted(s.mode().tolist()) and c["median"].iloc[0] == s.median()
+
+
+def test_single_series_sorted_by_time(spark):
+    import datetime as dt
+    from zonestats.operators.lookup import time_series
+    rows = [(1, dt.datetime(2025, 5, 23), 3.0), (2, dt.datetime(2025, 5, 21), 1.0),
+            (1, dt.datetime(2025, 5, 21), 2.0), (1, dt.datetime(2025, 5, 22), 5.0)]
+    df = spark.createDataFrame(rows, "town long, ts timestamp_ntz, v double")
+    got = [(r["ts"].day, r["v"]) for r in time_series(df, "ts", ["v"], key="town", key_value=1).collect()]
+    assert got == [(21, 2.0), (22, 5.0), (23, 3.0)]
