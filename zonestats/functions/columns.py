@@ -1,8 +1,8 @@
 """Column expressions shared by the operators.
 
 Everything here returns a ``pyspark.sql.Column`` built from built-in
-functions, so it stays inside whole-stage codegen; there is no Python UDF
-anywhere in the package.
+functions, so it stays inside whole-stage codegen; there is no
+row-at-a-time Python UDF in the package.
 """
 
 from __future__ import annotations
