@@ -81,8 +81,8 @@ def test_jdbc_options():
                      lower_bound=1, upper_bound=100, num_partitions=4)
     assert o["dbtable"] == "(SELECT * FROM v) AS src" and "query" not in o
     assert o["numPartitions"] == "4" and o["preferTimestampNTZ"] == "true"
-    o2 = jdbc_options("jdbc:postgresql://host/db", table="energias.servicios_detalle")
-    assert o2["dbtable"] == "energias.servicios_detalle" and "password" not in o2
+    o2 = jdbc_options("jdbc:postgresql://host/db", table="public.service_view")
+    assert o2["dbtable"] == "public.service_view" and "password" not in o2
     with pytest.raises(ValueError):
         jdbc_options("u")
 

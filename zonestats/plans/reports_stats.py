@@ -49,8 +49,8 @@ def _lookup_id(spark, d):
 def _lookup_id_sql(spark, d):
     """The lookup as parameterised SQL over a session view of the star view:
     table, columns and value are bound parameters, not pasted text."""
-    driver_view(spark, d).createOrReplaceTempView("servicios_detalle")
-    return lookup_id_sql(spark, "servicios_detalle", L.town_id, L.town_name, "Customer#000000042")
+    driver_view(spark, d).createOrReplaceTempView("service_view")
+    return lookup_id_sql(spark, "service_view", L.town_id, L.town_name, "Customer#000000042")
 
 
 @register("lookup_ids",
