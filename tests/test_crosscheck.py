@@ -56,8 +56,9 @@ def test_ranks_are_a_permutation_per_group(spark):
         assert list(part.sort_values("_rank")["v"]) == sorted(part["v"])
 
 
-def test_spread_shape_centre_vs_pandas(spark):
-    df, pdf = _frame(spark)
+@pytest.mark.parametrize("hot", [0.0, 1 / 3])
+def test_spread_shape_centre_vs_pandas(spark, hot):
+    df, pdf = _frame(spark, hot_share=hot)
     sp = spread_stats(df, "v", ["g"], scale=2).toPandas().set_index("g")
     sh = shape_stats(df, "v", ["g"]).toPandas().set_index("g")
     for g, s in pdf.groupby("g")["v"]:
@@ -78,8 +79,9 @@ def test_spread_shape_centre_vs_pandas(spark):
         assert sub["median"].iloc[0] == s.median()
 
 
-def test_box_whiskers(spark):
-    df, pdf = _frame(spark)
+@pytest.mark.parametrize("hot", [0.0, 1 / 3])
+def test_box_whiskers(spark, hot):
+    df, pdf = _frame(spark, hot_share=hot)
     b = box_stats(df, "v", ["g"]).toPandas().set_index("g")
     p = position_stats(df, "v", ["g"]).toPandas().set_index("g")
     for g, s in pdf.groupby("g")["v"]:
@@ -90,8 +92,9 @@ def test_box_whiskers(spark):
         assert b.loc[g, "n_outliers"] == len(s) - len(inside)
 
 
-def test_frequency_table_vs_pd_cut(spark):
-    df, pdf = _frame(spark)
+@pytest.mark.parametrize("hot", [0.0, 1 / 3])
+def test_frequency_table_vs_pd_cut(spark, hot):
+    df, pdf = _frame(spark, hot_share=hot)
     ft = frequency_table(df, "v", ["g"]).toPandas()
     for g, s in pdf.groupby("g")["v"]:
         bins = int(math.log2(len(s) + 1))
@@ -211,3 +214,13 @@ def test_single_series_sorted_by_time(spark):
     df = spark.createDataFrame(rows, "town long, ts timestamp_ntz, v double")
     got = [(r["ts"].day, r["v"]) for r in time_series(df, "ts", ["v"], key="town", key_value=1).collect()]
     assert got == [(21, 2.0), (22, 5.0), (23, 3.0)]
+
+
+def test_exact_sum_overflow_raises(spark):
+    from pyspark.sql import functions as F
+    from zonestats.operators.rank import exact_sum
+    df = spark.createDataFrame([(9.0e16,), (9.0e16,)], "v double")
+    with pytest.raises(Exception):
+        df.agg(exact_sum("v", 2)).collect()   # 1.8e19 cents > 2^63: error, not a wrong sum
+    ok = spark.createDataFrame([(0.1,), (0.2,)], "v double").agg(exact_sum("v", 2).alias("s")).first()
+    assert ok["s"] == 0.3
