@@ -65,3 +65,23 @@ def test_place_join_beyond_bound_same_result(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" in p
+
+
+def test_declared_unique_census_drops_unused_join(spark):
+    from zonestats.operators.rank import rank_by
+    from zonestats.plans.standins import DriverTables, census, departments, municipalities, services, towns
+    from zonestats.plans.star import SHORT_LABELS as L
+    from zonestats.plans.star import star_view
+    t = DriverTables(spark, SF_SMALL)
+    parts = (services(t), towns(t), municipalities(t), departments(t), census(t))
+
+    def plan_and_rows(unique, measure):
+        v = star_view(*parts, census_unique=unique)
+        r = rank_by(v, L.level_keys[1], measure, "sum", scale=2)
+        return r._jdf.queryExecution().optimizedPlan().toString().count("Join "), sorted(r.collect())
+
+    joins_default, rows_default = plan_and_rows(False, L.active)
+    joins_unique, rows_unique = plan_and_rows(True, L.active)
+    assert joins_unique == joins_default - 1 and rows_unique == rows_default
+    # census columns used: same result (customer keys are unique in this data)
+    assert plan_and_rows(True, L.population)[1] == plan_and_rows(False, L.population)[1]

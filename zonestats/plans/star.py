@@ -121,9 +121,16 @@ SHORT_LABELS = ViewLabels(
 
 
 def place_dimension(towns: DataFrame, municipalities: DataFrame, departments: DataFrame,
-                    census: DataFrame, labels: ViewLabels = SHORT_LABELS) -> DataFrame:
+                    census: DataFrame, labels: ViewLabels = SHORT_LABELS,
+                    census_unique: bool = False) -> DataFrame:
     """town LEFT JOIN municipality LEFT JOIN department LEFT JOIN census,
-    one row per (town, census row)."""
+    one row per (town, census row).
+
+    ``census_unique``: the caller asserts one census row per town (a
+    primary key). The census side is then grouped by town, which makes the
+    uniqueness visible to Catalyst, so queries that use no census column
+    lose the census join altogether. The default keeps the source view's
+    semantics (a duplicated census row doubles the town's rows)."""
     t = towns.select(
         F.col("id_centro_poblado").alias("_tid"),
         F.col("centro_poblado").alias(labels.town_name),
@@ -146,6 +153,8 @@ def place_dimension(towns: DataFrame, municipalities: DataFrame, departments: Da
         F.col("personas_nbi").alias(labels.need),
         F.col("servicios").alias(labels.services),
     )
+    if census_unique:  # one row per town: max() is that row's value
+        n = n.groupBy("_n_tid").agg(*[F.max(c).alias(c) for c in n.columns if c != "_n_tid"])
     tm = t.join(m, t["_mid"] == m["_m_mid"], "left")
     tmd = tm.join(d, tm["_did"] == d[labels.dept_id], "left")
     place = tmd.join(n, tmd["_tid"] == n["_n_tid"], "left")
@@ -161,7 +170,8 @@ def place_dimension(towns: DataFrame, municipalities: DataFrame, departments: Da
 def star_view(services: DataFrame, towns: DataFrame, municipalities: DataFrame,
               departments: DataFrame, census: DataFrame,
               labels: ViewLabels = SHORT_LABELS,
-              place_broadcast_rows: int | None = PLACE_BROADCAST_ROWS) -> DataFrame:
+              place_broadcast_rows: int | None = PLACE_BROADCAST_ROWS,
+              census_unique: bool = False) -> DataFrame:
     """The 17-column analytic view, lazily. Callers select what they need;
     Catalyst prunes the rest down to the parquet scans.
 
@@ -170,7 +180,7 @@ def star_view(services: DataFrame, towns: DataFrame, municipalities: DataFrame,
     the place dimension is broadcast behind an explicit row-count check
     (``place_broadcast_rows``, ``None`` disables), and joined by sort-merge
     beyond it."""
-    place = place_dimension(towns, municipalities, departments, census, labels)
+    place = place_dimension(towns, municipalities, departments, census, labels, census_unique)
     if place_broadcast_rows:
         place = bounded_broadcast(place, place_broadcast_rows)
     e = services.select(
