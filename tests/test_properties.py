@@ -56,3 +56,15 @@ def test_declared_driver_schemas_match_files(spark):
         inferred = spark.read.parquet(f"{SF_SMALL}/{name}.parquet").schema
         declared = DriverTables(spark, SF_SMALL)[name].schema
         assert [(f.name, f.dataType) for f in inferred] == [(f.name, f.dataType) for f in declared], name
+
+
+def test_exact_sums_do_not_depend_on_partitioning(spark):
+    from zonestats.operators.rank import rank_by
+    from zonestats.plans.star import SHORT_LABELS as L
+    v = driver_view(spark, SF_SMALL).select(L.dept_name, L.active, L.reactive)
+    results = []
+    for n in (1, 3, 11):
+        parted = v.repartition(n)
+        r = rank_by(parted, [L.dept_name], L.reactive, "avg", scale=4)
+        results.append(sorted(r.collect()))
+    assert results[0] == results[1] == results[2]
