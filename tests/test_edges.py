@@ -222,3 +222,12 @@ def test_label_members_map_and_join_paths(spark):
     want = [(1, "a"), (2, "b"), (3, "a"), (4, "c")]
     for df in (by_map, by_join):
         assert sorted((r["id"], r["description"]) for r in df.collect()) == want
+
+
+def test_label_precision_grows_until_edges_differ(spark):
+    import pandas as pd
+    vals = [0.125, 0.125, 0.125]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    got = [r["interval"] for r in frequency_table(df, "v").orderBy("class").collect()]
+    want = [str(i) for i in pd.cut(pd.Series(vals), bins=2).value_counts().sort_index().index]
+    assert got == want

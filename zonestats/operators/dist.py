@@ -43,19 +43,33 @@ def _attach(rows: DataFrame, per_group: DataFrame, keys: Sequence[str], cols: Se
     return rows.withColumns({c: st.getField(c) for c in cols})
 
 
-def round_frac(x: Column, precision: int = 3) -> Column:
+def round_frac(x: Column, precision: int | Column = 3) -> Column:
     """pandas' label rounding: ``precision`` decimals, or ``precision``
     significant fractional digits when |x| < 1."""
+    prec = F.lit(precision) if isinstance(precision, int) else precision
     frac = x - F.when(x >= 0, F.floor(x)).otherwise(F.ceil(x))
     whole = x - frac
-    digits = F.when(whole == 0, -F.floor(F.log10(F.abs(frac))) - 1 + precision) \
-              .otherwise(F.lit(precision)).cast("int")
+    digits = F.when(whole == 0, -F.floor(F.log10(F.abs(frac))) - 1 + prec) \
+              .otherwise(prec).cast("int")
     p = F.pow(F.lit(10.0), digits)
     rounded = F.rint(x * p) / p
     return F.when((x == 0) | F.isnan(x), x).otherwise(rounded)
 
 
-def interval_label(lo: Column, hi: Column, precision: int = 3) -> Column:
+def label_precision(edges: Column, base: int = 3) -> Column:
+    """pandas' precision inference for class labels: the smallest precision
+    from ``base`` up to 19 at which the rounded edges are all distinct
+    (``base`` if none is). Evaluated once per group on its edge array."""
+    def distinct_at(p: int) -> Column:
+        rounded = F.transform(edges, lambda e: round_frac(e, p))
+        return F.size(F.array_distinct(rounded)) == F.size(edges)
+    expr = F.when(distinct_at(base), F.lit(base))
+    for p in range(base + 1, 20):
+        expr = expr.when(distinct_at(p), F.lit(p))
+    return expr.otherwise(F.lit(base))
+
+
+def interval_label(lo: Column, hi: Column, precision: int | Column = 3) -> Column:
     return F.concat(F.lit("("), float_text(round_frac(lo, precision)), F.lit(", "),
                     float_text(round_frac(hi, precision)), F.lit("]"))
 
@@ -89,20 +103,21 @@ def frequency_table(df: DataFrame, value: str, keys: Sequence[str] = (),
         lambda i: F.when(i == 0, first).when(i == F.col("_bins"), F.col("_stop"))
                    .otherwise(i.cast("double") * step + F.col("_start")))
     g = g.withColumn("_edges", edges)
+    g = g.withColumn("_prec", label_precision(F.col("_edges"), precision))
 
     rows = _attach(c.where(F.col(value).isNotNull()), g, keys, ["_edges"]) \
         .where(F.col("_edges").isNotNull())
     cls = F.size(F.filter(F.col("_edges"), lambda e: e < F.col(value)))
     counts = rows.groupBy(*keys, cls.alias("class")).agg(F.sum("_w").alias("freq"))
 
-    classes = g.select(*keys, "_n", "_edges",
+    classes = g.select(*keys, "_n", "_edges", "_prec",
                        F.explode(F.sequence(F.lit(1), F.col("_bins"))).alias("class"))
     t = classes.join(counts, [*keys, "class"], "left")
     t = t.select(
         *keys, "class",
         F.element_at(F.col("_edges"), F.col("class")).alias("lower"),
         F.element_at(F.col("_edges"), F.col("class") + 1).alias("upper"),
-        F.coalesce(F.col("freq"), F.lit(0)).alias("freq"), "_n",
+        F.coalesce(F.col("freq"), F.lit(0)).alias("freq"), "_n", "_prec",
     )
     w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("class") \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -110,7 +125,7 @@ def frequency_table(df: DataFrame, value: str, keys: Sequence[str] = (),
     t = t.withColumn("rel_freq", rel)
     return t.select(
         *keys, "class", "lower", "upper",
-        interval_label(F.col("lower"), F.col("upper"), precision).alias("interval"),
+        interval_label(F.col("lower"), F.col("upper"), F.col("_prec")).alias("interval"),
         "freq", F.sum("freq").over(w).alias("cum_freq"),
         "rel_freq", F.sum("rel_freq").over(w).alias("cum_rel_freq"),
     ).orderBy(*keys, "class")

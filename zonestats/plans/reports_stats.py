@@ -186,12 +186,19 @@ def _box_stats(spark, d):
 
 # ---- distributions --------------------------------------------------------------
 
-def _round_frac_sql(x: str) -> str:
-    d = (f"CAST(CASE WHEN trunc({x}) = 0 THEN -floor(log10(abs({x} - trunc({x})))) - 1 + 3 "
-         "ELSE 3 END AS INTEGER)")
+def _round_frac_sql(x: str, p: str = "3") -> str:
+    d = (f"CAST(CASE WHEN trunc({x}) = 0 THEN -floor(log10(abs({x} - trunc({x})))) - 1 + {p} "
+         f"ELSE {p} END AS INTEGER)")
     return (f"CASE WHEN {x} = 0 THEN {x} ELSE round_even({x} * pow(10.0, {d}), 0) / pow(10.0, {d}) END")
 
 
+def _prec_sql(edges: str) -> str:
+    conds = " ".join(
+        f"WHEN len(list_distinct(list_transform({edges}, lambda q: {_round_frac_sql('q', str(p))}))) "
+        f"= len({edges}) THEN {p}" for p in range(3, 20))
+    return f"CASE {conds} ELSE 3 END"
+
+
 _FREQ_SQL = (
     "WITH g AS (SELECT user_id, count(*) AS n_all, count(value) AS n, min(value) AS mn, "
     "max(value) AS mx FROM events GROUP BY user_id), "
@@ -205,17 +212,18 @@ _FREQ_SQL = (
     "FROM p WHERE bins > 0), "
     "c AS (SELECT ev.user_id, len(list_filter(e.edges, lambda x: x < ev.value)) AS class, count(*) AS freq "
     "FROM events ev JOIN e ON ev.user_id = e.user_id WHERE ev.value IS NOT NULL GROUP BY 1, 2), "
-    "k AS (SELECT user_id, n, edges, unnest(range(1, bins + 1)) AS class FROM e), "
+    f"k AS (SELECT user_id, n, edges, {_prec_sql('edges')} AS prec, "
+    "unnest(range(1, bins + 1)) AS class FROM e), "
     "t AS (SELECT k.user_id, CAST(k.class AS INTEGER) AS class, k.edges[k.class] AS lower, "
-    "k.edges[k.class + 1] AS upper, coalesce(c.freq, 0) AS freq, k.n FROM k "
+    "k.edges[k.class + 1] AS upper, coalesce(c.freq, 0) AS freq, k.n, k.prec FROM k "
     "LEFT JOIN c ON k.user_id = c.user_id AND k.class = c.class) "
 )
 
 
 @register("frequency_table",
           f"{_FREQ_SQL} SELECT user_id, class, lower, upper, "
-          f"'(' || CAST({_round_frac_sql('lower')} AS VARCHAR) || ', ' || "
-          f"CAST({_round_frac_sql('upper')} AS VARCHAR) || ']' AS interval, freq, "
+          f"'(' || CAST({_round_frac_sql('lower', 'prec')} AS VARCHAR) || ', ' || "
+          f"CAST({_round_frac_sql('upper', 'prec')} AS VARCHAR) || ']' AS interval, freq, "
           "CAST(sum(freq) OVER (PARTITION BY user_id ORDER BY class ROWS BETWEEN UNBOUNDED PRECEDING "
           "AND CURRENT ROW) AS BIGINT) AS cum_freq, round(freq / n * 100.0, 9) AS rel_freq, "
           "round(sum(freq / n * 100.0) OVER (PARTITION BY user_id ORDER BY class ROWS BETWEEN "
