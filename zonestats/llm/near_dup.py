@@ -24,6 +24,7 @@ from zonestats.llm.components import connected_components
 
 BANDS, ROWS = 32, 5  # a pair at 0.8 shares no band with probability (1 - 0.8 ** 5) ** 32 = 3e-6
 BLOCK = 512  # documents compared with one another at once
+FILTER_BITS = 1 << 26  # 8 MB: the bitmap of candidate ids
 _CHUNK = 4096  # shingles hashed, or matrix columns filled, at once
 
 
@@ -177,6 +178,23 @@ def _link_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
     yield flush()
 
 
+def _maybe_in(docs: DataFrame, chosen: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The documents whose hashed id is set in a bitmap of the chosen ids, so
+    that the join that follows shuffles few other texts. The bitmap is built
+    by a grouped aggregate and has at most ``bits`` bits, whatever the input."""
+    def place(c):
+        return F.pmod(F.xxhash64(c), F.lit(bits))
+
+    part = 8 * 4096  # bits of one row of the bitmap
+    maps = chosen.select(place("want").alias("at")).groupBy((F.col("at") / part).cast("long").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.col("at") % part).alias("map"))
+    at = F.col("at") % part
+    byte = F.conv(F.hex(F.substring("map", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = docs.withColumn("at", place("doc_id")).withColumn("bucket", (F.col("at") / part).cast("long")) \
+        .join(F.broadcast(maps), "bucket")
+    return found.filter(F.getbit(byte, (at % 8).cast("int")) == 1).select(*docs.columns)
+
+
 def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``members``: key, p, q, node, comp, probe."""
     rows = members.join(sets, "node")
@@ -219,15 +237,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     keyed = (marks.select("rid", "bands").join(classes.select(F.col("node").alias("rid")), "rid", "left_semi")
              .select(F.col("rid").alias("node"), F.explode("bands").alias("key")))
-    shared = saved(keyed.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last"), F.count("*").alias("size"))
+    shared = saved(keyed.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last"))
                    .filter("lead < last").drop("last"), "minmax-buckets")
     members = saved(keyed.join(shared, "key"), "minmax-members")
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
 
     # full sets of the nodes that share a bucket, from their texts
     nodes = saved(members.select("node").distinct().join(marks.select(F.col("rid").alias("node"), "doc_id", "k1", "k2"),
                                                          "node"), "minmax-nodes")
     chosen = nodes.select(F.col("doc_id").alias("want")).distinct()
-    texts = src.join(chosen, F.col("doc_id").eqNullSafe(F.col("want")), "left_semi").select("text")
+    texts = _maybe_in(src, chosen).join(chosen, F.col("doc_id").eqNullSafe(F.col("want")), "left_semi").select("text")
     sets = texts.mapInArrow(partial(_sets, k=words), "k1 long, k2 long, shingles binary")
     sets = saved(sets.join(nodes.select("node", "k1", "k2"), ["k1", "k2"]).select("node", "shingles"), "minmax-sets")
 
@@ -246,10 +265,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = connected_components(near)
 
     # second pass: buckets that still hold more than one component
-    placed = saved(members.select("key", "node", "size").join(roots, "node", "left")
-                   .select("key", "node", "size", F.coalesce("root", "node").alias("comp")), "minmax-placed")
+    placed = saved(members.select("key", "node").join(roots, "node", "left")
+                   .select("key", "node", F.coalesce("root", "node").alias("comp")), "minmax-placed")
     open_ = saved(placed.groupBy("key").agg(F.min("comp").alias("main"), F.max("comp").alias("other"))
-                  .filter("main < other").select("key", "main"), "minmax-open")
+                  .filter("main < other").select("key", "main").join(sizes, "key"), "minmax-open")
     rest = placed.join(open_, "key").withColumn("minor", F.col("comp") > F.col("main")) \
         .withColumn("blocks", F.ceil(F.col("size") / block)) \
         .withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")))

@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from zonestats.llm import byte_bpe, exact_dup, line_runs, mixing, near_dup, quality, token_files
+from zonestats.llm import byte_bpe, exact_dup, lang_id, license_scan, line_runs, mixing, near_dup, quality, token_files, toxicity
 from zonestats.llm.common import read_table
 from zonestats.session import scratch_dir
 
@@ -71,11 +71,38 @@ def _op5(spark, d):
                                               F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def _remainder(n: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+@_query("op6_lang_id")
+def _op6(spark, d):
+    docs = read_table(spark, d, "documents").select("doc_id", "text", "lang")
+    held = F.coalesce(_remainder(4) == 2, F.lit(False))
+    model = lang_id.fit(docs, held)
+    return lang_id.identify(docs, model).select("doc_id", held.alias("held_out"), F.col("nearest").alias("lang_pred"), "score",
+                                                "rejected")
+
+
 @_query("op7_minmax_near_dup")
 def _op7(spark, d):
     return near_dup.near_duplicates(read_table(spark, d, "documents"), words=4)
 
 
+@_query("op8_license_scan")
+def _op8(spark, d):
+    return license_scan.scan_licenses(read_table(spark, d, "documents"))
+
+
+@_query("op9_toxic_crf")
+def _op9(spark, d):
+    docs = read_table(spark, d, "documents").select("doc_id", "text")
+    held = F.coalesce(_remainder(5) == 0, F.lit(False))
+    model = toxicity.fit(docs, read_table(spark, d, "labels"), held)
+    out = toxicity.tag(docs, model)
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
+
+
 @_query("op10_byte_bpe")
 def _op10(spark, d):
     return byte_bpe.round_trip(read_table(spark, d, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),

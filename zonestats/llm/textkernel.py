@@ -17,6 +17,8 @@ SLICE_BYTES = 1 << 20  # text handled at once; a longer text is handled alone
 _U = np.uint64
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
+#: For words of letters and digits alone: every other ASCII character divides.
+MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -53,9 +55,9 @@ class Words:
     """Words of a slice of documents. ``first[d]:first[d + 1]`` are document
     ``d``'s words; ``start``/``end`` are byte positions in ``data``."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True, white: np.ndarray = _WHITE):
         self.data, self.offsets = data, offsets
-        dark = ~_WHITE[data]
+        dark = ~white[data]
         begins = dark.copy()
         begins[1:] &= ~dark[:-1]
         at = offsets[:-1][offsets[:-1] < len(data)]
@@ -74,16 +76,12 @@ class Words:
         self.end = self.start + self.length
         self.hash = self.hashes(self.length)
 
-    def hashes(self, length: np.ndarray, skip: np.ndarray | None = None) -> np.ndarray:
-        """Hash of the ``length`` first bytes of each word (after ``skip``)."""
+    def hashes(self, length: np.ndarray) -> np.ndarray:
+        """Hash of the ``length`` first bytes of each word."""
         n = self.length
         pos = np.arange(len(self.letters), dtype=np.int64) - np.repeat(self._begin, n)
         value = _CHAR[self.letters]
-        if skip is not None:
-            pos -= np.repeat(skip, n)
-            value[pos < 0] = 0
-            pos[pos < 0] = 0
-        if skip is not None or length is not n:
+        if length is not n:
             value[pos >= np.repeat(length, n)] = 0
         value *= _powers(int(n.max()))[pos]
         with np.errstate(over="ignore"):
