@@ -9,14 +9,19 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
+from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO = 200_000  # pieces remembered by a worker; the memo starts anew beyond
+MEMO = 300_000  # pieces of one generation of a worker's memo; two are kept
+#: The byte-level pattern for Python's ``re``, for texts of ``plain`` characters.
+_PLAIN = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
+_ODD = frozenset("\x1c\x1d\x1e\x1f")  # white in Python, not in the pattern
 _BATCH_BYTES = 1 << 20
 
 
@@ -33,41 +38,65 @@ _TO_CHARS = {b: c for b, c in enumerate(_CHARS)}
 _TO_BYTE = {c: b for b, c in enumerate(_CHARS)}
 
 
+def plain(text: str) -> bool:
+    """Whether ``_PLAIN`` splits a text as the pattern does: beyond ASCII it
+    has only letters assigned in every library's Unicode version."""
+    if text.isascii():
+        return _ODD.isdisjoint(text)
+    chars = set(text)
+    return _ODD.isdisjoint(chars) and all(c.isalpha() and c < "\u0250" for c in chars if c > "\x7f")
+
+
 def unsettled(text: str) -> bool:
     """Whether a text has characters whose class the libraries' Unicode
     versions need not share (unassigned up to 15.0)."""
-    return not text.isascii() and any(c > "˿" and (unicodedata.category(c) == "Cn" or "\U0002ebf0" <= c <= "\U0002ee5d")
-                                      for c in set(text))
+    return any(c > "\u02ff" and (unicodedata.category(c) == "Cn" or "\U0002ebf0" <= c <= "\U0002ee5d") for c in set(text))
+
+
+class Memo(dict):
+    """Two generations of what a worker has learnt: when the young one is
+    full it becomes the old one, and what is still in use moves on."""
+
+    def __init__(self, size: int = MEMO):
+        self.size, self.old = size, {}
+
+    def missing(self, keys) -> set:
+        if len(self) > self.size:
+            self.old = dict(self)
+            self.clear()
+        new = set(keys).difference(self)
+        known = new.intersection(self.old)
+        self.update((k, self.old[k]) for k in known)
+        return new - known
 
 
 class PieceEncoder:
-    """Ids of texts: pieces of ``pattern`` are mapped to byte characters and
-    encoded by a tokenizers model, each distinct piece once. ``whole`` encodes
-    the rare texts for which ``unsettled`` holds."""
+    """Ids of texts. Pieces of ``pattern`` are mapped to byte characters and
+    encoded by a tokenizers model, each distinct piece once; ``whole`` encodes
+    the rare texts that are ``unsettled``."""
 
     def __init__(self, model, pattern: str, whole):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.pieces, self.whole = Tokenizer(model), regex.compile(pattern).findall, whole
-        self.memo: dict[str, bytes] = {}
+        self.quick = _PLAIN if pattern == PATTERN else None
+        self.memo = Memo()
 
-    def _learn(self, pieces: list[str]) -> None:
-        mapped = [p.encode().decode("latin-1").translate(_TO_CHARS) for p in pieces]
-        for p, e in zip(pieces, self.tokenizer.encode_batch_fast(mapped, add_special_tokens=False)):
-            self.memo[p] = np.array(e.ids, "<u4").tobytes()
+    def _cut(self, text: str) -> list[str] | None:
+        if self.quick and plain(text):
+            return self.quick(text)
+        return None if unsettled(text) else self.pieces(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [None if unsettled(t) else self.pieces(t) for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo = {}
-        new = {p for pieces in cut if pieces for p in pieces if p not in self.memo}
-        if new:
-            self._learn(list(new))
-        memo = self.memo
-        return [np.array(self.whole(t), "<u4").tobytes() if pieces is None else b"".join([memo[p] for p in pieces])
-                for t, pieces in zip(texts, cut)]
+        cut = [self._cut(t) for t in texts]
+        new = list(self.memo.missing(chain.from_iterable(c for c in cut if c)))
+        mapped = [p.encode().decode("latin-1").translate(_TO_CHARS) for p in new]
+        for p, e in zip(new, self.tokenizer.encode_batch_fast(mapped, add_special_tokens=False)):
+            self.memo[p] = np.array(e.ids, "<u4").tobytes()
+        get = self.memo.__getitem__
+        return [np.array(self.whole(t), "<u4").tobytes() if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
 
 
 def rank_model(ranks: dict[bytes, int]):

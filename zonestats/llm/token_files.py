@@ -1,9 +1,9 @@
 """Token ids in Arrow files of equal-length sequences.
 
 A shard file is an Arrow stream with the file format's footer: every record
-batch has a FixedSizeList of ids and one of mask bytes, so any sequence of any
+batch has a FixedSizeList of ids and one of mask bits, so any sequence of any
 batch is a view of the mapped file. Documents are packed end to end in id
-order; the mask is 0 only on the padding of a shard's last sequence.
+order; the mask is false only on the padding of a shard's last sequence.
 """
 
 from __future__ import annotations
@@ -49,7 +49,7 @@ class ShardWriter:
         self.final = f"{base}/shard-{shard:06d}.arrow"
         self.temp = f"{base}/.{uuid.uuid4().hex}.tmp"
         self.length, self.rows, self.kind = length, length * batch, kind
-        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
         self.sink = self.fs.open_output_stream(self.temp)
         self.out = pa.ipc.new_file(self.sink, self.schema)
         self.held: list[np.ndarray] = []
@@ -67,8 +67,7 @@ class ShardWriter:
             self.held, self.n_held = [flat[full:]], len(flat) - full
 
     def _put(self, flat: np.ndarray, real: int) -> None:
-        mask = np.zeros(len(flat), np.uint8)
-        mask[:real] = 1
+        mask = np.arange(len(flat)) < real
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(v), self.length) for v in (flat, mask)]
         self.out.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
@@ -93,10 +92,11 @@ class ShardReader:
         self.length = self.file.schema.field("ids").type.list_size
         self.per_batch = self.file.get_batch(0).num_rows if self.file.num_record_batches else 1
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def sequence(self, i: int) -> tuple[pa.Array, pa.Array]:
+        """Ids and mask of a sequence, both views of the file."""
         batch = self.file.get_batch(i // self.per_batch)
         at = (i % self.per_batch) * self.length
-        return tuple(batch.column(c).values.to_numpy()[at:at + self.length] for c in (0, 1))
+        return tuple(batch.column(c).values.slice(at, self.length) for c in (0, 1))
 
     def ids(self, start: int, n: int):
         """Views that make up ids ``start``..``start + n``."""
