@@ -1,0 +1,50 @@
+"""The pipeline: each stage on all that its predecessor kept, against a plain run."""
+
+import collections
+import re
+
+import pytest
+
+import __spark_entry__ as E
+import corpus_pipeline as C
+from zonestats.llm.common import read_table
+
+from conftest import SF_SMALL
+
+
+def test_registered():
+    names = set(E.queries())
+    assert {f"op{n}" for n in range(1, 11)} <= {n.split("_")[0] for n in names} and "pipeline" in names
+    assert C.ORACLE_SQL is None and len(C.STAGES) == 5
+
+
+def test_stages_on_the_smallest_tables(spark):
+    docs = read_table(spark, SF_SMALL, "documents")
+    kept = docs
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, kept, SF_SMALL)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+        rows = out.collect()
+        before = kept.collect()
+        ids = {r["doc_id"] for r in before}
+        assert rows and {r["doc_id"] for r in rows} <= ids, name
+        if name == "near dedup":
+            sets = {}
+            for r in rows:
+                w = re.findall(r"[^\x20\x09-\x0D]+", r["text"].lower())
+                sets[r["doc_id"]] = {tuple(w[k:k + 5]) for k in range(len(w) - 4)}
+            items = [(a, x) for a, x in sets.items() if x]
+            assert not any(100 * len(x & y) >= 80 * len(x | y) for k, (_, x) in enumerate(items) for _, y in items[:k])
+        if name == "mixing":
+            times = collections.Counter(r["doc_id"] for r in rows)
+            assert max(times.values()) <= 2
+            size = sum(len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) for r in before)
+            assert sum(len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) for r in rows) == pytest.approx(1.5 * size, rel=0.25)
+        kept = spark.createDataFrame(rows, docs.schema)
+    last = C.STAGES[-1][1](spark, kept, SF_SMALL)
+    assert last.count() == kept.count()
+
+
+def test_run_agrees_with_its_rerun(spark):
+    a, b = (collections.Counter(tuple(r) for r in C.run(spark, SF_SMALL).collect()) for _ in range(2))
+    assert a == b and a

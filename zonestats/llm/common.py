@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from zonestats.session import scratch_dir
@@ -41,3 +41,14 @@ def words(text: Column) -> Column:
 
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
+
+
+def smallest_by_hash(rows: DataFrame, key: str, n: int, salts: int = 64) -> DataFrame:
+    """Of each ``key`` the ``n`` rows with the smallest hash of ``doc_id``. The
+    hash deals a key's rows to ``salts`` groups that are cut to ``n`` first, so
+    a key that holds most rows is not one task's work."""
+    rows = rows.withColumn("h", F.xxhash64("doc_id")).withColumn("salt", F.pmod(F.xxhash64("h"), F.lit(salts)))
+    for keys in ((key, "salt"), (key,)):
+        order = Window.partitionBy(*keys).orderBy("h", F.col("doc_id").asc_nulls_last())
+        rows = rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= n).drop("n")
+    return rows.drop("salt")

@@ -8,11 +8,11 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonestats.llm.byte_bpe import text_runs
-from zonestats.llm.common import saved
+from zonestats.llm.common import saved, smallest_by_hash
 
 DIM = 4096  # hashed n-grams of one to three bytes
 SAMPLE = 300  # documents a language's centroids are clustered from
@@ -93,9 +93,7 @@ def fit(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
         .groupBy("gram").agg(F.sum("docs").alias("docs")).toPandas().sort_values("gram")  # dim + 1 rows
     df = seen["docs"].to_numpy() if len(seen) else np.zeros(dim + 1, np.int64)
     idf = (np.log((1 + df[dim]) / (1 + df[:dim])) + 1).astype(np.float32)
-    first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    picked = train.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).distinct() \
-        .withColumn("n", F.row_number().over(first)).filter(F.col("n") <= sample).select("lang", "doc_id", "h")
+    picked = smallest_by_hash(train.select("lang", "doc_id").distinct(), "lang", sample)
     picked = saved(picked, "lang-sample")
     texts = train.join(F.broadcast(picked), ["lang", "doc_id"])
     model = texts.groupBy("lang").applyInPandas(lambda frame: _cluster(frame, idf, k), "lang string, centroid binary, least double").toPandas()

@@ -5,13 +5,12 @@ from __future__ import annotations
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonestats.llm import textkernel as tk
-from zonestats.llm.common import saved
+from zonestats.llm.common import saved, smallest_by_hash
 
 BUCKETS = 1 << 18  # hashed features of each template
 SAMPLE = 2500  # labelled documents of each class that the model is fitted on
@@ -208,8 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc
     known = labels.filter(~F.coalesce(held_out, F.lit(False)) & F.col(label_col).isin(0, 1)).select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).filter("doc_id is not null")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    first = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = known.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= sample).select("doc_id", "toxic")
+    picked = smallest_by_hash(known, "toxic", sample).select("doc_id", "toxic")
     picked = saved(picked, "toxic-sample")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")) \
         .join(F.broadcast(picked), "doc_id").filter(F.length("text") <= sample_chars).toPandas()
