@@ -149,24 +149,31 @@ def telling(words: np.ndarray, doc: np.ndarray, toxic: np.ndarray, evidence: flo
     return ((g >= evidence) & (odds > 3))[words]
 
 
-def train(texts: list[str], toxic: np.ndarray, rounds: int = 40, decay: float = 1e-4) -> dict:
+def train(texts: list[str], toxic: np.ndarray, rounds: int = 40, decay: float = 1e-3) -> dict:
     """Fit the field on labelled documents, then the document score.
 
     The labelled tokens are the words of toxic documents that are ``telling``
     as a whole or by their first bytes. The field is trained on windows
     of 64 words: every window with a labelled word, and a fourth of the rest,
-    by full-batch Adam on the exact likelihood."""
+    by full-batch Adam on the exact likelihood; neighbours are shrunk most.
+    A fourth of the documents is kept from the field, and the document score
+    is fitted on those, so that it sees marginals as they are on new texts."""
     zero = {"weights": np.zeros((4, BUCKETS), np.float32), "bias": -10.0, "trans": np.zeros((2, 2)), "doc": np.zeros(3), "fitted": False}
     if not toxic.any() or toxic.all():
         return zero
     w = _words(texts)
+    if not len(w.hash):
+        return zero
     f = features(w)
     doc = np.repeat(np.arange(len(texts)), np.diff(w.first))
     y = (telling(f[0], doc, toxic) | telling(f[1], doc, toxic)) & toxic[doc]
     cut = np.unique(np.concatenate([np.arange(a, b, _BLOCK) for a, b in zip(w.first[:-1], w.first[1:])]).astype(np.int64))
     ends = np.append(cut[1:], len(y))
     hit = np.add.reduceat(y, cut) > 0
-    chosen = hit | (np.arange(len(cut)) % 4 == 0)
+    fourth = np.arange(len(texts)) % 4 == 3
+    if not hit[~fourth[doc[cut]]].any():
+        return zero
+    chosen = (hit | (np.arange(len(cut)) % 4 == 0)) & ~fourth[doc[cut]]
     take = np.concatenate([np.arange(a, b) for a, b in zip(cut[chosen], ends[chosen])])
     bounds = np.concatenate([[0], np.cumsum((ends - cut)[chosen])])
     fx, yx = f[:, take], y[take].astype(float)
@@ -183,7 +190,7 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 40, decay: float =
         gap = yx - p
         grads = [np.bincount(used[t][1], gap, len(theta[t])) for t in range(4)] + [np.array([gap.sum()]), seen - moves]
         for i, g in enumerate(grads):
-            g = g / 50 - decay * theta[i]
+            g = g / 50 - decay * (50 if i in (2, 3) else 1) * theta[i]
             m1[i] = 0.9 * m1[i] + 0.1 * g
             m2[i] = 0.99 * m2[i] + 0.01 * g * g
             theta[i] = theta[i] + 0.25 * (m1[i] / (1 - 0.9 ** r)) / (np.sqrt(m2[i] / (1 - 0.99 ** r)) + 1e-3)
@@ -192,7 +199,9 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 40, decay: float =
         model["weights"][t][used[t][0]] = theta[t]
     p, _, _ = marginals(_scores(f, model["weights"], model["bias"]), w.first, model["trans"])
     x = np.column_stack([_document_evidence(p, w.first), np.ones(len(texts))])
-    b = np.zeros(3)
+    if not toxic[fourth].any() or toxic[fourth].all():  # too few documents to set any aside
+        fourth[:] = True
+    x, toxic, b = x[fourth], toxic[fourth], np.zeros(3)
     for _ in range(25):  # Newton steps of a ridge logistic regression
         q = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
         b += np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + 0.1 * np.eye(3), x.T @ (toxic - q) - 0.1 * b)
