@@ -212,16 +212,12 @@ def test_labels_print_like_python(spark):
     assert [r[0] for r in df.select(float_text("x")).collect()] == [repr(v) for v in vals]
 
 
-def test_label_members_map_and_join_paths(spark):
+def test_label_members_is_one_join(spark):
     from zonestats.operators.cluster import label_members
-    members = spark.createDataFrame([(1, 0), (2, 1), (3, 0), (4, 2)], "id int, cluster int")
-    summary = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "cluster int, description string")
-    by_map = label_members(members, summary, "cluster", max_clusters=3)
-    assert "Join" not in by_map._jdf.queryExecution().executedPlan().toString()
-    by_join = label_members(members, summary, "cluster", max_clusters=2)  # bound too small
-    want = [(1, "a"), (2, "b"), (3, "a"), (4, "c")]
-    for df in (by_map, by_join):
-        assert sorted((r["id"], r["description"]) for r in df.collect()) == want
+    members = spark.createDataFrame([(1, 0), (2, 1), (3, 0), (4, 2), (5, None)], "id int, cluster int")
+    summary = spark.createDataFrame([(0, "a"), (1, "b"), (1, "a"), (2, "c")], "cluster int, description string")
+    got = label_members(members, summary, "cluster")
+    assert sorted((r["id"], r["description"]) for r in got.collect()) == [(1, "a"), (2, "a"), (3, "a"), (4, "c"), (5, None)]
 
 
 def test_label_precision_grows_until_edges_differ(spark):

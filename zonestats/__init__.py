@@ -43,7 +43,7 @@ from zonestats.operators.dims import (
 )
 from zonestats.operators.dist import frequency_table, kde
 from zonestats.operators.geo import map_aggregate, map_centre
-from zonestats.operators.joins import bounded_broadcast, join_null_safe, left_join_keys
+from zonestats.operators.joins import join_null_safe, left_join_keys
 from zonestats.operators.lookup import (
     child_options,
     lookup_id,
@@ -52,7 +52,7 @@ from zonestats.operators.lookup import (
     time_series,
     time_series_mean,
 )
-from zonestats.operators.order_stats import exact_median, exact_quantiles, exact_ranks
+from zonestats.operators.order_stats import exact_median, exact_quantiles
 from zonestats.operators.quality import (
     audit_keys,
     has_values,

@@ -46,9 +46,10 @@ def strict_int(c: ColumnOrName, to: str = "int") -> Column:
     """Cast to an integer type, raising on text that is not a number and on
     a float with a fractional part (2.0 -> 2, 2.7 -> error, NULL -> NULL)."""
     x = col(c)
-    as_double = x.cast("double")  # ANSI mode: bad text raises here
-    return F.when(x.isNull(), F.lit(None).cast(to)).when(
-        as_double == F.floor(as_double), as_double.cast(to)
+    as_double = x.cast("double")
+    fractional = F.typeof(x).rlike("^(float|double|decimal)")  # a constant once the type is known
+    return F.when(x.isNull(), F.lit(None).cast(to)).when(~fractional, x.cast(to)).when(
+        as_double == F.floor(as_double), x.cast(to)
     ).otherwise(
         F.raise_error(F.concat(F.lit("value is not a whole number: "), x.cast("string")))
         .cast(to)

@@ -57,9 +57,10 @@ def strict_int_cast(df: DataFrame, cols: Iterable[str], to: str = "int") -> Data
 
 
 def float_to_int(df: DataFrame, to: str = "bigint") -> DataFrame:
-    """Every float column to a nullable integer (ids that became floats)."""
+    """Every float column to a nullable integer (ids that became floats; NaN is missing)."""
     floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (DoubleType, FloatType))]
-    return strict_int_cast(df, floats, to)
+    clean = df.select(*[nan_to_null(c).alias(c) if c in floats else F.col(c) for c in df.columns])
+    return strict_int_cast(clean, floats, to)
 
 
 def recode(df: DataFrame, col: str, mapping: Mapping, out: str | None = None,

@@ -75,11 +75,9 @@ def _training_input(df: DataFrame, cols: Sequence[str], keep_all: bool = False,
     outputs built on it read the checkpoint too."""
     from zonestats.session import ensure_checkpoint_dir
     rows = df.dropna(subset=list(cols)) if keep_all else df.select(*cols).dropna()
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() < cores:
-        # fewer partitions than cores (e.g. one large file): spread the rows
-        # once, so every iteration uses the whole cluster
-        rows = rows.repartition(cores)
+    # dealt by content to a stated number of partitions, whatever the cluster and the files
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, F.xxhash64(*cols))
     if not checkpoint:  # input lineage already short (e.g. from cluster_input)
         return rows.persist(StorageLevel.MEMORY_AND_DISK)
     ensure_checkpoint_dir(df.sparkSession)
@@ -236,22 +234,8 @@ def classify(df: DataFrame, active: str, reactive: str, power: str, pf: str,
     return df.withColumn(out, classify_expr(rules, RULE_MIXED))
 
 
-def label_members(members: DataFrame, summary: DataFrame, label: str, desc: str = "description",
-                  max_clusters: int | None = None) -> DataFrame:
-    """Attach each member row's cluster description.
-
-    With ``max_clusters`` (k of the clustering: a proven bound on the
-    summary's rows) the at most k (label, description) pairs are read once
-    and applied as a literal map lookup: a projection, no join and no
-    shuffle, so a cluster holding a third of the rows costs nothing extra.
-    If the summary has more rows than the bound, or no bound is given, it
-    is a left join chosen by the planner."""
-    s = summary.select(label, desc)
-    if max_clusters is not None:
-        pairs = s.limit(int(max_clusters) + 1).collect()
-        if len(pairs) <= max_clusters and all(r[0] is not None for r in pairs):
-            if not pairs:
-                return members.withColumn(desc, F.lit(None).cast("string"))
-            lookup = F.create_map(*[x for r in pairs for x in (F.lit(r[0]), F.lit(r[1]))])
-            return members.withColumn(desc, F.try_element_at(lookup, F.col(label)))
+def label_members(members: DataFrame, summary: DataFrame, label: str, desc: str = "description") -> DataFrame:
+    """Attach each member row's cluster description: a left join to the
+    summary with one row per label (of a repeated label the smallest text)."""
+    s = summary.groupBy(label).agg(F.min(desc).alias(desc))
     return members.join(s, label, "left")

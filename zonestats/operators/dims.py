@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonestats.functions.columns import RAW_TIMESTAMP_FORMAT, parse_ts
-from zonestats.operators.joins import bounded_broadcast
 from zonestats.operators.order_stats import _num_partitions, _stable
 
 
@@ -103,13 +102,13 @@ def append_rows(df: DataFrame, rows: Sequence[Mapping]) -> DataFrame:
     return df.unionByName(extra)
 
 
-def apply_overrides(df: DataFrame, fixes: DataFrame, key: str, col: str,
-                    max_fix_rows: int = 1_000_000) -> DataFrame:
+def apply_overrides(df: DataFrame, fixes: DataFrame, key: str, col: str) -> DataFrame:
     """Keyed correction (``UPDATE t SET col = v WHERE key = k``): a left join
-    with the fixes table and ``coalesce(fix, old)``. The fixes table is
-    broadcast only behind a row-count check."""
-    f = fixes.select(F.col(key).alias("_fk"), F.col(col).alias("_fv"))
-    f = bounded_broadcast(f, max_fix_rows)
+    with the fixes. A fix to NULL takes effect; a key with two fixes raises."""
+    once = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.concat(F.lit("two fixes for key "), F.col("_fk").cast("string")))
+                  .cast(fixes.schema[col].dataType)).otherwise(F.first("_fv"))
+    f = (fixes.select(F.col(key).alias("_fk"), F.col(col).alias("_fv")).groupBy("_fk")
+         .agg(once.alias("_fv"), F.lit(True).alias("_hit")))
     j = df.join(f, df[key] == f["_fk"], "left")
-    return j.select(*[F.coalesce(F.col("_fv"), F.col(c)).alias(c) if c == col else F.col(c)
+    return j.select(*[F.when(F.col("_hit"), F.col("_fv")).otherwise(F.col(c)).alias(c) if c == col else F.col(c)
                       for c in df.columns])

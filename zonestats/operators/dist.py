@@ -149,7 +149,7 @@ def kde(df: DataFrame, value: str, keys: Sequence[str] = (), bw: float = 0.1,
     # sample variance, two-pass (deviations from the mean) for stability
     ss = F.sum(F.col("_w") * F.pow(F.col(value) - F.col("_m"), 2))
     g = dev.groupBy(*keys, "_n", "_mn", "_mx").agg(
-        (F.lit(float(bw)) * F.sqrt(ss / (F.col("_n") - 1))).alias("_h"))
+        (F.lit(float(bw)) * F.sqrt(ss / F.nullif(F.col("_n") - 1, F.lit(0)))).alias("_h"))
     g = g.where(F.col("_h").isNotNull() & (F.col("_h") > 0))
     rows = _attach(collapsed, g, keys, ["_n", "_h", "_mn", "_mx"]).where(F.col("_h").isNotNull())
     step = (F.col("_mx") - F.col("_mn")) / F.lit(float(grid - 1))

@@ -40,7 +40,7 @@ def map_aggregate(df: DataFrame, keys: Sequence[str], measure: str, lat: str, lo
     m = m.dropna(how="any", subset=["lat", "lon", measure])
     m = distinct_first(m, ["lat", "lon"], keys)
     top = m.select(F.max(measure)).scalar()
-    return m.withColumn(out, F.col(measure) / top * F.lit(scale))
+    return m.withColumn(out, F.col(measure) / F.nullif(top, F.lit(0.0)) * F.lit(scale))
 
 
 def map_centre(map_df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:

@@ -1,12 +1,10 @@
-"""Join helpers: keyed left joins, null-safe joins, checked broadcasts.
+"""Join helpers: keyed left joins and null-safe joins.
 
-Broadcast policy: a side is broadcast explicitly only when its row count is
-*proven* small — either a bound the caller states from the data's definition
-(e.g. a table fixed by spec, or at most k clusters), or a runtime check
-(``bounded_broadcast``). Everything else is left to the planner:
-``spark.sql.autoBroadcastJoinThreshold`` (size from statistics) and AQE
-(actual shuffle size at runtime) choose broadcast, else sort-merge join,
-with AQE skew-join splitting for hot keys.
+A side is hinted for broadcast only where its size is bounded by definition
+(a table fixed by a specification, one row per partition). Everything else is
+left to the planner: ``spark.sql.autoBroadcastJoinThreshold`` (bytes from
+statistics) and AQE (bytes at runtime) choose broadcast, else a sort-merge
+join with AQE skew-join splitting.
 """
 
 from __future__ import annotations
@@ -16,41 +14,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Above this many rows a side is never hinted for broadcast.
-MAX_BROADCAST_ROWS = 1_000_000
-
-
-# (application, plan hash, input files, bound) -> within bound?
-_CHECKED: dict[tuple, bool] = {}
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
-                      memo: bool = True) -> DataFrame:
-    """Broadcast hint only if ``df`` has at most ``max_rows`` rows.
-
-    The check is ``limit(max_rows + 1).count()``, which stops reading once
-    the bound is passed; beyond it the frame is returned unhinted and the
-    planner picks a shuffle join. With ``memo`` the answer is kept for the
-    session per logical plan (``semanticHash``) and input file list, so a
-    dimension rebuilt the same way over the same files is checked once;
-    rewritten data comes with new files and is checked again.
-    """
-    key = None
-    if memo:
-        try:
-            key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(),
-                   tuple(sorted(df.inputFiles())), int(max_rows))
-        except Exception:  # plans without file inputs or hash support
-            key = None
-    if key is not None and key in _CHECKED:
-        small = _CHECKED[key]
-    else:
-        small = df.limit(max_rows + 1).count() <= max_rows
-        if key is not None:
-            _CHECKED[key] = small
-    return F.broadcast(df) if small else df
-
-
 def left_join_keys(left: DataFrame, right: DataFrame, left_on: Sequence[str],
                    right_on: Sequence[str], null_safe: bool = False) -> DataFrame:
     """Left join on differently named key columns (all right columns kept)."""

@@ -24,10 +24,6 @@ Quantiles (``exact_quantiles``):
 5. Each collapsed row covers the rank interval [before, before + count);
    only rows covering an interpolation rank survive, then a tiny groupBy.
 
-Per-row ranks (``exact_ranks``) use the same layout without the collapse,
-with a content hash as a deterministic tie-breaker so equal values can be
-split over partitions.
-
 Interpolation follows numpy's "linear" method bit for bit, including its
 symmetric form ``hi - (hi - lo) * (1 - t)`` for ``t >= 0.5``; the median of
 an even count is ``(lo + hi) / 2`` like pandas' median.
@@ -44,16 +40,11 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 
 def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
-    """Range partitions: explicit, else the shuffle partition setting capped
-    at twice the cluster's cores. The number is fixed on purpose: AQE must
-    not coalesce these partitions, because the segment offsets and the rows
-    are two reads of the same exchange and must agree on partition ids."""
-    if num_partitions:
-        return int(num_partitions)
-    spark = df.sparkSession
-    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cores = spark.sparkContext.defaultParallelism
-    return max(1, min(shuffle, 2 * cores))
+    """Range partitions: explicit, else the shuffle partition setting. The
+    number is fixed on purpose: AQE must not coalesce these partitions,
+    because the segment offsets and the rows are two reads of the same
+    exchange and must agree on partition ids."""
+    return int(num_partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _not_null(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -88,38 +79,6 @@ def _stable(s: DataFrame) -> DataFrame:
     return s
 
 
-def exact_ranks(df: DataFrame, keys: Sequence[str], value: str,
-                num_partitions: int | None = None) -> DataFrame:
-    """Rows of ``df`` (keys, value non-null) with ``_rank`` (0-based position
-    of the value inside its group, ascending) and ``_n`` (group size).
-
-    Equal values are ordered by a hash of the whole row, so a run of equal
-    values can be split across partitions (only rows identical in every
-    column stay together)."""
-    keys = list(keys)
-    src = _not_null(df, [*keys, value])
-    n_parts = _num_partitions(df, num_partitions)
-    tie = F.xxhash64(*[F.col(c) for c in df.columns])
-    s = _stable(src.withColumn("_tie", tie)
-                   .repartitionByRange(n_parts, *keys, value, "_tie")
-                   .sortWithinPartitions(*keys, value, "_tie")
-                   .withColumn("_pid", F.spark_partition_id())
-                   .withColumn("_mid", F.monotonically_increasing_id()))
-    seg = s.groupBy("_pid", *keys).agg(F.min("_mid").alias("_first"),
-                                       F.count(F.lit(1)).alias("_cnt"))
-    by_group = Window.partitionBy(*keys) if keys else Window.partitionBy()
-    before = by_group.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    seg = seg.select("_pid", *keys, "_first",
-                     F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"),
-                     F.sum("_cnt").over(by_group).alias("_n"))
-    ranked = s.join(seg, ["_pid", *keys], "inner")
-    return ranked.select(
-        *df.columns,
-        (F.col("_off") + F.col("_mid") - F.col("_first")).alias("_rank"),
-        F.col("_n"),
-    )
-
-
 def _prefix_schema(base: StructType) -> StructType:
     return StructType(list(base.fields) + [StructField("_pid", IntegerType(), False),
                                           StructField("_lc", LongType(), False)])

@@ -20,18 +20,26 @@ AGGREGATES = ("avg", "mean", "sum", "nunique", "count", "min", "max")
 def unscaled(value: str, scale: int) -> Column:
     """A fixed-point measure with ``scale`` decimals as an exact integer
     count of 10^-scale units (``rint`` recovers the integer the double
-    stands for)."""
-    return F.rint(F.col(value) * F.lit(float(10**scale))).cast("long")
+    stands for). A value with more decimals raises."""
+    y = F.col(value) * F.lit(float(10**scale))
+    return F.when(F.abs(y - F.rint(y)) > 0.001, F.raise_error(F.concat(
+        F.lit(f"more than {scale} decimals: "), F.col(value).cast("string"))).cast("long")).otherwise(F.rint(y).cast("long"))
+
+
+def exact_units(value: str, scale: int) -> Column:
+    """Exact sum of units as a decimal. Each value is two limbs of 32 bits,
+    summed as 64-bit integers, so that a sum of 2 ** 31 times the largest
+    value does not overflow and stays as fast as a double sum."""
+    u = unscaled(value, scale)
+    high, low = F.sum(F.shiftright(u, 32)), F.sum(u.bitwiseAND(F.lit(0xFFFFFFFF)))
+    return high.cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + low.cast("decimal(20,0)")
 
 
 def exact_sum(value: str, scale: int) -> Column:
     """Sum of a fixed-point measure with ``scale`` decimals, done on exact
-    64-bit integers so the result does not depend on partitioning or
-    summation order, then returned as a double (integer -> double, one
-    division by 10^scale: the same value a DECIMAL sum cast to double
-    gives). As fast as a double sum; a total beyond 9.2e18 units raises
-    (ANSI overflow check) instead of returning a wrong value."""
-    return F.sum(unscaled(value, scale)).cast("double") / F.lit(float(10**scale))
+    integers so the result does not depend on partitioning or summation
+    order, then returned as a double (one rounding, one division)."""
+    return exact_units(value, scale).cast("double") / F.lit(float(10**scale))
 
 
 def _agg_expr(fn: str, value: str, scale: int | None = None) -> Column:
@@ -100,7 +108,7 @@ def share_of_total(df: DataFrame, labels: Sequence[str], value: str,
         src = src.where(F.col(k).isNotNull())
     if scale is not None:
         unit = F.lit(float(10**scale))
-        g = src.groupBy(*labels).agg(F.sum(unscaled(value, scale)).alias("_s"))
+        g = src.groupBy(*labels).agg(exact_units(value, scale).alias("_s"))
         total = g.select(F.sum("_s").cast("double") / unit).scalar()
         g = g.select(*labels, F.coalesce(F.col("_s").cast("double") / unit, F.lit(0.0)).alias(value))
     else:

@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from zonestats.functions.columns import power_factor
 from zonestats.operators.cluster import (
+    RULE_HIGH_USE,
+    RULE_LOW_POWER,
+    RULE_MIXED,
+    RULE_REACTIVE,
+    RULE_VERY_LOW_PF,
     classify,
     cluster_input,
     cluster_summary,
@@ -95,12 +100,12 @@ def _cluster_summary(spark, d):
 def _case_sql(t: dict) -> str:
     return (
         f"CASE WHEN active_energy > {t['active_high']} AND power_factor < {t['pf_low']} "
-        "THEN '🔴 Alto consumo / Baja eficiencia' "
+        f"THEN '{RULE_HIGH_USE}' "
         f"WHEN max_power < {t['power_low']} AND power_factor >= {t['pf_high']} "
-        "THEN '🟢 Baja potencia / Alta eficiencia' "
-        f"WHEN reactive_energy > {t['reactive_high']} THEN '🟡 Alta energía reactiva' "
-        f"WHEN power_factor < {t['pf_very_low']} THEN '⚠️ Muy baja eficiencia' "
-        "ELSE '⚪ Comportamiento mixto' END"
+        f"THEN '{RULE_LOW_POWER}' "
+        f"WHEN reactive_energy > {t['reactive_high']} THEN '{RULE_REACTIVE}' "
+        f"WHEN power_factor < {t['pf_very_low']} THEN '{RULE_VERY_LOW_PF}' "
+        f"ELSE '{RULE_MIXED}' END"
     )
 
 
@@ -128,8 +133,7 @@ def _label_members(spark, d):
     f = _features(spark, d)
     s = classify(cluster_summary(f, "cluster", FEATURES, scales=SCALES),
                  L.active, L.reactive, L.power, L.pf, thresholds=DRIVER_THRESHOLDS)
-    return label_members(f.select("l_orderkey", "l_linenumber", "cluster"), s, "cluster",
-                         max_clusters=10)
+    return label_members(f.select("l_orderkey", "l_linenumber", "cluster"), s, "cluster")
 
 
 def _zview(spark, d):

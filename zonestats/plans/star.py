@@ -31,12 +31,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonestats.functions.columns import power_factor
-from zonestats.operators.joins import bounded_broadcast
-
-# Above this many place rows (towns x census rows) the view is joined by
-# sort-merge instead of broadcast (about 100 bytes per place row).
-PLACE_BROADCAST_ROWS = 1_000_000
-
 
 @dataclass(frozen=True)
 class ViewLabels:
@@ -170,19 +164,15 @@ def place_dimension(towns: DataFrame, municipalities: DataFrame, departments: Da
 def star_view(services: DataFrame, towns: DataFrame, municipalities: DataFrame,
               departments: DataFrame, census: DataFrame,
               labels: ViewLabels = SHORT_LABELS,
-              place_broadcast_rows: int | None = PLACE_BROADCAST_ROWS,
               census_unique: bool = False) -> DataFrame:
     """The 17-column analytic view, lazily. Callers select what they need;
     Catalyst prunes the rest down to the parquet scans.
 
     The place side is a join tree, whose static size estimate never allows
     a broadcast; AQE could only switch after the fact had been shuffled. So
-    the place dimension is broadcast behind an explicit row-count check
-    (``place_broadcast_rows``, ``None`` disables), and joined by sort-merge
-    beyond it."""
+    whether the place dimension is broadcast or merge-joined is left to the
+    planner's statistics and AQE."""
     place = place_dimension(towns, municipalities, departments, census, labels, census_unique)
-    if place_broadcast_rows:
-        place = bounded_broadcast(place, place_broadcast_rows)
     e = services.select(
         F.col("id_centro_poblado").alias("_e_tid"),
         F.col("energia_activa").alias(labels.active),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None,
@@ -14,23 +14,26 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
     r = spark.read.option("header", header).option("sep", sep).option("encoding", encoding) \
         .option("mode", "FAILFAST")
     if schema is not None:
-        r = r.schema(schema)
+        # header names are checked against the schema instead of taken by position
+        r = r.schema(schema).option("enforceSchema", not header)
         df = r.csv(path)
         return df
     df = r.option("inferSchema", False).csv(path)
     return df.withColumnsRenamed({c: c.lstrip("﻿") for c in df.columns if c.startswith("﻿")})
 
 
-def read_preamble_csv(spark: SparkSession, path: str, schema: StructType,
+def read_preamble_csv(spark: SparkSession, path: str, schema: StructType | str,
                       is_data: Column, sep: str = ",") -> DataFrame:
     """A sheet exported to CSV with title rows above the header and note
-    rows below the data: read headerless with the target schema in
-    PERMISSIVE mode and keep only rows satisfying ``is_data`` (e.g. the
-    code column parses as a number). Position-free, so the scan stays
-    split across tasks."""
-    df = (spark.read.option("header", False).option("sep", sep)
-          .option("mode", "PERMISSIVE").schema(schema).csv(path))
-    return df.where(is_data)
+    rows below the data: read headerless as text; rows satisfying ``is_data``
+    (on the columns as far as they convert, e.g. the code is a number) are
+    kept and cast strictly, so bad text in a data row raises. Position-free,
+    so the scan stays split across tasks."""
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    text = StructType([StructField(f.name, StringType()) for f in schema])
+    raw = spark.read.option("header", False).option("sep", sep).schema(text).csv(path)
+    tried = raw.select(F.struct(*raw.columns).alias("_raw"), *[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema])
+    return tried.where(is_data).select(*[F.col("_raw")[f.name].cast(f.dataType).alias(f.name) for f in schema])
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -18,7 +18,6 @@ from pyspark.sql.types import StructType
 
 from zonestats.functions.columns import RAW_TIMESTAMP_FORMAT
 from zonestats.operators.dims import fact_build
-from zonestats.session import scratch_dir
 
 
 def ingest_facts(spark: SparkSession, raw_dir: str, out_dir: str, schema: StructType | str,
@@ -32,7 +31,8 @@ def ingest_facts(spark: SparkSession, raw_dir: str, out_dir: str, schema: Struct
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
     raw = reader.csv(raw_dir)
     facts = fact_build(raw, ts_col, drop=drop, fmt=fmt)
-    ckpt = checkpoint or scratch_dir(spark, "ingest_facts_checkpoint")
+    # beside the output, so that the next application goes on where this one ended
+    ckpt = checkpoint or out_dir.rstrip("/") + "/_ingest_checkpoint"
     writer = (facts.writeStream.format("parquet").outputMode("append")
               .option("path", out_dir).option("checkpointLocation", ckpt))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
