@@ -246,7 +246,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = saved(members.select("node").distinct().join(marks.select(F.col("rid").alias("node"), "doc_id", "k1", "k2"),
                                                          "node"), "minmax-nodes")
     chosen = nodes.select(F.col("doc_id").alias("want")).distinct()
-    texts = _maybe_in(src, chosen).join(chosen, F.col("doc_id").eqNullSafe(F.col("want")), "left_semi").select("text")
+    # written, because the semi join would otherwise be pushed below the bitmap and shuffle every text
+    texts = saved(_maybe_in(src, chosen), "minmax-texts").join(chosen, F.col("doc_id").eqNullSafe(F.col("want")), "left_semi").select("text")
     sets = texts.mapInArrow(partial(_sets, k=words), "k1 long, k2 long, shingles binary")
     sets = saved(sets.join(nodes.select("node", "k1", "k2"), ["k1", "k2"]).select("node", "shingles"), "minmax-sets")
 
