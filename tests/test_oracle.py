@@ -4,12 +4,13 @@ exact value match (canonical repr, order-insensitive)."""
 import pytest
 
 import __spark_entry__ as E
+from zonestats.plans import catalog
 from oracle_check import compare
 
 from conftest import SF_SMALL
 
-QUERIES = E.queries()
-ORACLES = E.oracle_sql()
+QUERIES = catalog.queries()
+ORACLES = catalog.oracle_sql()
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
