@@ -13,9 +13,10 @@ class rows per group.
 Density (scipy ``gaussian_kde(bw_method=0.1)`` on ``linspace(min, max,
 grid)``): bandwidth h = 0.1 * sample std, y(g) = sum_i exp(-((g - x_i)/h)^2/2)
 / (n h sqrt(2 pi)). Values are first collapsed to (value, multiplicity) with a
-partial aggregate; each distinct value then adds its kernel to every grid
-point (a generator over the fixed-size grid, pipelined into a partial
-aggregate keyed by grid point), so no task ever holds a whole group.
+partial aggregate; each task adds the kernels of the values it holds into one
+array of grid sums per group (vectorised), and these partial sums are added
+per grid point, so no task ever holds a whole group and no row is made per
+value and grid point.
 Constant or one-value groups have no density (scipy raises) and give no rows.
 """
 
@@ -24,21 +25,26 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from zonestats.functions.columns import float_text
+from zonestats.operators.joins import join_salted
 
 
 def _group(src: DataFrame, keys: Sequence[str], *aggs: Column) -> DataFrame:
     return src.groupBy(*keys).agg(*aggs) if keys else src.agg(*aggs)
 
 
-def _attach(rows: DataFrame, per_group: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Join per-group parameters to rows: on the keys, or as scalar
-    subqueries for the whole-column case (no join at all)."""
+def _attach(rows: DataFrame, per_group: DataFrame, keys: Sequence[str], value: str,
+            cols: Sequence[str]) -> DataFrame:
+    """Add per-group parameters to rows: by a salted join on the keys, or as
+    scalar subqueries for the whole-column case (no join at all)."""
     if keys:
-        return rows.join(per_group.select(*keys, *cols), list(keys))
+        return join_salted(rows, per_group, keys, value, cols)
     st = per_group.select(F.struct(*cols).alias("st")).scalar()
     return rows.withColumns({c: st.getField(c) for c in cols})
 
@@ -105,7 +111,7 @@ def frequency_table(df: DataFrame, value: str, keys: Sequence[str] = (),
     g = g.withColumn("_edges", edges)
     g = g.withColumn("_prec", label_precision(F.col("_edges"), precision))
 
-    rows = _attach(c.where(F.col(value).isNotNull()), g, keys, ["_edges"]) \
+    rows = _attach(c.where(F.col(value).isNotNull()), g, keys, value, ["_edges"]) \
         .where(F.col("_edges").isNotNull())
     cls = F.size(F.filter(F.col("_edges"), lambda e: e < F.col(value)))
     counts = rows.groupBy(*keys, cls.alias("class")).agg(F.sum("_w").alias("freq"))
@@ -131,12 +137,34 @@ def frequency_table(df: DataFrame, value: str, keys: Sequence[str] = (),
     ).orderBy(*keys, "class")
 
 
+def _kernel_sums(keys: list[str], value: str, grid: int):
+    """Per batch and group: the sum of the kernels of its values at every
+    grid point. Rows come sorted by group, so a group is met in few batches."""
+    def sums(one: pd.DataFrame) -> pd.DataFrame:
+        h, mn, mx = (float(one[c].iloc[0]) for c in ("_h", "_mn", "_mx"))
+        x = np.arange(grid) * ((mx - mn) / (grid - 1)) + mn
+        x[-1] = mx
+        v, w, total = one[value].to_numpy(), one["_w"].to_numpy(dtype=float), np.zeros(grid)
+        for i in range(0, len(v), 256):
+            z = (x[:, None] - v[None, i:i + 256]) / h
+            total += np.exp(-0.5 * z * z) @ w[i:i + 256]
+        first = one[[*keys, "_n", "_h", "_mn", "_mx"]].iloc[:1]
+        return first.loc[first.index.repeat(grid)].assign(point=np.arange(grid, dtype=np.int32), _s=total)
+
+    def run(batches):
+        for pdf in batches:
+            groups = [g for _, g in pdf.groupby(keys, sort=False, dropna=False)] if keys else [pdf] if len(pdf) else []
+            for i in range(0, len(groups), 64):
+                yield pd.concat([sums(g) for g in groups[i:i + 64]], ignore_index=True)
+    return run
+
+
 def kde(df: DataFrame, value: str, keys: Sequence[str] = (), bw: float = 0.1,
         grid: int = 1000) -> DataFrame:
     """Gaussian kernel density on ``grid`` equally spaced points from the
     group's min to max. Columns: keys, point (0-based), x, density."""
     keys = list(keys)
-    src = df.select(*keys, value).where(F.col(value).isNotNull())
+    src = df.select(*keys, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull())
     for k in keys:
         src = src.where(F.col(k).isNotNull())
     # the input is read once: everything below uses its collapse to
@@ -145,22 +173,25 @@ def kde(df: DataFrame, value: str, keys: Sequence[str] = (), bw: float = 0.1,
     g1 = _group(collapsed, keys, F.sum("_w").alias("_n"),
                 (F.sum(F.col(value) * F.col("_w")) / F.sum("_w")).alias("_m"),
                 F.min(value).alias("_mn"), F.max(value).alias("_mx"))
-    dev = _attach(collapsed, g1, keys, ["_n", "_m", "_mn", "_mx"])
+    dev = _attach(collapsed, g1, keys, value, ["_n", "_m", "_mn", "_mx"])
     # sample variance, two-pass (deviations from the mean) for stability
-    ss = F.sum(F.col("_w") * F.pow(F.col(value) - F.col("_m"), 2))
-    g = dev.groupBy(*keys, "_n", "_mn", "_mx").agg(
-        (F.lit(float(bw)) * F.sqrt(ss / F.nullif(F.col("_n") - 1, F.lit(0)))).alias("_h"))
+    ss = F.sum(F.col("_w") * F.pow(F.col(value) - F.col("_m"), 2)).alias("_ss")
+    own = [*keys, "_n", "_mn", "_mx"]  # (_n, _mn, _mx) are constant per group
+    parts = dev.groupBy(*own, *(["_salt"] if keys else [])).agg(ss)
+    g = parts.groupBy(*own).agg(
+        (F.lit(float(bw)) * F.sqrt(F.sum("_ss") / F.nullif(F.col("_n") - 1, F.lit(0)))).alias("_h"))
     g = g.where(F.col("_h").isNotNull() & (F.col("_h") > 0))
-    rows = _attach(collapsed, g, keys, ["_n", "_h", "_mn", "_mx"]).where(F.col("_h").isNotNull())
+    rows = _attach(collapsed, g, keys, value, ["_n", "_h", "_mn", "_mx"]).where(F.col("_h").isNotNull())
+    rows = rows.select(*keys, value, "_w", "_n", "_h", "_mn", "_mx")
+    if keys:
+        rows = rows.sortWithinPartitions(*keys)
+    kept = [rows.schema[c] for c in (*keys, "_n", "_h", "_mn", "_mx")]
+    sums = rows.mapInPandas(_kernel_sums(keys, value, grid), StructType(
+        [*kept, StructField("point", IntegerType()), StructField("_s", DoubleType())]))
+    agg = sums.groupBy(*keys, "point", "_n", "_h", "_mn", "_mx").agg(F.sum("_s").alias("_s"))
     step = (F.col("_mx") - F.col("_mn")) / F.lit(float(grid - 1))
-    pts = rows.select(*keys, value, "_w", "_n", "_h", "_mn", "_mx",
-                      F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point"))
     x = F.when(F.col("point") == grid - 1, F.col("_mx")) \
          .otherwise(F.col("point").cast("double") * step + F.col("_mn"))
-    z = (x - F.col(value)) / F.col("_h")
-    contrib = F.col("_w") * F.exp(F.lit(-0.5) * z * z)
-    # (_n, _h, _mn, _mx) are constant per group: grouping by them is free
-    agg = pts.groupBy(*keys, "point", "_n", "_h", "_mn", "_mx").agg(F.sum(contrib).alias("_s"))
     norm = F.col("_n") * F.col("_h") * F.lit(math.sqrt(2.0 * math.pi))
     return agg.select(*keys, "point", x.alias("x"), (F.col("_s") / norm).alias("density")) \
               .orderBy(*keys, "point")

@@ -14,6 +14,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+SALTS = 16  # parts of a group that meet its parameters apart
+
+
 def left_join_keys(left: DataFrame, right: DataFrame, left_on: Sequence[str],
                    right_on: Sequence[str], null_safe: bool = False) -> DataFrame:
     """Left join on differently named key columns (all right columns kept)."""
@@ -37,3 +40,14 @@ def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
         e = left[c].eqNullSafe(r[f"_r_{c}"])
         cond = e if cond is None else cond & e
     return left.join(r, cond, how).drop(*[f"_r_{c}" for c in on])
+
+
+def join_salted(rows: DataFrame, per_group: DataFrame, keys: Sequence[str], value: str,
+                cols: Sequence[str]) -> DataFrame:
+    """Rows with their group's parameters ``cols``. A group's rows are dealt
+    by a hash of ``value`` to ``SALTS`` parts (column ``_salt``) and its one
+    row of parameters is copied to each, so a hot group is not one task's
+    work; aggregate by (keys, _salt) first, then by keys."""
+    part = F.pmod(F.xxhash64(F.col(value)), F.lit(SALTS)).cast("int")
+    copies = per_group.select(*keys, *cols, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    return rows.withColumn("_salt", part).join(copies, [*keys, "_salt"])

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,23 +52,22 @@ def audit_keys(df: DataFrame, pk: Sequence[str],
       column (left-anti join), with their row count.
     """
     pk = list(pk)
-    key_txt = F.concat_ws("|", *[F.col(c).cast("string") for c in pk])
-    any_null = None
-    for c in pk:
-        e = F.col(c).isNull()
-        any_null = e if any_null is None else any_null | e
-    dup = (df.where(~any_null).groupBy(*pk).agg(F.count(F.lit(1)).alias("n"))
-             .where(F.col("n") > 1)
-             .select(F.lit("duplicate_pk").alias("check"), key_txt.alias("key"), "n"))
-    nulls = (df.where(any_null).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 0)
-               .select(F.lit("missing_pk").alias("check"), F.lit(None).cast("string").alias("key"), "n"))
-    out = dup.unionByName(nulls)
+    parts = [f"_k{i}" for i in range(len(pk))]
+    # one collapse by key serves both primary key checks
+    seen = df.groupBy(*[F.col(c).alias(k) for c, k in zip(pk, parts)]).agg(F.count(F.lit(1)).alias("_n"))
+    whole = reduce(and_, [F.col(k).isNotNull() for k in parts])
+    bad = seen.where(~whole | (F.col("_n") > 1)).select(
+        whole.alias("_whole"), *[F.when(whole, F.col(k)).alias(k) for k in parts], "_n")
+    out = bad.groupBy("_whole", *parts).agg(F.sum("_n").alias("n")).select(
+        F.when(F.col("_whole"), "duplicate_pk").otherwise("missing_pk").alias("check"),
+        F.when(F.col("_whole"), F.concat_ws("|", *[F.col(k).cast("string") for k in parts])).alias("key"), "n")
     for col, (ref, ref_col) in (fks or {}).items():
         r = ref.select(F.col(ref_col).alias("_rk"))
-        orphans = df.where(F.col(col).isNotNull()).join(r, F.col(col) == r["_rk"], "left_anti")
+        # counted per key first, so that only distinct keys meet the referenced table
+        keys = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("_k")).agg(F.count(F.lit(1)).alias("n"))
         out = out.unionByName(
-            orphans.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-                   .select(F.lit(f"fk:{col}").alias("check"), F.col(col).cast("string").alias("key"), "n"))
+            keys.join(r, keys["_k"] == r["_rk"], "left_anti")
+                .select(F.lit(f"fk:{col}").alias("check"), F.col("_k").cast("string").alias("key"), "n"))
     return out
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonestats.functions.columns import round_half_even
+from zonestats.operators.joins import join_salted
 from zonestats.operators.order_stats import exact_quantiles
 
 
@@ -54,7 +55,7 @@ def collapse(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
 def _modes(c: DataFrame, value: str, keys: Sequence[str], out: str) -> DataFrame:
     top = _group(c, keys, F.max("_w").alias("_top"))
     if keys:
-        modes = c.join(top, list(keys)).where(F.col("_w") == F.col("_top"))
+        modes = join_salted(c, top, keys, value, ["_top"]).where(F.col("_w") == F.col("_top"))
     else:
         modes = c.where(F.col("_w") == top.select("_top").scalar())
     return modes.select(*keys, F.col(value).alias(out))
@@ -86,16 +87,17 @@ def centre_stats(df: DataFrame, value: str, keys: Sequence[str] = (), scale: int
     keys = list(keys)
     mean_n, median_n, mode_n = names
     c = collapse(df, value, keys)
-    means = _group(c, keys, _weighted_mean(value, scale).alias(mean_n))
-    med = exact_quantiles(c, value, [], keys, median_name=median_n,
-                          num_partitions=num_partitions, weight="_w")
-    modes = _modes(c, value, keys, mode_n)
+    mean = _weighted_mean(value, scale).alias("_mean")
+    med = exact_quantiles(c, value, [], keys, median_name="_median", num_partitions=num_partitions, weight="_w")
+    scalars = [F.col("_mean").alias(mean_n), F.col("_median").alias(median_n), F.col(value).alias(mode_n)]
     if keys:
-        return modes.join(means, keys).join(med, keys).select(*keys, mean_n, median_n, mode_n) \
-                    .orderBy(*keys, mode_n)
-    return modes.withColumns({mean_n: means.select(mean_n).scalar(),
-                              median_n: med.select(median_n).scalar()}) \
-                .select(mean_n, median_n, mode_n).orderBy(mode_n)
+        per_group = _group(c, keys, F.max("_w").alias("_top"), mean).join(med, keys)
+        modes = join_salted(c, per_group, keys, value, ["_top", "_mean", "_median"])
+        return modes.where(F.col("_w") == F.col("_top")).select(*keys, *scalars).orderBy(*keys, mode_n)
+    modes = _modes(c, value, keys, value)
+    means = _group(c, keys, mean)
+    return modes.withColumns({"_mean": means.select("_mean").scalar(), "_median": med.select("_median").scalar()}) \
+                .select(*scalars).orderBy(mode_n)
 
 
 def spread_stats(df: DataFrame, value: str, keys: Sequence[str] = (),
@@ -158,24 +160,25 @@ def box_stats(df: DataFrame, value: str, keys: Sequence[str] = (),
     the fences) and the number of outliers, per group.
 
     The input is read once: collapsed to (group, value, count), it gives the
-    quartiles, and its rows are then joined to their group's fences on the
-    group key (AQE broadcasts the per-group table when small and splits a
-    hot group otherwise).
+    quartiles, and its rows then meet their group's fences in salted parts
+    that are aggregated before the group is.
     """
     keys = list(keys)
     c = collapse(df, value, keys)
     pos = position_stats(c, value, keys, num_partitions, weight="_w")
     if keys:
-        j = c.join(pos.select(*keys, "lower_fence", "upper_fence"), keys)
+        j = join_salted(c, pos, keys, value, ["lower_fence", "upper_fence"])
     else:
         st = pos.select(F.struct("lower_fence", "upper_fence").alias("st")).scalar()
         j = c.withColumns({"lower_fence": st.getField("lower_fence"),
                            "upper_fence": st.getField("upper_fence")})
     inside = (F.col(value) >= F.col("lower_fence")) & (F.col(value) <= F.col("upper_fence"))
-    w = _group(j, keys,
-               F.min(F.when(inside, F.col(value))).alias("lower_whisker"),
-               F.max(F.when(inside, F.col(value))).alias("upper_whisker"),
-               F.coalesce(F.sum(F.when(~inside, F.col("_w"))), F.lit(0)).alias("n_outliers"))
+    parts = _group(j, [*keys, "_salt"] if keys else [],
+                   F.min(F.when(inside, F.col(value))).alias("_lo"),
+                   F.max(F.when(inside, F.col(value))).alias("_hi"),
+                   F.sum(F.when(~inside, F.col("_w"))).alias("_out"))
+    w = _group(parts, keys, F.min("_lo").alias("lower_whisker"), F.max("_hi").alias("upper_whisker"),
+               F.coalesce(F.sum("_out"), F.lit(0)).alias("n_outliers"))
     if keys:
         out = pos.join(w, keys)
     else:
