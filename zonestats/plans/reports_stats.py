@@ -244,3 +244,16 @@ def _frequency_table(spark, d):
           "FROM gp, c, s WHERE s.h > 0 GROUP BY gp.point, gp.x, s.n, s.h")
 def _kde(spark, d):
     return rounded(kde(_events(spark, d), "value"), None, {"density": 12})
+
+
+@register("kde_by_type",
+          "WITH s AS (SELECT event_type, count(value) AS n, 0.1 * stddev_samp(value) AS h, min(value) AS mn, "
+          "max(value) AS mx FROM events WHERE value IS NOT NULL AND event_type IS NOT NULL GROUP BY event_type), "
+          "c AS (SELECT event_type, value, count(*) AS w FROM events WHERE value IS NOT NULL GROUP BY ALL), "
+          "gp AS (SELECT event_type, n, h, i AS point, CASE WHEN i = 999 THEN mx ELSE CAST(i AS DOUBLE) * "
+          "((mx - mn) / 999.0) + mn END AS x FROM s, range(0, 1000) r(i) WHERE h > 0) "
+          "SELECT event_type, CAST(point AS INTEGER) AS point, x, round(sum(w * exp(-0.5 * ((x - value) / h) * "
+          "((x - value) / h))) / (n * h * sqrt(2 * pi())), 10) AS density "
+          "FROM gp JOIN c USING (event_type) GROUP BY event_type, point, x, n, h")
+def _kde_by_type(spark, d):
+    return rounded(kde(_events(spark, d), "value", ["event_type"]), None, {"density": 10})
