@@ -104,8 +104,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     One scan writes (hash, document) of the long lines; ``batches`` ranges of
     ids in descending order go through ``LineRuns``; the runs' merged counts
-    give the lines to drop, which are joined back by document. Counts are
-    partial aggregates, so a line in a third of all documents is one row per
+    give the lines to drop, which meet their document's text in one merge join
+    at every size (the lists grow with the input). Counts are partial aggregates, so a line in a third of all documents is one row per
     task; joins on line or id are left to AQE's skew splitting.
 
     A null or empty text is one empty line. Rows that share an id count as one
@@ -134,7 +134,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drops = (lines.select("id", *KEY).join(bad, KEY).filter("id <> last_doc")
              .groupBy("id").agg(F.collect_list(F.struct("h1", "h2")).alias("drop")))
     drops = saved(drops, "line-drops").withColumnRenamed("id", "drop_id")
-    joined = src.join(drops, src["id"] == drops["drop_id"], "left").select("row", "doc_id", "text", "drop")
+    joined = src.join(drops.hint("merge"), src["id"] == drops["drop_id"], "left").select("row", "doc_id", "text", "drop")
 
     def stays(line: Column) -> Column:
         h1, h2 = _hash(line)
