@@ -36,9 +36,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each near-duplicate group (five words, 0.8).
-    Repeated rows of a kept id count once."""
+    Repeated rows of a kept id count once. The ids grow with the input, so
+    they meet the texts in a merge join at every size."""
     kept = saved(near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")), "pipeline-kept")
-    ids = kept.distinct()
+    ids = kept.distinct().hint("merge")
     out = docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(ids["kept_id"]), "left_semi")
     repeated = kept.groupBy("kept_id").count().filter("count > 1").limit(1).count()
     return out.dropDuplicates(["doc_id"]) if repeated else out
