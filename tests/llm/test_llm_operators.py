@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import uuid
 import zlib
 
@@ -338,3 +339,26 @@ def test_license_scan(spark, none):
     assert got[3] == [("MIT-notice", 0)] and got[4] == [("MIT", 0)] and got[5][0][0] == "MIT" and got[5][0][1] > 0
     assert ("Apache-2.0", 0) in got[6] and got[7] == [("GPL-3.0-notice", 0)] and not any(got[i] for i in (0, 1, 2, 8))
     assert license_scan.scan_licenses(none).count() == 0
+
+
+def names(text, **options):
+    return [f["license"] for f in license_scan.scan_text(text, **options)]
+
+
+def test_license_scan_of_wrapped_texts():
+    """Line breaks, comment marks and length of the text do not matter."""
+    for name in ("MIT", "BSD-2-Clause", "Apache-2.0", "MPL-2.0-notice"):
+        text = license_scan.TEMPLATES[name]
+        for width in (30, 60, 72, 200):
+            for mark in ("", " * ", "# "):
+                wrapped = ("\n" + mark).join(textwrap.wrap(text.replace(": ", ":\n\n"), width))
+                for own in (wrapped, wrapped.replace("\n", "\n\n"), prose(300) + "\n" + wrapped + "\n" + prose(300)):
+                    assert names(own) == [name], (name, width, mark)
+    # a notice file of more than 16,000 characters: each licence, where it lies
+    order = ["MIT", "BSD-2-Clause", "Apache-2.0", "MIT", "MPL-2.0-notice"] * 8
+    parts = [f"Copyright {k} " + prose(10) + "\n" + "\n".join(textwrap.wrap(license_scan.TEMPLATES[n], 70)) for k, n in enumerate(order)]
+    text = "\n\n".join(parts)
+    found = license_scan.scan_text(text)
+    assert len(text) > 16_000 and [f["license"] for f in found] == order
+    for f, part in zip(found, parts):
+        assert text[f["start"]:f["end"]] in part

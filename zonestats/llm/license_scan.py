@@ -6,6 +6,7 @@ import difflib
 import re
 from functools import lru_cache, partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,88 +43,144 @@ TEMPLATES = {
                     "reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
                     "documentation and/or other materials provided with the distribution.",
 }
-CUE = r"(?i)licen[cs]e|copyright|spdx|hereby granted|redistribution|without warrant|public domain|all rights|waived|\bCC[ -]BY"
-LEAST = 0.15  # least relative size reduction of a candidate
+CUE = (r"(?i)licen[cs]e|copyright|spdx|hereby[\W_]+granted|redistribution|without[\W_]+warrant|public[\W_]+domain"
+       r"|all[\W_]+rights|waived|\bCC[\W_]+BY")
+LEAST = 0.15  # least relative size reduction of a window
 COVERED = 0.85  # least share of a template's words found in order
-REACH = 4000  # characters of a long line that are taken on either side of a cue
-_GAP = 3  # lines between two cues of one block
-_CUE = re.compile(CUE)
+#: Words that tell licences apart: a match has as many of them as its template, each in its place.
+EXACT = set("apache mit mit-0 bsd bsd-style mozilla isc boost lesser affero cc0 cc0-1.0 by by-sa by-nc by-nd by-nc-sa by-nc-nd "
+            "sa nc nd noncommercial sharealike noderivatives noderivs later endorse advertising appear".split())
+SHORT = 60  # words of a notice: every number in it is exact, in longer texts those after "version"
 _WORD = re.compile(r"[0-9a-z]+(?:[.-][0-9a-z]+)*")
+_NUMBER = re.compile(r"v?\.?(\d+(?:\.\d+)*)")
 
 
-def blocks(text: str) -> list[tuple[int, int, str]]:
-    """(first character, end, text) of the candidate blocks: runs of lines in
-    which cues are at most ``_GAP`` lines apart; of a long line, what lies
-    within ``REACH`` characters of its cues."""
-    spans, at, last, line = [], 0, -99, 0
-    for raw in text.split("\n"):
-        end = at + len(raw)
-        cues = [m.span() for m in _CUE.finditer(raw)]
-        if cues and len(raw) > 2 * REACH:
-            for a, b in cues:
-                lo, hi = at + max(0, a - REACH), min(end, at + b + REACH)
-                if spans and spans[-1][1] >= lo and spans[-1][1] - spans[-1][0] < 4 * REACH:
-                    spans[-1][1] = max(spans[-1][1], hi)
-                else:
-                    spans.append([lo, hi])
-        elif cues:
-            if spans and line - last <= _GAP and end - spans[-1][0] < 4 * REACH:
-                spans[-1][1] = end
-            else:
-                spans.append([at, end])
-        if cues:
-            last = line
-        at, line = end + 1, line + 1
-    return [(a, b, text[a:b]) for a, b in spans]
-
-
-def _tokens(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+def _tokens(text: str) -> tuple[list[str], list[tuple[int, int]]]:
+    """The words of a text, lowered, and where they lie. A version's "v" and
+    last ".0" are left out."""
+    low = text.lower()
+    if len(low) != len(text):  # some characters change their length
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    found = [(m.group(), m.span()) for m in _WORD.finditer(low)]
+    numbers = ((_NUMBER.fullmatch(w) if w[0] in "v0123456789" else None, w) for w, _ in found)
+    return [re.sub(r"\.0$", "", m.group(1)) if m else w for m, w in numbers], [s for _, s in found]
+
+
+def _exact(words: list[str], short: bool) -> list[int]:
+    """Where the words lie that must agree."""
+    return [i for i, w in enumerate(words) if w in EXACT or w == "library" and i and words[i - 1] == "gnu"
+            or _NUMBER.fullmatch(w) and (short or i and words[i - 1] in ("version", "v"))]
+
+
+class _Template:
+    """A template's words, their counts over the common vocabulary, and the
+    compressor that has them as raw dictionary."""
+
+    def __init__(self, name: str, words: list[str], vocabulary: dict[str, int], level: int):
+        import zstandard as zstd
+
+        self.name, self.words, self.n, self.short = name, words, len(words), len(words) <= SHORT
+        self.exact = set(_exact(words, self.short))
+        self.ids, self.counts = np.unique([vocabulary[w] for w in words], return_counts=True)
+        text = " ".join(words).encode()
+        self.dict = zstd.ZstdCompressor(level=level, dict_data=zstd.ZstdCompressionDict(text, dict_type=zstd.DICT_TYPE_RAWCONTENT))
+
+    def may_be_in(self, counts: np.ndarray, covered: float) -> bool:
+        """Whether words counted so can cover the template, in any order."""
+        return np.minimum(counts[self.ids], self.counts).sum() >= covered * self.n
 
 
 @lru_cache(maxsize=2)
-def _compressors(level: int):
+def _templates(level: int):
     import zstandard as zstd
 
-    own = zstd.ZstdCompressor(level=level)
-    by = {n: zstd.ZstdCompressor(level=level, dict_data=zstd.ZstdCompressionDict(t.encode(), dict_type=zstd.DICT_TYPE_RAWCONTENT))
-          for n, t in TEMPLATES.items()}
-    return own, by, {n: _tokens(t) for n, t in TEMPLATES.items()}
-
-
-def scan_block(text: str, level: int = 19, least: float = LEAST, covered: float = COVERED) -> list[dict]:
-    """Licences of one block. Templates are ranked by how much smaller the
-    block gets with the template as raw dictionary; those that reach ``least``
-    are compared word by word, and the one with the fewest differences that
-    covers its template wins. What is left of the block is scanned again."""
-    own, by, words = _compressors(level)
-    found, rest = [], _tokens(text)
-    while rest:
-        raw = " ".join(rest).encode()
-        alone = len(own.compress(raw))
-        ranked = sorted(((1 - len(c.compress(raw)) / alone, n) for n, c in by.items()), reverse=True)
-        best = None
-        for gain, name in ranked:
-            t = words[name]
-            match = [m for m in difflib.SequenceMatcher(None, rest, t, autojunk=False).get_matching_blocks() if m.size]
-            if not match:
-                continue
-            # of the words matched, the part of the block that they span
-            lo, hi = match[0].a, match[-1].a + match[-1].size
-            same = sum(m.size for m in match)
-            if same < covered * len(t):
+    words = {n: _tokens(t)[0] for n, t in TEMPLATES.items()}
+    vocabulary = {w: i for i, w in enumerate(sorted({w for t in words.values() for w in t}))}
+    return zstd.ZstdCompressor(level=level), vocabulary, [_Template(n, w, vocabulary, level) for n, w in words.items()]
+
+
+def _windows(n: int, size: int, step: int) -> list[tuple[int, int]]:
+    """Windows of ``size`` over ``n`` words, ``step`` apart; the last ends at the end."""
+    return [(i, i + size) for i in range(0, n - size, step)] + [(max(0, n - size), n)]
+
+
+def _span(t: _Template, words: list[str], lo: int, hi: int, covered: float):
+    """(first, end, words of the template missing, words extra) of the place
+    in words[lo:hi] where the template fits best, if it is covered there and
+    the words that tell licences apart agree."""
+    match = [m for m in difflib.SequenceMatcher(None, words[lo:hi], t.words, autojunk=False).get_matching_blocks() if m.size]
+    # the run of matches with the most words in order, less those in between
+    best, start, run, at = (0, 0, 0), 0, 0, 0
+    for k, m in enumerate(match):
+        gap = m.a - at if k else 0
+        run, start = (run + m.size - gap, start) if run > gap else (m.size, k)
+        at = m.a + m.size
+        best = max(best, (run, -start, k))
+    match = match[-best[1]:best[2] + 1]
+    same = sum(m.size for m in match)
+    if not match or same < covered * t.n:
+        return None
+    first, end = match[0].a, match[-1].a + match[-1].size
+    missing, extra = t.n - same, end - first - same
+    found = words[lo + first:lo + end]
+    ours = {i for m in match for i in range(m.b, m.b + m.size)}
+    theirs = {i - first for m in match for i in range(m.a, m.a + m.size)}
+    if not t.exact <= ours or not set(_exact(found, t.short)) <= theirs:
+        return None
+    if "later" not in t.words and "version" in t.words and "later" in words[lo + end:lo + end + 8]:
+        return None  # goes on as "or any later version"
+    if missing + extra > (1 - covered) * 2 * t.n:
+        return None
+    return lo + first, lo + end, missing, extra
+
+
+def scan_text(text: str, level: int = 19, least: float = LEAST, covered: float = COVERED) -> list[dict]:
+    """Licences of one text, whatever its line breaks and length.
+
+    The words are gone through in windows about as long as each template that
+    overlap, so that each place of the template lies in one. A window's
+    reduction is how much smaller it gets with the template as raw dictionary.
+    Places whose reduction reaches ``least`` are taken by bytes saved, the
+    most first, and compared word by word; the first that is confirmed takes
+    its words. What is left is gone through again until nothing is found.
+    A window whose words could not cover the template in any order is not
+    compressed, as no comparison could confirm it.
+    """
+    own, vocabulary, templates = _templates(level)
+    words, places = _tokens(text)
+    other, found = len(vocabulary), []
+    ids = np.array([vocabulary.get(w, other) for w in words], np.int64)
+    while len(words):
+        counts, ranked = np.bincount(ids, minlength=other + 1), []
+        for k, t in enumerate(templates):
+            if not t.may_be_in(counts, covered):
                 continue
-            # the block may go on: the reduction counts on the matched span
-            part = " ".join(rest[lo:hi]).encode()
-            cut = 1 - len(by[name].compress(part)) / len(own.compress(part))
-            differ = (len(t) - same) + (hi - lo - same)
-            if max(gain, cut) >= least and differ <= (1 - covered) * 2 * len(t) and (best is None or (differ, -len(t)) < best[0]):
-                best = ((differ, -len(t)), name, max(gain, cut), lo, hi, len(t) - same, hi - lo - same)
-        if best is None:
+            size = int(t.n * (1 + 2 * (1 - covered))) + 1  # the longest place that is confirmed
+            for lo, hi in _windows(len(words), 2 * size, size):
+                if t.may_be_in(np.bincount(ids[lo:hi], minlength=other + 1), covered):
+                    best = (0.0, 0)
+                    for a, b in _windows(hi - lo, size, max(1, size - t.n)):
+                        raw = " ".join(words[lo + a:lo + b]).encode()
+                        alone = len(own.compress(raw))
+                        saved = alone - len(t.dict.compress(raw))
+                        best = max(best, (saved / alone, saved))
+                    if best[0] >= least:
+                        ranked.append((best[1], best[0], -lo, k, lo, hi))
+        before = len(found)
+        for _, reduction, _, k, lo, hi in sorted(ranked, reverse=True):
+            t = templates[k]
+            if not t.may_be_in(np.bincount(ids[lo:hi], minlength=other + 1), covered):
+                continue  # its words are taken
+            hit = _span(t, words, lo, hi, covered)
+            if hit:
+                a, b, missing, extra = hit
+                found.append({"license": t.name, "reduction": round(reduction, 4), "missing": missing, "extra": extra,
+                              "start": places[a][0], "end": places[b - 1][1]})
+                ids[a:b] = other
+                words[a:b] = [""] * (b - a)
+        if len(found) == before:
             break
-        found.append({"license": best[1], "reduction": round(best[2], 4), "missing": best[5], "extra": best[6]})
-        rest = rest[:best[3]] + rest[best[4]:]
-    return found
+    return sorted(found, key=lambda f: (f["start"], f["end"]))
 
 
 _FOUND = pa.list_(pa.struct([("license", pa.string()), ("reduction", pa.float64()), ("missing", pa.int32()),
@@ -131,19 +188,10 @@ _FOUND = pa.list_(pa.struct([("license", pa.string()), ("reduction", pa.float64(
 
 
 def _scan_rows(batches, level: int, least: float, covered: float):
-    memo: dict[str, list[dict]] = {}
     for batch in batches:
         for i in range(0, batch.num_rows, 256):
-            part, out = batch.slice(i, 256), []
-            for text in part.column("text").to_pylist():
-                row = []
-                for a, b, block in blocks(text or ""):
-                    if block not in memo:
-                        if len(memo) > 10_000:
-                            memo.clear()
-                        memo[block] = scan_block(block, level, least, covered)
-                    row += [dict(f, start=a, end=b) for f in memo[block]]
-                out.append(row)
+            part = batch.slice(i, 256)
+            out = [scan_text(text or "", level, least, covered) for text in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, _FOUND)], names=["doc_id", "found"])
 
 
@@ -152,7 +200,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per licence found in a document: doc_id, license, reduction
     (relative size saved by the template as dictionary), missing and extra
     (words by which the wording differs), start and end (characters of the
-    block). Only texts with a cue leave the JVM; every line of them is read.
+    words found). Only texts with a cue leave the JVM; every word of them is read.
 
     A null or empty text has none; repeated rows are reported alike; an empty
     table gives no rows; other columns are ignored. No shuffle.
