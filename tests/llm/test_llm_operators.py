@@ -362,3 +362,32 @@ def test_license_scan_of_wrapped_texts():
     assert len(text) > 16_000 and [f["license"] for f in found] == order
     for f, part in zip(found, parts):
         assert text[f["start"]:f["end"]] in part
+
+
+def test_license_scan_templates_and_variants():
+    """Every template is found as itself, whole and alone; versions and
+    variants are never taken for one another."""
+    for name, text in license_scan.TEMPLATES.items():
+        got = names(prose(40) + "\n" + "\n// ".join(textwrap.wrap(text, 70)) + "\n" + prose(40))
+        assert got == [name], (name, got)
+    gnu = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version."""
+    assert names(gnu) == ["GPL-3.0-or-later-notice"]
+    assert names(gnu.replace("either version 3", "either version 2")) == ["GPL-2.0-or-later-notice"]
+    assert names(gnu.replace("GNU General", "GNU Affero General")) == ["AGPL-3.0-or-later-notice"]
+    assert names(gnu.replace("GNU General", "GNU Lesser\n * General")) == ["LGPL-3.0-or-later-notice"]
+    assert names(gnu.replace("version 3", "version 9")) == []
+    assert names(gnu[:gnu.index(", or\n")]) == ["GPL-3.0-only-notice-a"]
+    assert names("Licensed under the Academic License, Version 2.0.") == []
+    bsd = license_scan.TEMPLATES["BSD-3-Clause"]
+    assert names(bsd.replace("copyright holder", "University").replace(": ", ":\n1. ")) == ["BSD-3-Clause"]
+
+
+def test_license_scan_spdx_tags():
+    tag = "SPDX-License-Identifier: "
+    assert names("/* " + tag + "GPL-2.0-only WITH Linux-syscall-note */") == ["GPL-2.0-only WITH Linux-syscall-note-tag"]
+    assert names("# " + tag + "(MIT OR Apache-2.0) AND BSD-3-Clause\nor more") == ["MIT-tag", "Apache-2.0-tag", "BSD-3-Clause-tag"]
+    assert names("<!-- " + tag + "LicenseRef-own-1.0 -->\n" + tag + "EPL-2.0+") == ["LicenseRef-own-1.0-tag", "EPL-2.0+-tag"]
+    assert names(tag) == []

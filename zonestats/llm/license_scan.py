@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import pkgutil
 import re
 from functools import lru_cache, partial
 
@@ -11,6 +12,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+
+def _gnu(short: str, name: str, thing: str, *versions: str) -> dict[str, str]:
+    """The notices that the GNU licences ask for, and their usual forms
+    without later versions. (Several wordings of a licence are a, b, c.)"""
+    out = {}
+    for v in versions:
+        free = f"This {thing} is free software; you can redistribute it and/or modify it under the terms of"
+        said, at = f"the {name} as published by the Free Software Foundation", f"version {v.removesuffix('.0')}"
+        out |= {f"{short}-{v}-or-later-notice": f"{free} {said}; either {at} of the License, or (at your option) any later version.",
+                f"{short}-{v}-only-notice-a": f"{free} {said}; {at} of the License.",
+                f"{short}-{v}-only-notice-b": f"{free} {said.replace(name, f'{name} {at}')}.",
+                f"{short}-{v}-only-notice-c": f"{free} {at} of {said}."}
+    return out
+
+
 #: Wording of public licence notices, by SPDX-like name.
 TEMPLATES = {
     "MIT-notice": "Released under the MIT License.",
@@ -25,6 +41,19 @@ TEMPLATES = {
     "CC-BY-SA-4.0-notice": "Licensed under CC BY-SA 4.0.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "CC0-1.0-notice": "To the extent possible under law, the author has waived all copyright and related rights to this work.",
+    "MIT-licensed-notice": "Licensed under the MIT License.",
+    "CC-BY-ND-4.0-notice": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-SA-4.0-notice": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0-notice": "Licensed under CC BY-NC-ND 4.0.",
+    **{f"CC-{kind.upper().replace(' ', '-')}-4.0-long-notice":
+       f"This work is licensed under a Creative Commons {name} 4.0 International License."
+       for kind, name in (("by", "Attribution"), ("by-sa", "Attribution-ShareAlike"), ("by-nc", "Attribution-NonCommercial"),
+                          ("by-nd", "Attribution-NoDerivatives"), ("by-nc-sa", "Attribution-NonCommercial-ShareAlike"),
+                          ("by-nc-nd", "Attribution-NonCommercial-NoDerivatives"))},
+    **_gnu("GPL", "GNU General Public License", "program", "1.0", "2.0", "3.0"),
+    **_gnu("LGPL", "GNU Library General Public License", "library", "2.0"),
+    **_gnu("LGPL", "GNU Lesser General Public License", "library", "2.1", "3.0"),
+    **_gnu("AGPL", "GNU Affero General Public License", "program", "3.0"),
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
            "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
            "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and "
@@ -42,16 +71,37 @@ TEMPLATES = {
                     "notice, this list of conditions and the following disclaimer. Redistributions in binary form must "
                     "reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
                     "documentation and/or other materials provided with the distribution.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+           "granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS "
+           "PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED "
+           "WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, "
+           "OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION "
+           "OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS "
+           "SOFTWARE.",
 }
+TEMPLATES["0BSD"] = TEMPLATES["ISC"].replace(
+    ", provided that the above copyright notice and this permission notice appear in all copies", "")
+#: The conditions of BSD-2 with their further clauses; what follows is the same in all.
+_ENDORSE = (" Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+            "derived from this software without specific prior written permission.")
+TEMPLATES["BSD-3-Clause"] = TEMPLATES["BSD-2-Clause"] + _ENDORSE
+TEMPLATES["BSD-4-Clause"] = (
+    TEMPLATES["BSD-2-Clause"] + " All advertising materials mentioning features or use of this software must display the following "
+    "acknowledgement: This product includes software developed by the organization." + _ENDORSE)
+#: Full texts, in the folder ``licenses``.
+FULL = ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "CC0-1.0")
+TEMPLATES |= {f"{n}-text": pkgutil.get_data(__package__, f"licenses/{n}.txt").decode() for n in FULL}
 CUE = (r"(?i)licen[cs]e|copyright|spdx|hereby[\W_]+granted|redistribution|without[\W_]+warrant|public[\W_]+domain"
        r"|all[\W_]+rights|waived|\bCC[\W_]+BY")
 LEAST = 0.15  # least relative size reduction of a window
 COVERED = 0.85  # least share of a template's words found in order
 #: Words that tell licences apart: a match has as many of them as its template, each in its place.
-EXACT = set("apache mit mit-0 bsd bsd-style mozilla isc boost lesser affero cc0 cc0-1.0 by by-sa by-nc by-nd by-nc-sa by-nc-nd "
-            "sa nc nd noncommercial sharealike noderivatives noderivs later endorse advertising appear".split())
+EXACT = set("apache mit bsd mozilla isc lesser affero cc0 sa nc nd noncommercial sharealike noderivatives noderivs later "
+            "endorse advertising appear".split())
 SHORT = 60  # words of a notice: every number in it is exact, in longer texts those after "version"
-_WORD = re.compile(r"[0-9a-z]+(?:[.-][0-9a-z]+)*")
+_TAG = re.compile(r"(?i)SPDX-License-Identifier:[ \t(]*")
+_TAGGED = re.compile(r"([A-Za-z0-9][A-Za-z0-9.:+-]*[A-Za-z0-9+]|[A-Za-z0-9])[ \t)]*(?:(AND|OR|WITH|and|or|with)[ \t(]+)?")
+_WORD = re.compile(r"[0-9a-z]+(?:\.[0-9a-z]+)*")
 _NUMBER = re.compile(r"v?\.?(\d+(?:\.\d+)*)")
 
 
@@ -134,6 +184,21 @@ def _span(t: _Template, words: list[str], lo: int, hi: int, covered: float):
     return lo + first, lo + end, missing, extra
 
 
+def tags(text: str) -> list[dict]:
+    """The licences that SPDX tags name, one by one: any identifier, exactly
+    as written, with its exception."""
+    out = []
+    for tag in _TAG.finditer(text):
+        at, link = tag.end(), "AND"
+        while link and (m := _TAGGED.match(text, at)):
+            if link.upper() == "WITH":
+                out[-1] |= {"license": f"{out[-1]['license'].removesuffix('-tag')} WITH {m[1]}-tag", "end": m.end(1)}
+            else:
+                out.append({"license": f"{m[1]}-tag", "reduction": None, "missing": 0, "extra": 0, "start": m.start(1), "end": m.end(1)})
+            at, link = m.end(), m[2]
+    return out
+
+
 def scan_text(text: str, level: int = 19, least: float = LEAST, covered: float = COVERED) -> list[dict]:
     """Licences of one text, whatever its line breaks and length.
 
@@ -144,7 +209,7 @@ def scan_text(text: str, level: int = 19, least: float = LEAST, covered: float =
     most first, and compared word by word; the first that is confirmed takes
     its words. What is left is gone through again until nothing is found.
     A window whose words could not cover the template in any order is not
-    compressed, as no comparison could confirm it.
+    compressed, as no comparison could confirm it. SPDX tags are read as such.
     """
     own, vocabulary, templates = _templates(level)
     words, places = _tokens(text)
@@ -180,7 +245,7 @@ def scan_text(text: str, level: int = 19, least: float = LEAST, covered: float =
                 words[a:b] = [""] * (b - a)
         if len(found) == before:
             break
-    return sorted(found, key=lambda f: (f["start"], f["end"]))
+    return sorted(found + tags(text), key=lambda f: (f["start"], f["end"]))
 
 
 _FOUND = pa.list_(pa.struct([("license", pa.string()), ("reduction", pa.float64()), ("missing", pa.int32()),
@@ -198,7 +263,7 @@ def _scan_rows(batches, level: int, least: float, covered: float):
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", level: int = 19, least: float = LEAST,
                   covered: float = COVERED) -> DataFrame:
     """One row per licence found in a document: doc_id, license, reduction
-    (relative size saved by the template as dictionary), missing and extra
+    (relative size saved by the template as dictionary; null for a tag), missing and extra
     (words by which the wording differs), start and end (characters of the
     words found). Only texts with a cue leave the JVM; every word of them is read.
 
