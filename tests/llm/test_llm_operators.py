@@ -391,3 +391,21 @@ def test_license_scan_spdx_tags():
     assert names("# " + tag + "(MIT OR Apache-2.0) AND BSD-3-Clause\nor more") == ["MIT-tag", "Apache-2.0-tag", "BSD-3-Clause-tag"]
     assert names("<!-- " + tag + "LicenseRef-own-1.0 -->\n" + tag + "EPL-2.0+") == ["LicenseRef-own-1.0-tag", "EPL-2.0+-tag"]
     assert names(tag) == []
+
+
+def test_license_scan_reductions_choose(monkeypatch):
+    """Only windows that reach the threshold are compared, the most saved first."""
+    plain, compared = license_scan._span, []
+
+    def span(t, *args):
+        compared.append(t.name)
+        return plain(t, *args)
+
+    monkeypatch.setattr(license_scan, "_span", span)
+    text = prose(200) + "\n" + license_scan.TEMPLATES["BSD-3-Clause"] + "\n" + prose(200)
+    assert names(text) == ["BSD-3-Clause"] and compared[0] == "BSD-3-Clause"
+    compared.clear()
+    assert names(text, least=0.99) == [] and not compared
+    # all the words of a template in another order: no comparison is needed
+    words = license_scan.TEMPLATES["MIT"].split()
+    assert names(" ".join(words[::-1]), least=0.5) == [] and "MIT" not in compared
