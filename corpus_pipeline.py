@@ -34,23 +34,36 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*own, "text", F.length("text").cast("long").alias("n_chars")).select(*docs.columns)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` written once with ``row_key``, which names each row where ids
+    are null or repeat, and ``row_mark``, a hash of the row by which choices
+    agree between runs."""
+    out = docs.withColumn("row_mark", F.xxhash64(*docs.columns)).withColumn("row_key", F.monotonically_increasing_id())
+    return saved(out, "pipeline-keyed")
+
+
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each near-duplicate group (five words, 0.8).
-    Repeated rows of a kept id count once. The ids grow with the input, so
-    they meet the texts in a merge join at every size."""
-    kept = saved(near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")), "pipeline-kept")
-    ids = kept.distinct().hint("merge")
-    out = docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(ids["kept_id"]), "left_semi")
-    repeated = kept.groupBy("kept_id").count().filter("count > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    """Keep one row of each near-duplicate group (five words, 0.8): one with
+    the group's smallest id, by smallest hash of the row if several have it.
+    A text without words is in no group; its repeated rows count once. The
+    row keys grow with the input, so they meet the texts in a merge join at
+    every size."""
+    rows = keyed(docs)
+    found = near_duplicates(rows, carry=("row_key", "row_mark")).filter("kept")
+    alone = F.when(F.col("n_shingles") == 0, F.col("row_mark"))
+    group = F.when(F.col("n_shingles") > 0, F.col("component"))
+    kept = found.groupBy(group.alias("group"), alone.alias("alone")).agg(
+        F.min(F.struct("row_mark", "row_key"))["row_key"].alias("kept_key"))
+    ids = saved(kept.select("kept_key"), "pipeline-kept").hint("merge")
+    return rows.join(ids, rows["row_key"] == ids["kept_key"], "left_semi").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat each document as often as the mix takes it. Rows that share an
-    id are each repeated as often as the most taken one."""
-    taken = mix(docs).groupBy("doc_id").agg(F.max("copies").alias("copies")).filter("copies > 0")
-    taken = taken.withColumnRenamed("doc_id", "of")
-    out = docs.join(taken, docs["doc_id"].eqNullSafe(taken["of"]))
+    """Repeat each row as often as the mix takes it."""
+    rows = keyed(docs)
+    taken = mix(rows, id_col="row_mark", carry=("row_key",)).filter("copies > 0")
+    taken = taken.select(F.col("row_key").alias("of"), "copies")
+    out = rows.join(taken, rows["row_key"] == taken["of"])
     return out.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("mix_copy")) \
         .select(*docs.columns)
 

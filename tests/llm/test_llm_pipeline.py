@@ -1,6 +1,7 @@
 """The pipeline: each stage on all that its predecessor kept, against a plain run."""
 
 import collections
+import random
 import re
 
 import pytest
@@ -48,3 +49,32 @@ def test_stages_on_the_smallest_tables(spark):
 def test_run_agrees_with_its_rerun(spark):
     a, b = (collections.Counter(tuple(r) for r in C.run(spark, SF_SMALL).collect()) for _ in range(2))
     assert a == b and a
+
+
+def prose(rnd, n):
+    return " ".join("".join(rnd.choice("abcdefghiklmnoprstu") for _ in range(6)) for _ in range(n))
+
+
+def test_rows_without_an_id_and_texts_under_one_id(spark):
+    """Near dedup and mixing keep rows, not ids."""
+    rnd = random.Random(5)
+    texts = [prose(rnd, 60) for _ in range(12)]
+    near = texts[0].rsplit(" ", 1)[0] + " changed"  # 54 of 57 shingles, of text 0
+    rows = [(0, texts[0]), (None, near), (None, texts[1]), (None, texts[2]), (None, texts[2] + " more"), (7, texts[3]),
+            (7, texts[4]), (7, texts[4]), (8, texts[4])] + [(None, t) for t in texts[5:]] + [(9, ""), (9, ""), (None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], schema).repartition(4)
+    kept = C.near_dup(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = collections.Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    for pair in [(None, texts[2]), (None, texts[2] + " more")]:
+        got[(None, "one of two")] += got.pop(pair, 0)
+    want = [(0, texts[0]), (None, texts[1]), (None, "one of two"), (7, texts[3]), (7, texts[4]), (9, ""), (None, None)]
+    assert got == collections.Counter(want + [(None, t) for t in texts[5:]])
+
+    # one source of weight 5 takes at most twice its words, here 1.5 times
+    mixed = C.mixing(spark, kept, "").collect()
+    again = C.mixing(spark, kept.repartition(3), "").collect()
+    assert collections.Counter(map(tuple, mixed)) == collections.Counter(map(tuple, again))
+    assert sum(len((r["text"] or "").split()) for r in mixed) == pytest.approx(1.5 * 60 * 12, abs=60)
+    assert {r["text"] for r in mixed if r["text"]} == {r["text"] for r in kept.collect() if r["text"]}

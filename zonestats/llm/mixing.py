@@ -141,7 +141,8 @@ def _pair_up(batches: Iterator[pa.RecordBatch], level: int, root: bool, seed: in
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS,
-        share: float = 1.5, cap: float = 2.0, seed: int = 7, chunk: int = CHUNK, fan_in: int = FAN_IN) -> DataFrame:
+        share: float = 1.5, cap: float = 2.0, seed: int = 7, chunk: int = CHUNK, fan_in: int = FAN_IN,
+        carry: tuple[str, ...] = ()) -> DataFrame:
     """Copies of each document, so that every source comes near its target.
 
     A document's size is its number of words. Its expected copies are target /
@@ -155,14 +156,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     miss is offset within the root group (``offset``).
 
     Returns one row per input row: doc_id, source, size, source_size, target,
-    copies, taken (copies * size). Reruns agree: choices hash the ids.
+    copies, taken (copies * size), and the input's columns ``carry``. Reruns
+    agree: choices hash the ids.
     A null text has size 0; documents of size 0 round alone and take nothing;
     a source without words has target 0. Null sources are one source, the
     last. Rows that repeat an id are documents of their own. An empty table
     gives no rows; other columns are ignored.
     """
     sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-                        F.size(words(F.col(text_col))).cast("long").alias("size"))
+                        F.size(words(F.col(text_col))).cast("long").alias("size"), *carry)
     sizes = saved(sizes.withColumn("rid", F.monotonically_increasing_id()), "mix-sizes")
     sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     targets = saved(source_targets(sources, weights, share, cap), "mix-targets").withColumnRenamed("source", "of")
@@ -197,4 +199,4 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     alone = F.when(F.pmod(F.xxhash64("mark", F.lit(seed)), F.lit(1 << 30)) / (1 << 30) < F.col("p"), 1).otherwise(0)
     out = rows.join(ups, "rid", "left").withColumn("copies", F.col("base") + F.coalesce("up", alone))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies",
-                      (F.col("copies") * F.col("size")).alias("taken"))
+                      (F.col("copies") * F.col("size")).alias("taken"), *carry)

@@ -56,7 +56,7 @@ def set_key(values: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
-def _signatures(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
+def _signatures(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int, carry: tuple[str, ...] = ()) -> Iterator[pa.RecordBatch]:
     mul, add = _permutations((bands * rows + 1) // 2)
     weight = (tk.stream(rows, 13) | np.uint64(1))[:, None]
     salt = tk.stream(bands, 17)
@@ -77,8 +77,9 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int
             ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").slice(i, j - i), pa.array(n, pa.int64()), pa.array(one, pa.int64()),
-                 pa.array(two, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                names=["doc_id", "n_shingles", "k1", "k2", "bands"])
+                 pa.array(two, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+                 *(batch.column(c).slice(i, j - i) for c in carry)],
+                names=["doc_id", "n_shingles", "k1", "k2", "bands", *carry])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -204,14 +205,17 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
-                    percent: int = 80, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+                    percent: int = 80, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK,
+                    carry: tuple[str, ...] = ()) -> DataFrame:
     """Near-duplicate components of documents.
 
     Words are runs outside [\\x20\\x09-\\x0D] with A-Z lowered; a document's
     set is its distinct shingles of ``words`` words, or its whole sequence if
     shorter. Documents are linked when 100 * intersection >= ``percent`` *
     union on the full sets. Returns one row per input row: doc_id, n_shingles,
-    component_id (smallest id reachable), kept (doc_id = component_id).
+    component_id (smallest id reachable), kept (doc_id = component_id). With
+    ``carry`` also those columns of the input and ``component``, a number that
+    names the row's component even where ids are null or repeat.
 
     1. One scan writes set size, a 128-bit set key and the band keys.
     2. Equal sets become one node, so copies cost one row.
@@ -230,8 +234,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     an empty result; other columns are ignored.
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    marks = src.mapInArrow(partial(_signatures, k=words, bands=bands, rows=rows),
-                           "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
+    tagged = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry)
+    own = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in tagged.schema[2:])
+    marks = tagged.mapInArrow(partial(_signatures, k=words, bands=bands, rows=rows, carry=carry),
+                              "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>" + own)
     marks = saved(marks.withColumn("rid", F.monotonically_increasing_id()), "minmax-marks")
     classes = saved(marks.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("rid").alias("node")), "minmax-classes")
 
@@ -283,10 +289,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = connected_components(near.unionByName(late))
 
     # members of every component, and its smallest id
-    rows_ = (marks.select("doc_id", "n_shingles", "k1", "k2", "rid")
+    rows_ = (marks.select("doc_id", "n_shingles", "k1", "k2", "rid", *carry)
              .join(classes, ["k1", "k2"], "left").join(roots, "node", "left")
-             .select("doc_id", "n_shingles", F.coalesce("root", "node", "rid").alias("root")))
+             .select("doc_id", "n_shingles", *carry, F.coalesce("root", "node", "rid").alias("root")))
     rows_ = saved(rows_, "minmax-rows")
     low = saved(rows_.groupBy("root").agg(F.min("doc_id").alias("component_id")), "minmax-ids")
     return rows_.join(low, "root").select("doc_id", "n_shingles", "component_id",
-                                          F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+                                          F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
+                                          *carry, *([F.col("root").alias("component")] if carry else []))
