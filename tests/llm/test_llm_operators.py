@@ -89,6 +89,15 @@ def test_quality_weights_follow_the_ratio(spark):
     assert got[0] == pytest.approx(math.log((30 + 1) / (30 * 0.5 + 1)), abs=0.05) and got[100] < -1
 
 
+def test_quality_scores_supplementary_characters(spark):
+    rows = [(i, f"\U0001F600{chr(0x20000 + i)} \U0010FFFF " * 30, 0) for i in range(30)]
+    rows += [(100 + i, "good words only " * 20, 1) for i in range(30)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    weights = quality.bucket_weights(d, quality.trusted_ids(d))
+    got = {r["doc_id"]: r for r in quality.quality(d, weights).collect()}
+    assert got[0]["score"] < -1 and not got[0]["kept"] and got[0]["n_words"] == 60 and got[100]["score"] > 0
+
+
 def test_exact_dedup(docs, none):
     groups = collections.defaultdict(list)
     for i, t, *_ in ROWS:

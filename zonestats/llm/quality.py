@@ -13,7 +13,7 @@ from zonestats.llm.common import saved, words
 
 BUCKETS = 1 << 14
 # runs of letters, digits and everything outside ASCII, or runs of ASCII marks
-_TOKENS = r"[0-9A-Za-z_\u0080-￿]+|[!-/:-@\[-^`{-~]+"
+_TOKENS = r"[0-9A-Za-z_\x{80}-\x{10FFFF}]+|[!-/:-@\[-^`{-~]+"
 TRUSTED_DOCS = 20_000  # rows of the trusted sample, by smallest hash of the id
 PRIOR = 1.0  # added to a bucket's count on either side
 LEAST = -0.3  # least mean log ratio of a kept document
