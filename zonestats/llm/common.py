@@ -52,3 +52,24 @@ def smallest_by_hash(rows: DataFrame, key: str, n: int, salts: int = 64) -> Data
         order = Window.partitionBy(*keys).orderBy("h", F.col("doc_id").asc_nulls_last())
         rows = rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= n).drop("n")
     return rows.drop("salt")
+
+
+def join_by_weight(rows: DataFrame, table: DataFrame, key: str, parts: int = 1000) -> DataFrame:
+    """Left join of ``rows`` (a written table) with ``table``, which has one row
+    per ``key``, where some keys hold a large part of the rows.
+
+    Keys with more than 1 / ``parts`` of all rows are fewer than ``parts`` at
+    any size: their part of ``table`` is broadcast and their rows stay where
+    they are. The others meet in a merge join, in which no key is large. Null
+    keys match nothing.
+    """
+    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    total = rows.agg(F.count(F.lit(1)).alias("_all")).select("_all").scalar()
+    heavy = saved(counts.filter(F.col("_rows") * parts > total).select(key, F.lit(True).alias("_heavy")), "heavy-keys")
+    heavy = F.broadcast(heavy)  # fewer than ``parts`` rows
+    marked = rows.join(heavy, key, "left")
+    own = [c for c in table.columns if c != key]
+    large = marked.filter("_heavy").drop("_heavy").join(F.broadcast(table.join(heavy.drop("_heavy"), key, "left_semi")), key, "left")
+    small = marked.filter("_heavy IS NULL").drop("_heavy").join(table.hint("merge"), key, "left")
+    cols = [*rows.columns, *own]
+    return large.select(*cols).unionByName(small.select(*cols))

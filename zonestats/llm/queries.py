@@ -7,7 +7,8 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from zonestats.llm import byte_bpe, exact_dup, lang_id, license_scan, line_runs, mixing, near_dup, quality, token_files, toxicity
+from zonestats.llm import (alignment, byte_bpe, exact_dup, lang_id, license_scan, line_runs, mixing, near_dup, quality, simhash,
+                           token_files, toxicity, whitening)
 from zonestats.llm.common import read_table
 from zonestats.session import scratch_dir
 
@@ -109,6 +110,22 @@ def _op10(spark, d):
                                public_tokenizers.PATTERN)
 
 
+@_query("op11_simhash_golay")
+def _op11(spark, d):
+    return simhash.simhash_duplicates(read_table(spark, d, "documents"))
+
+
+@_query("op12_whitening")
+def _op12(spark, d):
+    return whitening.whiten(read_table(spark, d, "embeddings"))
+
+
+@_query("op13_token_alignment")
+def _op13(spark, d):
+    return alignment.align_tokenizers(read_table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                      public_tokenizers.path("piece_bpe_32k.model")).scores()
+
+
 @_query("pipeline")
 def _pipeline(spark, d):
     import corpus_pipeline
