@@ -7,18 +7,17 @@ multiplicity planes): the union of the planes counts documents, their weighted
 popcounts count links. The bitmaps then serve as postings that carry each
 pair's score back to its documents.
 
-Texts are cut into segments (white space and the word after it). Neither
-tokenizer has a token across the beginning of a segment, so a segment is
-aligned once and reused.
+Texts are cut into segments (white space and the word after it), each tokenised
+once by both (``segments``).
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +25,48 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonestats.llm.byte_bpe import _TO_BYTE, text_runs
+from zonestats.llm.byte_bpe import _TO_BYTE, cut_pieces, text_runs
 from zonestats.llm.common import join_by_weight, saved
-from zonestats.llm.segments import SegmentMemo, split_segments
+from zonestats.llm.segments import HELD_BYTES, PieceTable, SegmentTable, can_cut, encode_segments, spread
 
 BLOCK = 1 << 16  # documents of a bitmap
 DENSE = 4096  # a bitmap of this many documents or more is stored as bits, a smaller one as a sorted list
 FLUSH = 2_000_000  # postings that a task holds before it writes them
 MERGE_DOCS = 1 << 20  # set bits of the bitmaps that are merged at once
-_NONE = (0, 0, 0, "", b"")
+
+
+class Aligned:
+    """Alignment of a run of texts, as arrays: per text the tokens of each
+    tokenizer, groups and links (``n_a``, ``n_b``, ``n_groups``, ``n_links``)
+    and the groups written out (``shown``); per distinct pair of ids in a text
+    ``doc``, ``pair`` (first id * 2^32 + second) and ``times``."""
+
+    def __init__(self, pair: Pair, x: np.ndarray, n_a: np.ndarray, y: np.ndarray, n_b: np.ndarray):
+        docs = len(n_a)
+        self.n_a, self.n_b = n_a, n_b
+        doc_a, doc_b = np.repeat(np.arange(docs), n_a), np.repeat(np.arange(docs), n_b)
+        end_a, end_b = np.cumsum(pair.a_sizes[x]), np.cumsum(pair.b_sizes[y])
+        # the token of the other side at each token's last byte
+        b_at, a_at = np.searchsorted(end_b, end_a), np.searchsorted(end_a, end_b)
+        both_a, both_b = end_b[b_at] == end_a, end_a[a_at] == end_b
+        self.n_groups = np.bincount(doc_a[both_a], minlength=docs)
+        # each place where a token of either side ends is one link
+        link_doc = np.concatenate([doc_a, doc_b[~both_b]])
+        link_a, link_b = np.concatenate([x, x[a_at[~both_b]]]), np.concatenate([y[b_at], y[~both_b]])
+        self.n_links = np.bincount(link_doc, minlength=docs)
+        width = np.int64(len(pair.b_sizes))
+        span = width * len(pair.a_sizes)
+        keys, self.times = np.unique(link_doc * span + link_a * width + link_b, return_counts=True)
+        self.doc = keys // span
+        self.pair = (keys % span // width << 32) | keys % width
+        # tokens in the order in which they are written: of each group the first side's, then the second's
+        group_a, group_b = np.cumsum(both_a) - both_a, np.cumsum(both_b) - both_b
+        last_a, last_b = np.flatnonzero(both_a) + 1, np.flatnonzero(both_b) + 1
+        words = np.empty(len(x) + len(y), object)
+        words[np.arange(len(x)) + np.append(0, last_b)[group_a]] = np.where(both_a, pair.a_last[x], pair.a_more[x])
+        words[np.arange(len(y)) + last_a[group_b]] = np.where(both_b, pair.b_last[y], pair.b_more[y])
+        words, cuts = words.tolist(), np.concatenate([[0], np.cumsum(n_a + n_b)]).tolist()
+        self.shown = [b"".join(words[a:b])[:-1] for a, b in zip(cuts, cuts[1:])]
 
 
 class Pair:
@@ -49,67 +81,67 @@ class Pair:
         self.a.encode_special_tokens = True  # their strings in a text are plain text
         self.b = sentencepiece.SentencePieceProcessor(model_file=second)
         vocab = self.a.get_vocab(with_added_tokens=False)
-        self.a_bytes = [b""] * (max(vocab.values()) + 1)
+        a_bytes = [b""] * (max(vocab.values()) + 1)
         for t, i in vocab.items():
-            self.a_bytes[i] = bytes(_TO_BYTE[c] for c in t)
+            a_bytes[i] = bytes(_TO_BYTE[c] for c in t)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("\u2581", " ").encode()
-                        for i, p in enumerate(pieces)]
+        b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(pieces)]
+        self.a_sizes, self.b_sizes = (np.array(list(map(len, t)), np.int64) for t in (a_bytes, b_bytes))
+        self.bytes = [np.frombuffer(b"".join(t), np.uint8) for t in (a_bytes, b_bytes)]
+        self.a_more, self.a_last, self.b_more, self.b_last = (
+            np.array([b"%d%s" % (i, sign) for i in range(len(t))], object)
+            for t, sign in ((a_bytes, b","), (a_bytes, b"|"), (b_bytes, b","), (b_bytes, b";")))
         self.space = self.b.piece_to_id("\u2581")
-        self.memo = SegmentMemo(self._learn)
+        self.pieces = PieceTable(self.a.model, self.a_sizes, cut_pieces, lambda t: self.a.encode(t, add_special_tokens=False).ids)
+        self.table = SegmentTable(self._learn, pools=3, limit=2 * HELD_BYTES)
+
+    def _spelt(self, side: int, ids: np.ndarray) -> np.ndarray:
+        sizes = (self.a_sizes, self.b_sizes)[side]
+        return self.bytes[side][spread((np.cumsum(sizes) - sizes)[ids], sizes[ids])]
 
-    def _learn(self, parts: list[str]) -> Iterator[tuple | None]:
-        """``align`` of each segment. The second tokenizer adds a space, which
+    def _learn(self, raw: np.ndarray, lengths: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of segments by both tokenizers, and a mark for each segment whose
+        tokens do not have its bytes. The second tokenizer adds a space, which
         stands for a segment's first space or is taken off again."""
-        first = self.a.encode_batch_fast(parts, add_special_tokens=False)
-        second = self.b.encode([p[1:] if p[0] == " " else p for p in parts], num_threads=1)
-        for part, e, y in zip(parts, first, second):
+        ends = np.cumsum(lengths)
+        text = raw.tobytes()
+        parts = [text[a:b].decode() for a, b in zip((ends - lengths).tolist(), ends.tolist())]
+        second = []
+        for part, ids in zip(parts, self.b.encode([p[1:] if p[0] == " " else p for p in parts], num_threads=1)):
             if part == " ":
-                y = [self.space]
+                ids = [self.space]
             elif part[0] != " ":
-                y = y[1:] if y[:1] == [self.space] else []
-            yield self.align(part, e.ids, y)
-
-    def align(self, part: str, x: list[int], y: list[int]) -> tuple | None:
-        """(tokens of each, groups, their text, links as 64-bit words) or None
-        where the tokens' bytes are not those of the part."""
-        a, b, raw = self.a_bytes, self.b_bytes, part.encode()
-        if b"".join([a[i] for i in x]) != raw or b"".join([b[i] for i in y]) != raw:
-            return None
-        links, groups, i, j, from_i, from_j = [], [], 0, 0, 0, 0
-        end_a, end_b = len(a[x[0]]), len(b[y[0]])
-        while True:
-            links.append(x[i] << 32 | y[j])  # each place where a token of either ends is one link
-            side = end_a - end_b
-            if side <= 0:
-                i += 1
-            if side >= 0:
-                j += 1
-            if side == 0:
-                groups.append(",".join(map(str, x[from_i:i])) + "|" + ",".join(map(str, y[from_j:j])))
-                if i == len(x):
-                    return i, j, len(groups), ";".join(groups), array("q", links).tobytes()
-                from_i, from_j = i, j
-            if side <= 0:
-                end_a += len(a[x[i]])
-            if side >= 0:
-                end_b += len(b[y[j]])
-
-    def documents(self, texts: list[str]) -> list[tuple]:
-        """``align`` of each whole text with a space before it."""
-        cut = [split_segments(" " + t) if t else [] for t in texts]
-        out = []
-        for text, parts, found in zip(texts, cut, self.memo.lookup(c or [] for c in cut)):
-            values = [place[0] for place in found]
-            if not text:
-                out.append(_NONE)
-            elif parts is None or None in values:
-                whole = " " + text
-                out.append(self.align(whole, self.a.encode(whole, add_special_tokens=False).ids, self.b.encode(text)) or _NONE)
-            else:
-                n_a, n_b, groups, shown, links = zip(*values)
-                out.append((sum(n_a), sum(n_b), sum(groups), ";".join(shown), b"".join(links)))
-        return out
+                ids = ids[1:] if ids[:1] == [self.space] else []
+            second.append(ids)
+        counts = np.array(list(map(len, second)), np.int64)
+        ids = np.array(list(chain.from_iterable(second)), np.int64)
+        owner = np.repeat(np.arange(len(parts)), counts)
+        bad = np.bincount(owner, self.b_sizes[ids], len(parts)).astype(np.int64) != lengths
+        keep = ~bad[owner]
+        ids, counts = ids[keep], np.where(bad, 0, counts)
+        wrong = self._spelt(1, ids) != raw[np.repeat(~bad, lengths)]
+        bad[np.repeat(np.arange(len(parts)), np.where(bad, 0, lengths))[wrong]] = True
+        keep = ~bad[np.repeat(np.arange(len(parts)), counts)]
+        return [encode_segments(self.pieces.encode, self.a_sizes, raw, lengths), (ids[keep], np.where(bad, 0, counts)),
+                (np.ones(int(bad.sum()), np.int64), bad.astype(np.int64))]
+
+    def _whole(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        x = np.array(self.a.encode(" " + text, add_special_tokens=False).ids, np.int64)
+        y = np.array(self.b.encode(text), np.int64)
+        raw = (" " + text).encode()
+        return (x, y) if self._spelt(0, x).tobytes() == raw == self._spelt(1, y).tobytes() else (x[:0], y[:0])
+
+    def align(self, texts: list[str]) -> Aligned:
+        """Align each whole text, with a space before it. Empty texts, and texts
+        that do not come back from their tokens, have none."""
+        cut = [bool(t) and can_cut(t) for t in texts]
+        (a, n_a), (b, n_b), (_, bad) = self.table.encode([(" " + t).encode() if c else b"" for t, c in zip(texts, cut)])
+        whole = [i for i, t in enumerate(texts) if t and (not cut[i] or bad[i])]
+        x, y = np.split(a, np.cumsum(n_a)[:-1]), np.split(b, np.cumsum(n_b)[:-1])
+        for i in whole:
+            x[i], y[i] = self._whole(texts[i])
+        counts = [np.array(list(map(len, side)), np.int64) for side in (x, y)]
+        return Aligned(self, np.concatenate(x).astype(np.int64), counts[0], np.concatenate(y).astype(np.int64), counts[1])
 
 
 @lru_cache(maxsize=1)
@@ -177,15 +209,14 @@ class Postings:
     def __init__(self):
         self.block, self.held, self.n = -1, [], 0
 
-    def add(self, rid: int, links: bytes) -> None:
-        pairs, times = np.unique(np.frombuffer(links, np.int64), return_counts=True)
-        self.held.append((rid % BLOCK, pairs, times))
+    def add(self, low: np.ndarray, pairs: np.ndarray, times: np.ndarray) -> None:
+        """Rows of documents that come after all before."""
+        self.held.append((low.astype(np.uint16), pairs, times.astype(np.int32)))
         self.n += len(pairs)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.n:
-            doc = np.repeat([d for d, _, _ in self.held], [len(p) for _, p, _ in self.held])
-            pair, times = (np.concatenate([h[i] for h in self.held]) for i in (1, 2))
+            doc, pair, times = (np.concatenate(c) for c in zip(*self.held))
             order = np.argsort(pair, kind="stable")  # documents stay in order
             doc, pair, times = doc[order], pair[order], times[order]
             for plane in range(int(times.max()).bit_length()):
@@ -203,19 +234,18 @@ def _align_rows(batches: Iterator[pa.RecordBatch], first: str, second: str, flus
     for batch in batches:
         for at, texts in text_runs(batch):
             part = batch.slice(at, len(texts))
-            found = pair.documents(texts)
-            rids = part.column("rid").to_pylist()
-            for rid, (*_, links) in zip(rids, found):
-                if rid // BLOCK != postings.block or postings.n > flush:
+            got = pair.align(texts)
+            rid = part.column("rid").to_numpy()[got.doc]
+            for block in np.unique(rid // BLOCK).tolist():
+                if block != postings.block or postings.n > flush:
                     yield from postings.flush()
-                    postings.block = rid // BLOCK
-                if links:
-                    postings.add(rid, links)
-            a, b, groups, shown, links = zip(*found)
+                    postings.block = block
+                own = rid // BLOCK == block
+                postings.add(rid[own] % BLOCK, got.pair[own], got.times[own])
             yield _with_nulls(_ROW, {
-                "rid": part.column("rid"), "doc_id": part.column("doc_id"), "n_a": pa.array(a, pa.int64()), "n_b": pa.array(b, pa.int64()),
-                "n_groups": pa.array(groups, pa.int64()), "n_links": pa.array([len(x) // 8 for x in links], pa.int64()),
-                "groups_sha256": pa.array([hashlib.sha256(s.encode()).hexdigest() if s else "" for s in shown])})
+                "rid": part.column("rid"), "doc_id": part.column("doc_id"), "n_a": pa.array(got.n_a), "n_b": pa.array(got.n_b),
+                "n_groups": pa.array(got.n_groups), "n_links": pa.array(got.n_links),
+                "groups_sha256": pa.array([hashlib.sha256(s).hexdigest() if s else "" for s in got.shown])})
     yield from postings.flush()
 
 

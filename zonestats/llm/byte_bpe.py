@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 MEMO = 300_000  # pieces of one generation of a worker's memo; two are kept
 #: The byte-level pattern for Python's ``re``, for texts of ``plain`` characters.
 _PLAIN = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
+_PIECES = regex.compile(PATTERN).findall
 _ODD = frozenset("\x1c\x1d\x1e\x1f")  # white in Python, not in the pattern
 _BATCH_BYTES = 1 << 20
 
@@ -53,6 +54,13 @@ def unsettled(text: str) -> bool:
     return any(c > "\u02ff" and (unicodedata.category(c) == "Cn" or "\U0002ebf0" <= c <= "\U0002ee5d") for c in set(text))
 
 
+def cut_pieces(text: str) -> list[str] | None:
+    """The pieces of ``PATTERN``, or None for a text that is ``unsettled``."""
+    if plain(text):
+        return _PLAIN(text)
+    return None if unsettled(text) else _PIECES(text)
+
+
 class Memo(dict):
     """Two generations of what a worker has learnt: when the young one is
     full it becomes the old one, and what is still in use moves on."""
