@@ -8,29 +8,63 @@ order; the mask is false only on the padding of a shard's last sequence.
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+from public_tokenizers import PATTERN
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from zonestats.llm.byte_bpe import PieceEncoder, local_uri, text_runs
+from zonestats.llm.byte_bpe import cut_pieces, local_uri, text_runs
 from zonestats.llm.common import saved, shuffle_partitions
+from zonestats.llm.segments import PieceTable, SegmentTable, can_cut, encode_segments
 
 LENGTH = 2048  # ids of a sequence
 BATCH = 64  # sequences of a record batch
 
 
-@lru_cache(maxsize=2)
-def _encoder(path: str, pattern: str) -> PieceEncoder:
-    from tokenizers import Tokenizer
+class SegmentEncoder:
+    """Ids of texts as the tokenizers library gives them for a tokenizer file,
+    without added special tokens. Where the file splits texts by the byte-level
+    pattern, each distinct segment is encoded once; other files, texts that
+    hold an added token's string and texts that cannot be cut go whole."""
+
+    def __init__(self, path: str, pattern: str, end_id: int, kind: str):
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.own = Tokenizer.from_file(path)
+        self.end, self.whole = np.array([end_id], kind), pattern != PATTERN or self.own.normalizer is not None
+        self.added = [t.content for t in self.own.get_added_tokens_decoder().values()]
+        vocab = self.own.get_vocab()
+        self.sizes = np.zeros(max(vocab.values()) + 1, np.int64)
+        self.sizes[list(vocab.values())] = [len(t) for t in vocab]  # one character a byte
+        pieces = PieceTable(self.own.model, self.sizes, cut_pieces, lambda t: self.own.encode(t, add_special_tokens=False).ids)
+        self.kind, self.table = kind, SegmentTable(lambda raw, lengths: [encode_segments(pieces.encode, self.sizes, raw, lengths)])
+
+    def _cuts(self, text: str) -> bool:
+        return not self.whole and not any(t in text for t in self.added) and can_cut(text)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each text's followed by the end id, and how many
+        each text has with it."""
+        cuts = [self._cuts(t) for t in texts]
+        ids, counts = self.table.encode([t.encode() if c else b"" for t, c in zip(texts, cuts)])[0]
+        ids, at, out = ids.astype(self.kind), 0, []
+        for text, cut, n in zip(texts, cuts, counts.tolist()):
+            out += [ids[at:at + n] if cut else np.array(self.own.encode(text, add_special_tokens=False).ids, self.kind), self.end]
+            at += n
+        return np.concatenate(out), np.array([len(own) + 1 for own in out[::2]])
+
 
-    own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
-    return PieceEncoder(own.model, pattern, lambda t: own.encode(t, add_special_tokens=False).ids)
+@lru_cache(maxsize=2)
+def _encoder(path: str, pattern: str, end_id: int, kind: str) -> SegmentEncoder:
+    return SegmentEncoder(path, pattern, end_id, kind)
 
 
 def _open(uri: str):
@@ -109,50 +143,40 @@ class ShardReader:
 
 
 def _write_rows(batches, path, pattern, folder, end_id, length, batch_rows, kind):
-    enc, writer, shard = _encoder(path, pattern), None, None
-    end = np.array([end_id], kind)
+    enc, writer, shard = _encoder(path, pattern, end_id, kind), None, TaskContext.get().partitionId()
     for batch in batches:
         for first, texts in text_runs(batch):
-            ids = [np.frombuffer(b, "<u4").astype(kind) for b in enc.encode(texts)]
-            starts, sizes = [], []
-            part = batch.slice(first, len(texts))
-            shards = part.column("shard").to_pylist()
-            for s, own in zip(shards, ids):
-                if s != shard:
-                    if writer:
-                        writer.close()
-                    writer, shard = ShardWriter(folder, s, length, batch_rows, pa.from_numpy_dtype(kind)), s
-                starts.append(writer.n)
-                sizes.append(len(own) + 1)
-                writer.add(own)
-                writer.add(end)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("shard"), pa.array(starts, pa.int64()),
-                                              pa.array(sizes, pa.int64())], names=["doc_id", "shard", "at", "n_tokens"])
+            writer = writer or ShardWriter(folder, shard, length, batch_rows, pa.from_numpy_dtype(kind))
+            ids, sizes = enc.encode(texts)
+            starts = writer.n + np.cumsum(sizes) - sizes
+            writer.add(ids)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(texts)), pa.array([shard] * len(texts), pa.int32()),
+                                              pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())],
+                                             names=["doc_id", "shard", "at", "n_tokens"])
     if writer:
         writer.close()
 
 
 def write_tokens(docs: DataFrame, folder: str, path: str, pattern: str, end_id: int = 0, shards: int | None = None,
                  length: int = LENGTH, batch: int = BATCH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode whole texts, end each with ``end_id`` and write shards into
+    """Encode whole texts as the tokenizers library does with the file
+    ``path`` (``pattern``: how it splits texts; strings of its added tokens
+    count as those tokens), end each with ``end_id`` and write shards into
     ``folder`` (shared by all executors). Returns the index, one row per input
     row: doc_id, shard, at (position in the shard), n_tokens, start (ids of
     all documents before it).
 
-    Shards are ranges of ids cut at quantiles; a row goes to its shard's task
-    and is sorted there. Null ids come last; rows that repeat an id follow one
-    another by text; a null or empty text has only its end id; an empty table
+    Shards are ranges of (id, hash of the text), each one task's rows in that
+    order, so many rows of one id, or without any, are split as well. Null ids
+    come last; rows that repeat an id follow one another by the text's hash,
+    then the text; a null or empty text has only its end id; an empty table
     writes nothing; other columns are ignored.
     """
     spark = docs.sparkSession
     n = shards or shuffle_partitions(spark)
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    cuts = src.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 100 * n)).first()[0] or []
-    cuts = sorted(set(cuts))[: n - 1]
-    shard = F.coalesce(sum((F.when(F.col("doc_id") > c, 1).otherwise(0) for c in cuts), F.lit(0)), F.lit(0))
-    shard = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(shard)
-    placed = (src.withColumn("shard", shard.cast("int")).repartitionById(n, F.col("shard"))
-              .sortWithinPartitions("shard", F.col("doc_id").asc_nulls_last(), "text"))
+    order = [F.col("doc_id").asc_nulls_last(), F.col("tie").asc()]
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
+    placed = src.repartitionByRange(n, *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
     with open(path, encoding="utf-8") as f:
         kind = "<u2" if _vocabulary(f) <= 1 << 16 else "<u4"
     index = placed.mapInArrow(partial(_write_rows, path=path, pattern=pattern, folder=folder, end_id=end_id, length=length,
