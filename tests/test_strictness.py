@@ -72,6 +72,34 @@ def test_scale_that_would_change_values_raises(spark):
         rank_by(df, ["g"], "v", "avg", scale=2).collect()
 
 
+def test_scale_check_is_relative(spark):
+    """A few roundings pass at any size; a further decimal does not."""
+    with pytest.raises(Exception, match="more than 2 decimals"):
+        rank_by(spark.createDataFrame([("a", 1.000004)], "g string, v double"), ["g"], "v", "sum", scale=2).collect()
+    large = spark.createDataFrame([("a", 9999999999.9999), ("a", -0.0001)], "g string, v double")
+    assert rank_by(large, ["g"], "v", "sum", out="s", scale=4).first()["s"] == 9999999999.9998
+    product = spark.createDataFrame([(a / 100, b / 100) for a in range(100_000, 100_500) for b in range(9)], "a double, b double")
+    product.selectExpr("'g' AS g", "a * b AS v").transform(lambda d: rank_by(d, ["g"], "v", "sum", scale=4)).collect()
+
+
+def test_sums_of_more_rows_than_two_limbs_hold(spark):
+    """2.3e9 rows of the largest 32-bit value, as 2,300 collapsed values of
+    1e6 rows each and as weights of one; then values of all sizes and signs."""
+    from zonestats.operators.rank import exact_sum, exact_units
+    rows = spark.range(2300).selectExpr("42949672.95D AS v", "1000000L AS w")
+    assert rows.agg(exact_units("v", 2, "w").alias("s")).first()["s"] == 4294967295 * 2300 * 1000000
+    mixed = [(9.0e16, 200), (-9.0e16, 199), (0.5, 10**12), (-0.5, 7), (0.0, 5)]
+    df = spark.createDataFrame(mixed, "v double, w long")
+    assert df.agg(exact_units("v", 1, "w").alias("s")).first()["s"] == sum(int(v * 10) * w for v, w in mixed)
+    assert df.agg(exact_sum("v", 1).alias("s")).first()["s"] == 0.0
+
+
+def test_weighted_mean_of_large_values(spark):
+    from zonestats.operators.stats import centre_stats
+    df = spark.createDataFrame([(9.0e16,)] * 200, "v double")
+    assert tuple(centre_stats(df, "v", scale=1).first()) == (9.0e16, 9.0e16, 9.0e16)
+
+
 def test_range_partitions_follow_the_setting(spark):
     from zonestats.operators.order_stats import _num_partitions
     df = spark.range(10).select((F.col("id") * 1.0).alias("v"))

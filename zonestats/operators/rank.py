@@ -20,26 +20,36 @@ AGGREGATES = ("avg", "mean", "sum", "nunique", "count", "min", "max")
 def unscaled(value: str, scale: int) -> Column:
     """A fixed-point measure with ``scale`` decimals as an exact integer
     count of 10^-scale units (``rint`` recovers the integer the double
-    stands for). A value with more decimals raises."""
+    stands for). A value with more decimals raises: the distance to the
+    integer may be what a few roundings of the double leave, not more."""
     y = F.col(value) * F.lit(float(10**scale))
-    return F.when(F.abs(y - F.rint(y)) > 0.001, F.raise_error(F.concat(
+    rounding = F.least(F.abs(y) * F.lit(2.0**-50), F.lit(0.4))
+    return F.when(F.abs(y - F.rint(y)) > rounding, F.raise_error(F.concat(
         F.lit(f"more than {scale} decimals: "), F.col(value).cast("string"))).cast("long")).otherwise(F.rint(y).cast("long"))
 
 
-def exact_units(value: str, scale: int) -> Column:
-    """Exact sum of units as a decimal. Each value is two limbs of 32 bits,
-    summed as 64-bit integers, so that a sum of 2 ** 31 times the largest
-    value does not overflow and stays as fast as a double sum."""
+LIMB = 16  # bits: sums of limbs are exact for 2^47 rows (or weights) of any values
+
+
+def exact_units(value: str, scale: int, weight: str | None = None) -> Column:
+    """Exact sum of units as a decimal, each counted ``weight`` times. A value
+    is four limbs of 16 bits, each summed as a 64-bit integer, so that no sum
+    of fewer than 2^47 rows overflows, whatever the values, and the sums stay
+    as fast as integer sums are; the limbs meet as decimals, once a group."""
     u = unscaled(value, scale)
-    high, low = F.sum(F.shiftright(u, 32)), F.sum(u.bitwiseAND(F.lit(0xFFFFFFFF)))
-    return high.cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + low.cast("decimal(20,0)")
+    total = None
+    for at in range(0, 64, LIMB):
+        limb = F.shiftright(u, at) if at == 64 - LIMB else F.shiftright(u, at).bitwiseAND(F.lit(2**LIMB - 1))
+        part = F.sum(limb * F.col(weight) if weight else limb).cast("decimal(20,0)") * F.lit(1 << at).cast("decimal(16,0)")
+        total = part if total is None else total + part
+    return total
 
 
-def exact_sum(value: str, scale: int) -> Column:
+def exact_sum(value: str, scale: int, weight: str | None = None) -> Column:
     """Sum of a fixed-point measure with ``scale`` decimals, done on exact
     integers so the result does not depend on partitioning or summation
     order, then returned as a double (one rounding, one division)."""
-    return exact_units(value, scale).cast("double") / F.lit(float(10**scale))
+    return exact_units(value, scale, weight).cast("double") / F.lit(float(10**scale))
 
 
 def _agg_expr(fn: str, value: str, scale: int | None = None) -> Column:

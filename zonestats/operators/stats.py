@@ -71,9 +71,8 @@ def _weighted_mean(value: str, scale: int | None) -> Column:
     """Mean over collapsed (value, _w) rows; exact with ``scale``."""
     if scale is None:
         return F.sum(F.col(value) * F.col("_w")) / F.sum("_w")
-    from zonestats.operators.rank import unscaled
-    total = F.sum(unscaled(value, scale) * F.col("_w")).cast("double") / F.lit(float(10**scale))
-    return total / F.sum("_w")
+    from zonestats.operators.rank import exact_sum
+    return exact_sum(value, scale, "_w") / F.sum("_w")
 
 
 def centre_stats(df: DataFrame, value: str, keys: Sequence[str] = (), scale: int | None = None,
