@@ -31,7 +31,7 @@ def test_standardized_columns(zview):
 
 
 def test_elbow_invariants(zview):
-    rows = elbow(zview, FEATURES, ks=[2, 3, 5], parallelism=2).orderBy("k").collect()
+    rows = elbow(zview, FEATURES, ks=[2, 3, 5]).orderBy("k").collect()
     assert [r["k"] for r in rows] == [2, 3, 5]
     assert all(r["inertia"] >= 0 for r in rows)
     assert rows[-1]["inertia"] < rows[0]["inertia"]

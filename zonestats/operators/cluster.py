@@ -1,20 +1,24 @@
 """Clustering: standardise, elbow, k-means labels, two principal components,
 cluster summary and rule-based cluster descriptions.
 
-Model fitting uses Spark ML (distributed k-means||, distributed PCA);
-only model metadata (k centres, 2 loading vectors, 8 costs) reaches the
-driver. Scores and labels are plain column expressions afterwards.
+Fits are own Spark aggregates over features on a grid (``lloyd``; an exact
+moment matrix), so that they do not depend on partitioning; only model
+metadata (k centres, 2 loading vectors, 8 costs) reaches the driver. Scores
+and labels are plain column expressions afterwards.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonestats.functions.columns import classify_expr, round_half_even
+from zonestats.operators.lloyd import blocks, draw_seeds, label_sums, lloyd, spread
 
 # The rule texts and thresholds of the cluster description,
 # in the order the rules are tried (first match wins).
@@ -58,151 +62,169 @@ def cluster_input(df: DataFrame, cols: Sequence[str],
     """The reference's clustering input: the rows with complete features,
     standardised. The rows are checkpointed once (shared folder); the
     means/stds and the z-scores are then computed from the checkpoint, so
-    the sources are read once however many fits follow (pass
-    ``checkpoint=False`` to the fits)."""
-    data = _training_input(df, cols, keep_all=True)
-    data.unpersist()  # the checkpoint files stay; they are the lineage
-    return standardize(data, cols, scales=scales)
-
-
-def _training_input(df: DataFrame, cols: Sequence[str], keep_all: bool = False,
-                    checkpoint: bool = True) -> DataFrame:
-    """The complete feature rows for an iterative fit: written once as a
-    reliable checkpoint (the shared ``spark.checkpoint.dir``) to cut the
-    lineage back to the source joins, then kept in memory/disk for the
-    iterations. A lost executor's blocks are re-read from the checkpoint,
-    not recomputed from the sources. ``keep_all`` keeps every column, so
-    outputs built on it read the checkpoint too."""
+    the sources are read once however many fits follow."""
+    return standardize(_training_input(df, cols), cols, scales=scales)
+
+
+def _training_input(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """The complete feature rows for an iterative fit, written once as a
+    reliable checkpoint (the shared ``spark.checkpoint.dir``): the lineage to
+    the source joins is cut, and a lost executor's rows are read again, not
+    recomputed."""
     from zonestats.session import ensure_checkpoint_dir
-    rows = df.dropna(subset=list(cols)) if keep_all else df.select(*cols).dropna()
-    # dealt by content to a stated number of partitions, whatever the cluster and the files
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, F.xxhash64(*cols))
-    if not checkpoint:  # input lineage already short (e.g. from cluster_input)
-        return rows.persist(StorageLevel.MEMORY_AND_DISK)
     ensure_checkpoint_dir(df.sparkSession)
-    # cached first, so writing the checkpoint does not compute the sources twice
-    base = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        clean = base.checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
-        clean.count()
+    rows = df.dropna(subset=list(cols)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:  # cached first, so writing the checkpoint does not compute the sources twice
+        return rows.checkpoint(eager=True)
     finally:
-        base.unpersist()
-    return clean
-
-
-def _vectors(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
-    return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="error").transform(df)
+        rows.unpersist()
 
 
 # k-means settings of the reference (scikit-learn defaults): up to 300
 # Lloyd iterations, relative tolerance 1e-4, seed 42.
 KMEANS_MAX_ITER = 300
 KMEANS_TOL = 1e-4
+GRID = 1_000_000  # grid points of one standard deviation: features count to 6 decimals
 
 
-def spark_tol(mean_variance: float, k: int, rel_tol: float = KMEANS_TOL) -> float:
-    """Translate scikit-learn's stopping rule to Spark's.
-
-    scikit-learn stops when the *sum* over centres of squared centre shifts
-    is at most ``rel_tol * mean feature variance``; Spark stops when *every*
-    centre moved less than ``tol``. With tol = sqrt(rel_tol * var / k) the
-    Spark rule implies the scikit-learn one (k shifts each below tol^2),
-    without iterating far past it.
-    """
-    return max(1e-12, (rel_tol * max(mean_variance, 0.0) / max(k, 1)) ** 0.5)
-
-
-def _mean_variance(df: DataFrame, cols: Sequence[str]) -> float:
-    r = df.agg(*[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(cols)]).first()
-    vals = [r[f"v{i}"] for i in range(len(cols)) if r[f"v{i}"] is not None]
-    return sum(vals) / len(vals) if vals else 0.0
+def on_grid(c: str) -> Column:
+    """A feature as a whole number of grid points."""
+    return F.rint(F.col(c) * F.lit(float(GRID))).cast("long")
 
 
-def _kmeans(k: int, seed: int, max_iter: int, features: str, prediction: str = "prediction",
-            tol: float = KMEANS_TOL):
-    from pyspark.ml.clustering import KMeans
-    # "block" evaluates distances as blocked matrix products (dense vectors)
-    return KMeans(k=int(k), seed=seed, maxIter=max_iter, tol=tol, solver="block",
-                  featuresCol=features, predictionCol=prediction)
+@contextmanager
+def _grid_blocks(df: DataFrame, cols: Sequence[str], key: str | None):
+    """Blocks of the complete rows, kept in memory or on disk for the steps."""
+    names = [f"_x{i}" for i in range(len(cols))]
+    points = df.dropna(subset=list(cols)).select(*([F.col(key).cast("long").alias("_key")] if key else []),
+                                                 *[on_grid(c).alias(x) for c, x in zip(cols, names)])
+    rows = points if key else points.withColumn("_key", F.xxhash64(*names))
+    packed = blocks(rows, "_key", names).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield packed
+    finally:
+        packed.unpersist()
 
 
-def elbow(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(2, 10), seed: int = 42,
-          max_iter: int = KMEANS_MAX_ITER, parallelism: int = 4,
-          checkpoint: bool = True) -> DataFrame:
-    """k-means inertia (within-cluster sum of squares) for each k, on the
-    given (already standardised) columns.
+class Moments:
+    """Exact moments of grid points: ``n``, the sums ``s`` and the sums of
+    products ``p[i][j]`` as Python integers."""
 
-    The feature columns are checkpointed and persisted once for all fits
-    and released afterwards (see ``_training_input``). The fits are independent
-    Spark jobs, submitted from ``parallelism`` driver threads so the
-    cluster is not idle between the short iteration jobs of one fit.
-    """
-    from concurrent.futures import ThreadPoolExecutor
-    clean = _training_input(df, cols, checkpoint=checkpoint)
-    try:
-        var = _mean_variance(clean, cols)
-        vec = _vectors(clean, cols).select("features")
+    def __init__(self, rows: DataFrame, d: int):
+        x = [F.col("x")[i].cast("decimal(19,0)") for i in range(d)]
+        pairs = [(i, j) for i in range(d) for j in range(i, d)]
+        r = rows.agg(F.count(F.lit(1)).alias("n"), *[F.sum(x[i]).alias(f"s{i}") for i in range(d)],
+                     *[F.sum((x[i] * x[j]).cast("decimal(38,0)")).alias(f"p{i}_{j}") for i, j in pairs]).first()
+        self.n, self.s = r["n"], [int(r[f"s{i}"] or 0) for i in range(d)]
+        self.p = [[int(r[f"p{min(i, j)}_{max(i, j)}"] or 0) for j in range(d)] for i in range(d)]
 
-        def fit(k: int) -> tuple[int, float]:
-            model = _kmeans(k, seed, max_iter, "features", tol=spark_tol(var, k)).fit(vec)
-            return int(k), float(model.summary.trainingCost)
+    def covariance(self) -> list[list[float]]:
+        """In grid points, divisor n; one rounding."""
+        n, d = self.n, len(self.s)
+        return [[(n * self.p[i][j] - self.s[i] * self.s[j]) / (n * n) for j in range(d)] for i in range(d)]
 
-        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-            costs = sorted(pool.map(fit, list(ks)))
-    finally:
-        clean.unpersist()
-    return df.sparkSession.createDataFrame(costs, "k int, inertia double")
 
+def _tolerance(n: int, total: Sequence[int], square: Sequence[int]) -> float:
+    """Squared shift at which steps stop, from the mean variance."""
+    return KMEANS_TOL * sum((n * q - s * s) / (n * n) for s, q in zip(total, square)) / len(total)
 
-def kmeans_labels(df: DataFrame, cols: Sequence[str], k: int = 4, seed: int = 42,
-                  out: str = "cluster", max_iter: int = KMEANS_MAX_ITER,
-                  checkpoint: bool = True) -> DataFrame:
-    """The rows with complete features, with a k-means cluster number.
 
-    The rows are checkpointed once; the fit and the labelled output both
-    read that copy (the output stays valid after the cache is released).
-    Cluster numbers are made deterministic by renumbering the centres in
-    lexicographic order."""
-    data = _training_input(df, cols, keep_all=True, checkpoint=checkpoint)
-    try:
-        tol = spark_tol(_mean_variance(data, cols), k)
-        train = _vectors(data.select(*cols), cols, "_features")
-        model = _kmeans(k, seed, max_iter, "_features", "_pred", tol=tol).fit(train)
-    finally:
-        data.unpersist()
-    centres = [tuple(float(x) for x in c) for c in model.clusterCenters()]
-    order = sorted(range(len(centres)), key=lambda i: centres[i])
-    remap = F.create_map(*[x for new, old in enumerate(order) for x in (F.lit(old), F.lit(new))])
-    labelled = model.transform(_vectors(data, cols, "_features"))
-    return labelled.withColumn(out, F.element_at(remap, F.col("_pred"))).drop("_features", "_pred")
-
-
-def pca2(df: DataFrame, cols: Sequence[str], names: Sequence[str] = ("PC1", "PC2"),
-         checkpoint: bool = True) -> DataFrame:
-    """The rows with complete (standardised, centred) features, with their
-    scores on the first two principal components. The covariance is one
-    distributed pass over the checkpointed rows; the sign of each
-    component is fixed so that its largest absolute loading is positive;
-    scores are column arithmetic on the same checkpointed rows."""
-    from pyspark.ml.feature import PCA
-    data = _training_input(df, cols, keep_all=True, checkpoint=checkpoint)
-    try:
-        model = PCA(k=2, inputCol="features", outputCol="_pca").fit(_vectors(data.select(*cols), cols))
-    finally:
-        data.unpersist()
-    pc = model.pc.toArray()  # d x 2 loadings (driver metadata)
-    out = data
-    for j, name in enumerate(names):
-        load = [float(v) for v in pc[:, j]]
-        big = max(range(len(load)), key=lambda i: abs(load[i]))
-        sign = 1.0 if load[big] >= 0 else -1.0
-        expr: Column = F.lit(0.0)
-        for c, w in zip(cols, load):
-            expr = expr + F.col(c) * F.lit(sign * w)
-        out = out.withColumn(name, expr)
-    return out
+def elbow(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(2, 10), seed: int = 42,
+          max_iter: int = KMEANS_MAX_ITER, key: str | None = None) -> DataFrame:
+    """k-means inertia (within-cluster sum of squares) for each k, on the
+    given (already standardised) columns, read to 6 decimals.
+
+    All fits share their seeds (those of a smaller k come first) and advance
+    together: one scan a step, until each has come to rest. The result is the
+    same under any partitioning and file layout. ``key``: an integer column
+    that names a row (draws); without it a row counts by its features. With
+    fewer distinct rows than k a fit has as many centres as there are rows; no
+    rows give no row.
+    """
+    with _grid_blocks(df, cols, key) as rows:
+        n, total, square = spread(rows, len(cols))
+        costs = []
+        if n:
+            seeds = draw_seeds(rows, max(ks), seed)
+            fits = lloyd(rows, {int(k): seeds[:k] for k in ks}, _tolerance(n, total, square), max_iter)
+            for k, sums in label_sums(rows, fits).items():
+                cost = float(sum(square))
+                for centre, (m, s) in zip(fits[k], sums):
+                    cost += sum(m * c * c - 2.0 * c * v for c, v in zip(centre, s))
+                costs.append((k, cost / GRID**2))
+    return df.sparkSession.createDataFrame(sorted(costs), "k int, inertia double")
+
+
+def kmeans_labels(df: DataFrame, cols: Sequence[str], k: int = 4, seed: int = 42, out: str = "cluster",
+                  max_iter: int = KMEANS_MAX_ITER, key: str | None = None) -> DataFrame:
+    """The rows with complete features, with a k-means cluster number: the
+    nearest of the final centres, numbered in lexicographic order of the
+    centres. Features count to 6 decimals; the labels are the same under any
+    partitioning and file layout. ``key`` as in ``elbow``."""
+    data = df.dropna(subset=list(cols))
+    with _grid_blocks(df, cols, key) as rows:
+        n, total, square = spread(rows, len(cols))
+        if not n:
+            return data.withColumn(out, F.lit(None).cast("int"))
+        centres = lloyd(rows, {k: draw_seeds(rows, k, seed)}, _tolerance(n, total, square), max_iter)[k]
+    centres = sorted(centres)
+    points = [on_grid(c).cast("double") for c in cols]
+    distances = []
+    for c in centres:
+        total = None
+        for x, v in zip(points, c):
+            part = (x - F.lit(v)) * (x - F.lit(v))
+            total = part if total is None else total + part
+        distances.append(total)
+    least = F.least(*distances) if len(distances) > 1 else distances[0]
+    return data.withColumn(out, F.array_position(F.array(*distances), least).cast("int") - F.lit(1))
+
+
+def principal_axes(cov: list[list[float]], sweeps: int = 60) -> tuple[list[float], list[list[float]]]:
+    """Eigenvalues, falling, and unit eigenvectors of a small symmetric matrix
+    by cyclic rotations; each vector's largest entry is positive."""
+    d = len(cov)
+    a, v = [list(map(float, r)) for r in cov], [[float(i == j) for j in range(d)] for i in range(d)]
+    for _ in range(sweeps):
+        off = sum(a[i][j] ** 2 for i in range(d) for j in range(d) if i != j)
+        if off <= 1e-32 * sum(a[i][i] ** 2 for i in range(d)):
+            break
+        for p in range(d - 1):
+            for q in range(p + 1, d):
+                if a[p][q] == 0.0:
+                    continue
+                angle = 0.5 * math.atan2(2.0 * a[p][q], a[q][q] - a[p][p])
+                c, s = math.cos(angle), math.sin(angle)
+                for m in (a, v):  # columns p and q
+                    for r in m:
+                        r[p], r[q] = c * r[p] - s * r[q], s * r[p] + c * r[q]
+                a[p], a[q] = ([c * x - s * y for x, y in zip(a[p], a[q])], [s * x + c * y for x, y in zip(a[p], a[q])])
+    order = sorted(range(d), key=lambda i: -a[i][i])
+    axes = []
+    for i in order:
+        axis = [v[r][i] for r in range(d)]
+        big = max(range(d), key=lambda r: abs(axis[r]))
+        axes.append([x if axis[big] >= 0 else -x for x in axis])
+    return [a[i][i] for i in order], axes
+
+
+def pca2(df: DataFrame, cols: Sequence[str], names: Sequence[str] = ("PC1", "PC2")) -> DataFrame:
+    """The rows with complete (standardised) features, with their scores on
+    the first two principal components. Features count to 6 decimals; their
+    moments are exact and come from one aggregate, so the scores are the same
+    under any partitioning; each component's largest absolute loading is
+    positive; the scores are column arithmetic on the rows."""
+    data = df.dropna(subset=list(cols))
+    points = [on_grid(c) for c in cols]
+    m = Moments(data.select(F.array(*points).alias("x")), len(cols))
+    axes = principal_axes(m.covariance())[1] if m.n else [[0.0] * len(cols)] * len(names)
+    for name, axis in zip(names, axes):
+        score: Column | None = None
+        for x, s, w in zip(points, m.s, axis):
+            part = (x - F.lit(s / max(m.n, 1))) * F.lit(w)
+            score = part if score is None else score + part
+        data = data.withColumn(name, score / F.lit(float(GRID)))
+    return data
 
 
 def cluster_summary(df: DataFrame, label: str, cols: Sequence[str], decimals: int = 2,
