@@ -112,3 +112,15 @@ def apply_overrides(df: DataFrame, fixes: DataFrame, key: str, col: str) -> Data
     j = df.join(f, df[key] == f["_fk"], "left")
     return j.select(*[F.when(F.col("_hit"), F.col("_fv")).otherwise(F.col(c)).alias(c) if c == col else F.col(c)
                       for c in df.columns])
+
+
+def census_build(sheet: DataFrame, names: Mapping[str, str], whole: Sequence[str], drop: Sequence[str] = ()) -> DataFrame:
+    """The census table from the data rows of its sheet: unnamed columns get
+    their ``names``, the ``whole`` columns become integers (bad text or a
+    fraction raises; missing stays missing), the ``drop`` columns, which the
+    place tables already hold, go."""
+    from zonestats.operators.clean import drop_columns, rename_columns, strict_int_cast
+    unknown = sorted(set(names) - set(sheet.columns))
+    if unknown:
+        raise ValueError(f"columns not found: {unknown}")
+    return drop_columns(strict_int_cast(rename_columns(sheet, names), whole, "int"), drop)
