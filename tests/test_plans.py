@@ -89,3 +89,29 @@ def test_declared_unique_census_drops_unused_join(spark):
     assert joins_unique == joins_default - 1 and rows_unique == rows_default
     # census columns used: same result (customer keys are unique in this data)
     assert plan_and_rows(True, L.population)[1] == plan_and_rows(False, L.population)[1]
+
+
+def test_a_hot_group_is_dealt_by_its_own_size(spark):
+    """One group with a third of all distinct values over 400 partitions: no
+    partition of the join with its parameters gets 2 % of the rows."""
+    from pyspark.sql import functions as F
+    from zonestats.operators.joins import heavy_groups, join_salted
+    rows = spark.range(120_000).select(F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 5000).cast("long").alias("g"),
+                                       F.col("id").cast("double").alias("v"))
+    per_group = rows.groupBy("g").agg(F.max("v").alias("top"))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.shuffle.partitions", "400")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert [tuple(r) for r in heavy_groups(rows, ["g"]).collect()] == [(-1, 267)]
+        out = join_salted(rows, per_group, ["g"], "v", ["top"])
+        parts = out.groupBy("g", "_salt").count().collect()
+        assert sum(r["count"] for r in parts) == 120_000 and out.where("v > top").count() == 0
+        tasks = {}
+        key = F.pmod(F.hash("g", "_salt"), F.lit(400))  # where an exchange on the join's keys sends a row
+        for r in out.groupBy(key.alias("p")).count().collect():
+            tasks[r["p"]] = r["count"]
+        assert max(tasks.values()) < 0.02 * 120_000
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)

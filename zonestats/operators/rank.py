@@ -21,9 +21,10 @@ def unscaled(value: str, scale: int) -> Column:
     """A fixed-point measure with ``scale`` decimals as an exact integer
     count of 10^-scale units (``rint`` recovers the integer the double
     stands for). A value with more decimals raises: the distance to the
-    integer may be what a few roundings of the double leave, not more."""
+    integer may be what a few roundings of the double, or of larger values it
+    was subtracted from, leave: a millionth, or a 2^-50 of the value."""
     y = F.col(value) * F.lit(float(10**scale))
-    rounding = F.least(F.abs(y) * F.lit(2.0**-50), F.lit(0.4))
+    rounding = F.least(F.greatest(F.abs(y) * F.lit(2.0**-50), F.lit(1e-6)), F.lit(0.4))
     return F.when(F.abs(y - F.rint(y)) > rounding, F.raise_error(F.concat(
         F.lit(f"more than {scale} decimals: "), F.col(value).cast("string"))).cast("long")).otherwise(F.rint(y).cast("long"))
 
