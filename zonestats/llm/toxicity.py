@@ -14,7 +14,8 @@ from zonestats.llm.common import saved, smallest_by_hash
 
 BUCKETS = 1 << 18  # hashed features of each template
 SAMPLE = 2500  # labelled documents of each class that the model is fitted on
-SAMPLE_CHARS = 20_000  # longer documents are not taken into the sample
+PIECE, PIECES = 4096, 8  # characters and number of the pieces that stand for a longer text in the sample
+WINDOW = 512  # words whose evidence is taken together
 EVIDENCE = 30.0  # log-likelihood ratio (chi-square) from which a word is labelled toxic
 _BLOCK = 64
 
@@ -122,16 +123,31 @@ def _words(texts: list[str]) -> tk.Words:
     return tk.Words(data, np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64), white=tk.MARKS)
 
 
-def _document_evidence(p: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Of each document: the largest marginal's logit and the log of the expected number of toxic words."""
-    n = len(first) - 1
-    top, total = np.zeros(n), np.zeros(n)
-    some = np.flatnonzero(np.diff(first) > 0)
-    if len(some):
-        top[some] = np.maximum.reduceat(p, first[some])
-        total[some] = np.add.reduceat(p, first[some])
+def _document_evidence(p: np.ndarray, first: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Of each document's window with the most expected toxic words: the
+    largest marginal's logit and the log of that number; and how many windows
+    the document has. A long text is so judged by its worst passage."""
+    n = np.diff(first)
+    per = -(-n // window)
+    begin = np.concatenate([[0], np.cumsum(per)])
+    doc = np.repeat(np.arange(len(n)), per)
+    top, total = np.zeros(len(n)), np.zeros(len(n))
+    if len(doc):
+        cuts = first[doc] + (np.arange(len(doc)) - begin[doc]) * window
+        tops, sums = np.maximum.reduceat(p, cuts), np.add.reduceat(p, cuts)
+        order = np.lexsort((tops, sums, doc))  # a document's worst window comes last
+        some = np.flatnonzero(per > 0)
+        worst = order[begin[1:][some] - 1]
+        top[some], total[some] = tops[worst], sums[worst]
     top = np.clip(top, 1e-6, 1 - 1e-6)
-    return np.stack([np.log(top / (1 - top)) / 5, np.log1p(total)], axis=1)
+    return np.stack([np.log(top / (1 - top)) / 5, np.log1p(total)], axis=1), np.maximum(per, 1)
+
+
+def document_logits(p: np.ndarray, first: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Log odds of each document. A text of m windows has m chances to look
+    toxic without being so, so each window has an m-th of the prior odds."""
+    x, windows = _document_evidence(p, first)
+    return np.column_stack([x, np.ones(len(x))]) @ weights - np.log(windows)
 
 
 def telling(words: np.ndarray, doc: np.ndarray, toxic: np.ndarray, evidence: float = EVIDENCE) -> np.ndarray:
@@ -150,7 +166,8 @@ def telling(words: np.ndarray, doc: np.ndarray, toxic: np.ndarray, evidence: flo
 
 
 def train(texts: list[str], toxic: np.ndarray, rounds: int = 40, decay: float = 1e-3) -> dict:
-    """Fit the field on labelled documents, then the document score.
+    """Fit the field on labelled documents, then the document score. Without
+    documents of both classes, or without a word, the model is not fitted.
 
     The labelled tokens are the words of toxic documents that are ``telling``
     as a whole or by their first bytes. The field is trained on windows
@@ -198,28 +215,44 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 40, decay: float =
     for t in range(4):
         model["weights"][t][used[t][0]] = theta[t]
     p, _, _ = marginals(_scores(f, model["weights"], model["bias"]), w.first, model["trans"])
-    x = np.column_stack([_document_evidence(p, w.first), np.ones(len(texts))])
+    x, windows = _document_evidence(p, w.first)
+    x, prior = np.column_stack([x, np.ones(len(texts))]), -np.log(windows)
     if not toxic[fourth].any() or toxic[fourth].all():  # too few documents to set any aside
         fourth[:] = True
-    x, toxic, b = x[fourth], toxic[fourth], np.zeros(3)
+    x, toxic, prior, b = x[fourth], toxic[fourth], prior[fourth], np.zeros(3)
     for _ in range(25):  # Newton steps of a ridge logistic regression
-        q = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
+        q = 1 / (1 + np.exp(-np.clip(x @ b + prior, -30, 30)))
         b += np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + 0.1 * np.eye(3), x.T @ (toxic - q) - 0.1 * b)
     model["doc"] = b
     return model
 
 
+def sample_text(key: Column, text: Column, piece: int = PIECE, pieces: int = PIECES) -> Column:
+    """A text of up to ``piece`` * ``pieces`` characters itself; of a longer one
+    the ``pieces`` pieces with the smallest hash of ``key`` and place, in order."""
+    n = F.ceil(F.length(text) / piece).cast("int")
+    places = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.xxhash64(key, i).alias("h"), i.alias("i")))
+    chosen = F.array_sort(F.transform(F.slice(F.array_sort(places), 1, pieces), lambda s: s["i"]))
+    return F.when(n <= pieces, text).otherwise(F.array_join(F.transform(chosen, lambda i: text.substr(i * piece + 1, F.lit(piece))), "\n"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text",
-        label_col: str = "toxic", sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> dict:
+        label_col: str = "toxic", sample: int = SAMPLE, piece: int = PIECE, pieces: int = PIECES) -> dict:
     """Fit on a bounded sample: of each class the ``sample`` labelled rows with
-    the smallest hash of the id, not held out, texts up to ``sample_chars``."""
+    the smallest hash of the id, not held out, whatever their length; a text of
+    more than ``piece`` * ``pieces`` characters is represented by ``pieces`` of
+    its pieces, drawn by hash. Labels without an id or a class, and documents
+    without a text, take no part; repeated labels of an id count once, as toxic
+    if any is; equal rows count once; other columns are ignored. Without both
+    classes (or any label, or any text) the model is not fitted and scores 0."""
     known = labels.filter(~F.coalesce(held_out, F.lit(False)) & F.col(label_col).isin(0, 1)).select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).filter("doc_id is not null")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = smallest_by_hash(known, "toxic", sample).select("doc_id", "toxic")
     picked = saved(picked, "toxic-sample")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")) \
-        .join(F.broadcast(picked), "doc_id").filter(F.length("text") <= sample_chars).toPandas()
+        .join(F.broadcast(picked), "doc_id").filter(F.length("text") > 0) \
+        .select("doc_id", "toxic", sample_text(F.col("doc_id"), F.col("text"), piece, pieces).alias("text")).toPandas()
     texts = texts.drop_duplicates().sort_values(["doc_id", "text"])
     model = train(texts["text"].tolist(), texts["toxic"].to_numpy().astype(bool))
     share = known.agg(F.avg("toxic")).first()[0]
@@ -234,8 +267,7 @@ def _score_rows(batches, model: dict, least: float):
         for i, j, data, offs in tk.slices(batch, "text", 1 << 19):
             w = tk.Words(data, offs, white=tk.MARKS)
             p, _, _ = marginals(_scores(features(w), model["weights"], model["bias"]), w.first, model["trans"])
-            x = np.column_stack([_document_evidence(p, w.first), np.ones(j - i)])
-            score = 1 / (1 + np.exp(-np.clip(x @ model["doc"], -30, 30))) if model["fitted"] else np.zeros(j - i)
+            score = 1 / (1 + np.exp(-np.clip(document_logits(p, w.first, model["doc"]), -30, 30))) if model["fitted"] else np.zeros(j - i)
             score[np.diff(w.first) == 0] = min(0.0, float(score.min(initial=0.0)))
             char = np.cumsum((data & 0xC0) != 0x80) if len(data) else np.zeros(0, int)
             spans = [[] for _ in range(j - i)]
