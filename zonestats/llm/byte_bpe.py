@@ -166,12 +166,13 @@ def codec(path: str, pattern: str) -> RankCodec:
     return RankCodec(path, pattern)
 
 
-def text_runs(batch: pa.RecordBatch, limit: int = _BATCH_BYTES) -> Iterator[tuple[int, list[str]]]:
-    """(first row, texts) of runs of rows of about ``limit`` characters; null is empty."""
+def text_runs(batch: pa.RecordBatch, limit: int = _BATCH_BYTES, rows: int = 1 << 30) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of runs of rows of about ``limit`` characters and at
+    most ``rows`` rows; null is empty."""
     column, run, size, first = batch.column("text"), [], 0, 0
     for i, value in enumerate(column):
         t = value.as_py() or ""
-        if run and size + len(t) > limit:
+        if run and (size + len(t) > limit or len(run) == rows):
             yield first, run
             run, size, first = [], 0, i
         run.append(t)

@@ -17,6 +17,7 @@ from zonestats.llm.common import saved, smallest_by_hash
 DIM = 4096  # hashed n-grams of one to three bytes
 SAMPLE = 300  # documents a language's centroids are clustered from
 CENTROIDS = 3
+RUN = 512  # rows whose counts are held at once (``DIM`` each)
 _ASCII = bytes(c if chr(c).isalpha() or c >= 128 else 32 for c in range(256))
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -51,7 +52,7 @@ def vectors(texts: list[str], idf: np.ndarray) -> np.ndarray:
 def _document_frequencies(batches, dim: int):
     total = np.zeros(dim + 1, np.int64)
     for batch in batches:
-        for _, texts in text_runs(batch, 1 << 18):
+        for _, texts in text_runs(batch, 1 << 18, RUN):
             total[:dim] += (counts(texts, dim) > 0).sum(axis=0)
             total[dim] += len(texts)
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim + 1)), pa.array(total)], names=["gram", "docs"])
@@ -86,7 +87,12 @@ def fit(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
     """Inverse document frequencies over all training rows (language known,
     not held out); centroids from at most ``sample`` rows of each language,
     the smallest by a hash of the id. The model has ``dim`` numbers and ``k``
-    centroids of ``dim`` numbers for each language."""
+    centroids of ``dim`` numbers for each language.
+
+    A null or empty text counts as a document without n-grams and gives no
+    centroid; rows without an id are one id, rows that repeat an id and language
+    are sampled together; other columns are ignored. Without training rows the
+    model has no language, and every text is ``und``."""
     train = docs.filter(~F.coalesce(held_out, F.lit(False)) & F.col(lang_col).isNotNull()).select(
         F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     seen = train.select("text").mapInArrow(partial(_document_frequencies, dim=dim), "gram long, docs long") \
@@ -105,7 +111,7 @@ def fit(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
 def _predict_rows(batches, model: dict):
     langs, c = model["langs"], model["centroids"]
     for batch in batches:
-        for first, texts in text_runs(batch, 1 << 18):
+        for first, texts in text_runs(batch, 1 << 18, RUN):
             near = vectors(texts, model["idf"]) @ c.T if langs else np.zeros((len(texts), 1))
             best = near.argmax(axis=1)
             top = near[np.arange(len(texts)), best]
