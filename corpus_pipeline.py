@@ -22,54 +22,65 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that pass the base rules and the log-likelihood ratio."""
+    """Keep the documents that pass the base rules and the log-likelihood
+    ratio. A null or empty text fails the base rules; rows that repeat, or have
+    no id, are judged by their text; without trusted labels the ratio rejects
+    nothing; no documents give none; all columns stay as they are."""
     weights = bucket_weights(docs, trusted_ids(read_table(spark, sf_dir, "labels")))
     return accepted(docs, weights)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove lines that five or more documents share, but for the last one."""
+    """Remove lines that five or more documents share, but for the last one.
+    Every row stays, an empty or null text as an empty one; rows without an id
+    count as one document, before all others; no documents give none; the other
+    columns stay as they are, n_chars becomes the text's new length."""
     out = dedup_lines(docs)
     own = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("text", "n_chars")]
     return out.select(*own, "text", F.length("text").cast("long").alias("n_chars")).select(*docs.columns)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` written once with ``row_key``, which names each row where ids
-    are null or repeat, and ``row_mark``, a hash of the row by which choices
-    agree between runs."""
-    out = docs.withColumn("row_mark", F.xxhash64(*docs.columns)).withColumn("row_key", F.monotonically_increasing_id())
-    return saved(out, "pipeline-keyed")
+def keyed(docs: DataFrame, *columns: str) -> DataFrame:
+    """``docs`` written once as ``row`` (its columns, whatever their names) with
+    ``row_key``, which names each row where ids are null or repeat, ``row_mark``,
+    a hash of the row by which choices agree between runs, and the ``columns``
+    that an operator reads."""
+    return saved(docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(*docs.columns).alias("row_mark"),
+                             F.monotonically_increasing_id().alias("row_key"), *columns), "pipeline-keyed")
 
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each near-duplicate group (five words, 0.8): one with
     the group's smallest id, by smallest hash of the row if several have it.
-    A text without words is in no group; its repeated rows count once. The
-    row keys grow with the input, so they meet the texts in a merge join at
-    every size."""
-    rows = keyed(docs)
+    A text without words is in no group; its repeated rows count once. No
+    documents give none; all columns stay as they are. The row keys grow with
+    the input, so they meet the texts in a merge join at every size."""
+    rows = keyed(docs, "doc_id", "text")
     found = near_duplicates(rows, carry=("row_key", "row_mark")).filter("kept")
     alone = F.when(F.col("n_shingles") == 0, F.col("row_mark"))
     group = F.when(F.col("n_shingles") > 0, F.col("component"))
     kept = found.groupBy(group.alias("group"), alone.alias("alone")).agg(
         F.min(F.struct("row_mark", "row_key"))["row_key"].alias("kept_key"))
     ids = saved(kept.select("kept_key"), "pipeline-kept").hint("merge")
-    return rows.join(ids, rows["row_key"] == ids["kept_key"], "left_semi").select(*docs.columns)
+    return rows.select("row", "row_key").join(ids, F.col("row_key") == F.col("kept_key"), "left_semi").select("row.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat each row as often as the mix takes it."""
-    rows = keyed(docs)
+    """Repeat each row as often as the mix takes it. A null or empty text has
+    no words and takes none of the mix's (it may stay or go); rows without a
+    source are one source; repeated rows are documents of their own; no
+    documents give none; all columns stay as they are."""
+    rows = keyed(docs, "text", "source")
     taken = mix(rows, id_col="row_mark", carry=("row_key",)).filter("copies > 0")
-    taken = taken.select(F.col("row_key").alias("of"), "copies")
-    out = rows.join(taken, rows["row_key"] == taken["of"])
-    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("mix_copy")) \
-        .select(*docs.columns)
+    taken = taken.select(F.col("row_key").alias("taken_key"), "copies")
+    out = rows.select("row", "row_key").join(taken, F.col("row_key") == F.col("taken_key"))
+    return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("row.*")
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every document of the mix, and back."""
+    """Token counts and digests of every document of the mix, and back. A null
+    text counts as empty; repeated rows are encoded each; no documents give no
+    rows; other columns are ignored."""
     return round_trip(docs, RANKS, public_tokenizers.PATTERN)
 
 
