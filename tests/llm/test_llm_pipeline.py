@@ -165,3 +165,39 @@ def test_run_agrees_with_a_plain_chain(spark, tmp_path):
     got = collections.Counter((r["doc_id"], r["decoded_sha256"]) for r in C.run(spark, str(tmp_path)).collect())
     assert got == collections.Counter((i, hashlib.sha256(t.encode()).hexdigest()) for i, t in want)
     assert dropped == 8 + 6  # junk and short; copies
+
+
+CLASHES = "doc_id long, text string, lang string, source string, n_chars long, row string, row_key string, row_mark int, copies string, " \
+          "of long, mix_copy int, copy int, kept_key long, taken_key long"
+
+
+def test_columns_of_any_name_come_back(spark):
+    """Every column of the input leaves each stage as it came."""
+    rnd = random.Random(12)
+    texts = [prose(rnd, 70) for _ in range(20)] + [None, "", " "]
+    texts += [texts[0], texts[1] + " more"]
+    rows = [(i if i % 9 else None, t, "en", "ab"[i % 2], 0, f"r{i}", f"k{i}", i, f"c{i}", -i, 7, 8, 9, 10) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, CLASHES).repartition(3)
+    own = {r[5]: r[5:] for r in rows}
+    for name, stage in C.STAGES[:-1]:
+        if name == "quality rules":  # reads labels
+            continue
+        out = stage(spark, docs, SF_SMALL)
+        assert out.columns == docs.columns, name
+        got = [tuple(r) for r in out.collect()]
+        assert got and all(r[5:] == own[r[5]] for r in got), name
+    assert C.quality_rules(spark, docs, SF_SMALL).columns == docs.columns
+
+
+def test_stages_on_empty_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    empty = spark.createDataFrame([], schema)
+    empty.write.parquet(f"{tmp_path}/none/documents.parquet")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/none/labels.parquet")
+    for name, stage in C.STAGES:
+        assert stage(spark, empty, f"{tmp_path}/none").count() == 0, name
+    assert C.run(spark, f"{tmp_path}/none").count() == 0
+    rnd = random.Random(13)
+    some = spark.createDataFrame([(i, prose(rnd, 80), "en", "s", 0) for i in range(5)], schema)
+    assert C.quality_rules(spark, some, f"{tmp_path}/none").count() == 5  # no trusted labels: only the base rules
