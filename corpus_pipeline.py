@@ -40,13 +40,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*own, "text", F.length("text").cast("long").alias("n_chars")).select(*docs.columns)
 
 
-def keyed(docs: DataFrame, *columns: str) -> DataFrame:
+def keyed(docs: DataFrame) -> DataFrame:
     """``docs`` written once as ``row`` (its columns, whatever their names) with
-    ``row_key``, which names each row where ids are null or repeat, ``row_mark``,
-    a hash of the row by which choices agree between runs, and the ``columns``
-    that an operator reads."""
+    ``row_key``, which names each row where ids are null or repeat, and
+    ``row_mark``, a hash of the row by which choices agree between runs."""
     return saved(docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(*docs.columns).alias("row_mark"),
-                             F.monotonically_increasing_id().alias("row_key"), *columns), "pipeline-keyed")
+                             F.monotonically_increasing_id().alias("row_key")), "pipeline-keyed")
 
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +54,8 @@ def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A text without words is in no group; its repeated rows count once. No
     documents give none; all columns stay as they are. The row keys grow with
     the input, so they meet the texts in a merge join at every size."""
-    rows = keyed(docs, "doc_id", "text")
-    found = near_duplicates(rows, carry=("row_key", "row_mark")).filter("kept")
+    rows = keyed(docs)
+    found = near_duplicates(rows.select("row.doc_id", "row.text", "row_key", "row_mark"), carry=("row_key", "row_mark")).filter("kept")
     alone = F.when(F.col("n_shingles") == 0, F.col("row_mark"))
     group = F.when(F.col("n_shingles") > 0, F.col("component"))
     kept = found.groupBy(group.alias("group"), alone.alias("alone")).agg(
@@ -70,8 +69,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     no words and takes none of the mix's (it may stay or go); rows without a
     source are one source; repeated rows are documents of their own; no
     documents give none; all columns stay as they are."""
-    rows = keyed(docs, "text", "source")
-    taken = mix(rows, id_col="row_mark", carry=("row_key",)).filter("copies > 0")
+    rows = keyed(docs)
+    taken = mix(rows.select("row.text", "row.source", "row_key", "row_mark"), id_col="row_mark", carry=("row_key",)).filter("copies > 0")
     taken = taken.select(F.col("row_key").alias("taken_key"), "copies")
     out = rows.select("row", "row_key").join(taken, F.col("row_key") == F.col("taken_key"))
     return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("row.*")
