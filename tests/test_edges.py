@@ -227,3 +227,17 @@ def test_label_precision_grows_until_edges_differ(spark):
     got = [r["interval"] for r in frequency_table(df, "v").orderBy("class").collect()]
     want = [str(i) for i in pd.cut(pd.Series(vals), bins=2).value_counts().sort_index().index]
     assert got == want
+
+
+def test_profile_of_columns_with_odd_names(spark):
+    from zonestats.operators.quality import profile_columns
+    df = spark.createDataFrame([(1, None, 2.0), (2, "x", None)], "`a\tb` int, `c.d` string, `e``f` double")
+    got = sorted(tuple(r) for r in profile_columns(df).collect())
+    assert got == [(0, "a\tb", "int", 2), (1, "c.d", "string", 1), (2, "e`f", "double", 1)]
+
+
+def test_series_rows_of_one_time_are_ordered(spark):
+    from zonestats.operators.lookup import time_series
+    df = spark.createDataFrame([(1, 5, 3.0), (1, 5, 1.0), (1, 4, 2.0), (2, 5, 0.0)], "town int, ts int, v double").repartition(3)
+    assert [tuple(r) for r in time_series(df, "ts", ["v"], key="town", key_value=1).collect()] == [(4, 2.0), (5, 1.0), (5, 3.0)]
+    assert [tuple(r) for r in time_series(df, "ts", ["v"], key="town").collect()] == [(1, 4, 2.0), (1, 5, 1.0), (1, 5, 3.0), (2, 5, 0.0)]

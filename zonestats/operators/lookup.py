@@ -48,11 +48,11 @@ def child_options(df: DataFrame, child: str, parent: str | None = None, value=No
 def time_series(df: DataFrame, ts: str, cols: Sequence[str], key: str | None = None,
                 key_value=None) -> DataFrame:
     """One entity's rows sorted by time, or (``key_value=None``) every
-    entity's series sorted by (key, time)."""
+    entity's series sorted by (key, time); rows of one time by ``cols``."""
     if key is not None and key_value is not None:
-        return df.where(F.col(key) == F.lit(key_value)).select(ts, *cols).orderBy(ts)
-    sel = ([key] if key else []) + [ts] + [c for c in cols if c != key]
-    return df.select(*sel).orderBy(*([key] if key else []), ts)
+        return df.where(F.col(key) == F.lit(key_value)).select(ts, *cols).orderBy(ts, *cols)
+    rest = [c for c in cols if c != key]
+    return df.select(*([key] if key else []), ts, *rest).orderBy(*([key] if key else []), ts, *rest)
 
 
 def time_series_mean(df: DataFrame, ts: str, value: str, keys: Sequence[str] = (),

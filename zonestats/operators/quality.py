@@ -14,15 +14,16 @@ def profile_columns(df: DataFrame) -> DataFrame:
     """One row per column: position, name, type and non-missing count
     (pandas ``info()``). All counts come from a single aggregate pass."""
     fields = df.schema.fields
-    counts = df.agg(*[F.count(F.col(f.name)).alias(f"c{i}") for i, f in enumerate(fields)])
+    counts = df.agg(*[F.count(F.col("`" + f.name.replace("`", "``") + "`")).alias(f"c{i}") for i, f in enumerate(fields)])
     rows = counts.unpivot([], [f"c{i}" for i in range(len(fields))], "_c", "non_null")
     meta = F.create_map(*[x for i, f in enumerate(fields)
-                          for x in (F.lit(f"c{i}"), F.lit(f"{i}\t{f.name}\t{f.dataType.simpleString()}"))])
-    parts = F.split(F.element_at(meta, F.col("_c")), "\t")
+                          for x in (F.lit(f"c{i}"), F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column"),
+                                                             F.lit(f.dataType.simpleString()).alias("dtype")))])
+    of = F.element_at(meta, F.col("_c"))
     return rows.select(
-        parts.getItem(0).cast("int").alias("position"),
-        parts.getItem(1).alias("column"),
-        parts.getItem(2).alias("dtype"),
+        of["position"].alias("position"),
+        of["column"].alias("column"),
+        of["dtype"].alias("dtype"),
         F.col("non_null"),
     )
 
