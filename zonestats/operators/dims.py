@@ -2,10 +2,9 @@
 
 * ``add_serial``: surrogate keys 1..n in a stated order. A window
   ``row_number()`` without partition would pull every row into one task;
-  instead rows are range-partitioned and sorted, each partition counts its
-  rows, and a running sum over the (at most #partitions) counts gives each
-  partition its offset. The counts table is bounded by the partition
-  number, so broadcasting it is safe.
+  instead explicit cut points deal the distinct rows into parts, each part
+  counts its rows, and a running sum over the (at most #partitions) counts
+  gives each part its offset (``order_stats.ranked``).
 * ``dim_build``: distinct values (optionally without missing) + serial key.
 * ``dim_encode``: replace text attributes by dimension ids (left joins).
 * ``fact_build``: parse the text timestamp, drop redundant columns.
@@ -16,34 +15,35 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonestats.functions.columns import RAW_TIMESTAMP_FORMAT, parse_ts
-from zonestats.operators.order_stats import _num_partitions, _stable
+from zonestats.operators.order_stats import _num_partitions, ranked
+
+COPIES = 1 << 16  # equal rows numbered by one task at a time
 
 
 def add_serial(df: DataFrame, id_col: str, order_by: Sequence[str] | None = None,
                num_partitions: int | None = None) -> DataFrame:
     """Append ``id_col`` = 1..n following ``order_by`` (then the other
-    columns), ascending, missing last."""
-    order = list(order_by) if order_by else list(df.columns)
-    # remaining columns break ties, so equal sort keys can still be split
-    # over range partitions and the numbering is deterministic
-    order += [c for c in df.columns if c not in order]
-    n_parts = _num_partitions(df, num_partitions)
-    keys = [F.asc_nulls_last(c) for c in order]
-    s = _stable(df.repartitionByRange(n_parts, *keys)
-                  .sortWithinPartitions(*keys)
-                  .withColumn("_pid", F.spark_partition_id())
-                  .withColumn("_mid", F.monotonically_increasing_id()))
-    counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_first"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", "_first",
-                            F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
-    # at most n_parts rows: a proven bound
-    out = s.join(F.broadcast(offsets), "_pid")
-    return out.select(*df.columns, (F.col("_off") + F.col("_mid") - F.col("_first") + 1).alias(id_col))
+    columns), ascending, missing last. Equal rows are numbered in a row: they
+    travel as one row with a count and are dealt as blocks of ``COPIES``, so
+    many copies load no task."""
+    rows = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_w"))
+    n = _num_partitions(df, num_partitions)
+    r = _numbered(rows, order_by or [], n)
+    blocks = r.withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_w") - 1, F.lit(COPIES).cast("long"))))
+    blocks = blocks.repartition(n, "_before", "_at")
+    first, last = F.col("_before") + F.col("_at"), F.col("_before") + F.least(F.col("_at") + COPIES, F.col("_w"))
+    return blocks.select(*df.columns, F.explode(F.sequence(first + 1, last)).alias(id_col))
+
+
+def _numbered(rows: DataFrame, order_by: Sequence[str], n_parts: int) -> DataFrame:
+    """``rows``, distinct but for ``_w`` (how many rows each stands for), with
+    ``_before``. The other columns break ties, so the order is deterministic."""
+    own = [c for c in rows.columns if c != "_w"]
+    return ranked(rows, [], [*order_by, *[c for c in own if c not in order_by]], n_parts)
 
 
 def dim_build(df: DataFrame, cols: Sequence[str], id_col: str | None = None,
@@ -53,7 +53,10 @@ def dim_build(df: DataFrame, cols: Sequence[str], id_col: str | None = None,
     d = df.select(*cols).distinct()
     if dropna:
         d = d.dropna(how="any")
-    return add_serial(d, id_col, order_by or list(cols)) if id_col else d
+    if not id_col:
+        return d
+    r = _numbered(d.withColumn("_w", F.lit(1).cast("long")), order_by or list(cols), _num_partitions(df, None))
+    return r.select(*cols, (F.col("_before") + 1).alias(id_col))
 
 
 def dim_encode(df: DataFrame, dims: Sequence[tuple[DataFrame, Sequence[str], str]],

@@ -11,16 +11,18 @@ Quantiles (``exact_quantiles``):
 1. Collapse to one row per distinct (group, value) with its multiplicity,
    a partial aggregate: a (group, value) pair holding a third of all rows
    becomes one row before any shuffle, and duplicates never travel.
-2. ``repartitionByRange(group, value)`` on the collapsed rows (all keys are
-   distinct, so the range bounds split even a hot group evenly) and sort
-   each partition.
-3. Inside each sorted partition, the exclusive running sum of the
-   multiplicities per group segment (a vectorised per-partition scan).
-4. Per (partition, group) segment totals, a window over that small table
-   (partitioned by group, ordered by partition id) gives each segment its
-   offset inside the group and the group size. Joining on (partition id,
-   group) keeps a hot group spread; AQE broadcasts the segment table when
-   it is small.
+2. Explicit cut points (``range_parts``): the distinct rows whose hash is
+   below a threshold, about ``SAMPLE`` for each part, are sorted and every
+   so-many-th is a cut. A row's part is the number of cuts not above it, found
+   by bisection. Both are functions of the data alone: a part holds the same
+   rows whichever exchange it is read from, in every retry, and whether or not
+   the session reuses exchanges. A hot group is cut like the rest.
+3. Per (part, group) totals, at most #groups + #parts rows, give each segment
+   its offset inside the group and the group size by a window over that small
+   table.
+4. Inside a segment a running sum of the multiplicities, a window bounded by
+   the size of a part, then the offset by a join on (part, group), which keeps
+   a hot group spread; AQE broadcasts the small table.
 5. Each collapsed row covers the rank interval [before, before + count);
    only rows covering an interpolation rank survive, then a tiny groupBy.
 
@@ -33,18 +35,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+
+SAMPLE = 32  # rows sampled for each part
 
 
 def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
-    """Range partitions: explicit, else the shuffle partition setting. The
-    number is fixed on purpose: AQE must not coalesce these partitions,
-    because the segment offsets and the rows are two reads of the same
-    exchange and must agree on partition ids."""
-    return int(num_partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Parts: explicit, else the shuffle partition setting."""
+    return max(1, int(num_partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _not_null(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -53,68 +52,45 @@ def _not_null(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df
 
 
-def _segment_offsets(s: DataFrame, keys: list[str], weight: Column) -> DataFrame:
-    """(partition, group) segments of a range-partitioned frame with the
-    number of rows of the group in earlier partitions (_off) and the group
-    size (_n). At most #groups + #partitions rows."""
-    seg = s.groupBy(F.spark_partition_id().alias("_pid"), *keys).agg(weight.alias("_cnt"))
-    by_group = Window.partitionBy(*keys) if keys else Window.partitionBy()
-    before = by_group.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    return seg.select(
-        "_pid", *keys,
-        F.coalesce(F.sum("_cnt").over(before), F.lit(0)).cast("long").alias("_off"),
-        F.sum("_cnt").over(by_group).cast("long").alias("_n"),
-    )
-
-
-def _stable(s: DataFrame) -> DataFrame:
-    """The offsets and the rows below are two reads of one range-partitioned
-    frame; they agree because Spark reuses the exchange (default). If the
-    session turned exchange reuse off, pin the partitioning by a reliable
-    checkpoint in the configured checkpoint folder."""
-    if s.sparkSession.conf.get("spark.sql.exchange.reuse", "true").lower() != "true":
-        from zonestats.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(s.sparkSession)
-        return s.checkpoint(eager=True)
-    return s
-
-
-def _prefix_schema(base: StructType) -> StructType:
-    return StructType(list(base.fields) + [StructField("_pid", IntegerType(), False),
-                                          StructField("_lc", LongType(), False)])
-
-
-def _local_prefix(keys: list[str]):
-    """Per sorted partition: exclusive running sum of ``_w`` within each run
-    of equal keys (state carried across Arrow batches)."""
-    def run(batches):
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        last_key = None
-        carry = 0
-        for pdf in batches:
-            n = len(pdf)
-            if n == 0:
-                yield pdf.assign(_pid=np.int32(pid), _lc=np.int64(0))
-                continue
-            w = pdf["_w"].to_numpy(dtype=np.int64)
-            change = np.zeros(n, dtype=bool)
-            for k in keys:
-                col = pdf[k].to_numpy()
-                change[1:] |= col[1:] != col[:-1]
-            first_key = tuple(pdf[k].iloc[0] for k in keys)
-            continues = last_key is not None and first_key == last_key
-            change[0] = True
-            seg = np.cumsum(change) - 1
-            csum = np.cumsum(w)
-            start = (csum - w)[change]
-            lc = csum - w - start[seg]
-            if continues:  # first run of this batch goes on from the last batch
-                lc[seg == 0] += carry
-            carry = int(lc[-1] + w[-1])
-            last_key = tuple(pdf[k].iloc[-1] for k in keys)
-            yield pdf.assign(_pid=np.int32(pid), _lc=lc.astype(np.int64))
-    return run
+def range_parts(rows: DataFrame, order: Sequence[str], n_parts: int, out: str = "_part") -> DataFrame:
+    """Adds ``out``, 0 to ``n_parts`` - 1, growing with ``order`` (ascending,
+    missing last). ``rows`` are distinct in ``order``.
+
+    The cut points are one scalar subquery: an array of ``n_parts`` - 1 rows
+    from about ``SAMPLE`` times as many, whatever the size of ``rows``."""
+    if n_parts == 1:
+        return rows.withColumn(out, F.lit(0))
+    at = F.struct(*[x for i, c in enumerate(order) for x in (F.isnull(c).alias(f"n{i}"), F.col(c).alias(f"c{i}"))])
+    total = rows.agg(F.count(F.lit(1))).scalar()
+    draw = F.shiftrightunsigned(F.xxhash64(*order), 1).cast("double")
+    drawn = rows.where(draw * total < F.lit(2.0**63 * SAMPLE * n_parts)).agg(F.array_sort(F.collect_list(at)).alias("s"))
+    step = F.size("s") / F.lit(float(n_parts))
+    cuts = drawn.select(F.transform(F.sequence(F.lit(1), F.lit(n_parts - 1)),
+                                    lambda i: F.get("s", F.floor(i * step).cast("int")))).scalar()
+    # bisection, one step a projection: ``out`` counts the cuts known to be at or below the row
+    parts = rows.withColumn(out, F.lit(0))
+    for bit in reversed(range((n_parts - 1).bit_length())):
+        below = F.get(cuts, F.col(out) + F.lit((1 << bit) - 1)) <= at
+        parts = parts.withColumn(out, F.col(out) + F.when(below, F.lit(1 << bit)).otherwise(F.lit(0)))
+    return parts
+
+
+def ranked(rows: DataFrame, keys: Sequence[str], order: Sequence[str], n_parts: int) -> DataFrame:
+    """``rows``, distinct in ``keys`` (without missing ones) and ``order``, each
+    standing for ``_w`` rows, with ``_before`` (rows of the group that come
+    earlier in ``order``, missing last) and ``_n`` (rows of the group)."""
+    keys, order = list(keys), list(order)
+    parts = range_parts(rows, [*keys, *order], n_parts)
+    totals = parts.groupBy("_part", *keys).agg(F.sum("_w").alias("_t"))
+    group = Window.partitionBy(*keys)
+    earlier = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_part", *keys, F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_off"),
+                            F.sum("_t").over(group).alias("_n"))
+    here = Window.partitionBy("_part", *keys).orderBy(*[F.asc_nulls_last(c) for c in order]) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = parts.withColumn("_to", F.sum("_w").over(here))
+    return local.join(offsets, ["_part", *keys]).select(
+        *rows.columns, (F.col("_off") + F.col("_to") - F.col("_w")).alias("_before"), "_n")
 
 
 def weighted_positions(df: DataFrame, keys: Sequence[str], value: str,
@@ -131,12 +107,7 @@ def weighted_positions(df: DataFrame, keys: Sequence[str], value: str,
     else:
         collapsed = _not_null(df.select(*keys, value, F.col(weight).cast("long").alias("_w")),
                               [*keys, value])
-    n_parts = _num_partitions(df, num_partitions)
-    s = _stable(collapsed.repartitionByRange(n_parts, *keys, value).sortWithinPartitions(*keys, value))
-    seg = _segment_offsets(s, keys, F.sum("_w"))
-    local = s.mapInPandas(_local_prefix(keys), _prefix_schema(s.schema))
-    j = local.join(seg, ["_pid", *keys], "inner")
-    return j.select(*keys, value, "_w", (F.col("_off") + F.col("_lc")).alias("_before"), "_n")
+    return ranked(collapsed, keys, [value], _num_partitions(df, num_partitions))
 
 
 def _lerp(lo: Column, hi: Column, t: Column) -> Column:
