@@ -42,7 +42,7 @@ from zonestats.operators.dims import (
     fact_build,
 )
 from zonestats.operators.dist import frequency_table, kde
-from zonestats.operators.geo import map_aggregate, map_centre
+from zonestats.operators.geo import map_aggregate, map_centre, map_measures, map_view_point
 from zonestats.operators.joins import join_null_safe, left_join_keys
 from zonestats.operators.lookup import (
     child_options,
@@ -60,7 +60,7 @@ from zonestats.operators.quality import (
     profile_columns,
     table_shape,
 )
-from zonestats.operators.rank import head_n, rank_by, share_of_total, tail_n, top_k
+from zonestats.operators.rank import head_n, rank_by, rank_levels, share_of_total, tail_n, top_k
 from zonestats.operators.stats import (
     box_stats,
     centre_stats,

@@ -43,6 +43,42 @@ def map_aggregate(df: DataFrame, keys: Sequence[str], measure: str, lat: str, lo
     return m.withColumn(out, F.col(measure) / F.nullif(top, F.lit(0.0)) * F.lit(scale))
 
 
+def map_measures(df: DataFrame, keys: Sequence[str], measures: Sequence[str], lat: str, lon: str,
+                 scale: float = 10000.0, out: str = "elevation_norm", num_partitions: int | None = None) -> DataFrame:
+    """``map_aggregate`` of several measures with one read of the input: rows
+    (``measure``, keys, ``lat``, ``lon``, ``value``, ``out``), each measure as
+    its own map (its own missing places, shared locations and maximum)."""
+    keys = list(keys)
+    named = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value"))
+                                for m in measures])).alias("_m")
+    src = df.select(*keys, F.col(lat).alias("_lat"), F.col(lon).alias("_lon"), named)
+    for k in keys:
+        src = src.where(F.col(k).isNotNull())
+    group = ["measure", *keys]
+    c = src.select("_m.measure", *keys, "_m.value", "_lat", "_lon").groupBy(*group, "value").agg(
+        F.count(F.lit(1)).alias("_w"), F.sum("_lat").alias("_slat"), F.count("_lat").alias("_nlat"),
+        F.sum("_lon").alias("_slon"), F.count("_lon").alias("_nlon"))
+    med = exact_median(c, "value", group, name="value", num_partitions=num_partitions, weight="_w")
+    pos = c.groupBy(*group).agg((F.sum("_slat") / F.nullif(F.sum("_nlat"), F.lit(0))).alias("lat"),
+                                (F.sum("_slon") / F.nullif(F.sum("_nlon"), F.lit(0))).alias("lon"))
+    m = pos.join(med, group).dropna(how="any", subset=["lat", "lon", "value"])
+    m = distinct_first(m, ["measure", "lat", "lon"], keys)
+    top = m.groupBy(F.col("measure").alias("_of")).agg(F.max("value").alias("_top"))
+    # one row a measure: a proven bound
+    m = m.join(F.broadcast(top), F.col("measure") == F.col("_of"))
+    return m.select(*group, "lat", "lon", "value", (F.col("value") / F.nullif("_top", F.lit(0.0)) * F.lit(scale)).alias(out))
+
+
+def map_view_point(df: DataFrame, keys: Sequence[str], measure: str, lat: str, lon: str) -> DataFrame:
+    """``map_centre`` of ``map_aggregate``'s rows without the medians: which
+    places are on the map depends on whether they have a value, not on it."""
+    keys = list(keys)
+    places = df.groupBy(*keys).agg(F.avg(lat).alias("lat"), F.avg(lon).alias("lon"), F.count(measure).alias("_n"))
+    for k in keys:
+        places = places.where(F.col(k).isNotNull())
+    return map_centre(places.where(F.col("_n") > 0).select("lat", "lon").dropna(how="any").distinct())
+
+
 def map_centre(map_df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Initial view point: mean latitude and longitude of the map rows."""
     return map_df.agg(F.avg(lat).alias("lat"), F.avg(lon).alias("lon"))

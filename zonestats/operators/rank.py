@@ -100,6 +100,59 @@ def rank_by(df: DataFrame, keys: Sequence[str], value: str, fn: str = "avg",
     return res.limit(limit) if limit is not None else res
 
 
+def rank_levels(df: DataFrame, levels: Sequence[Sequence[str]], value: str, fn: str = "avg", out: str | None = None,
+                dedupe_on: Sequence[str] = (), scale: int | None = None, level_col: str = "level") -> DataFrame:
+    """``rank_by`` at several ``levels`` of one hierarchy, with one scan.
+
+    Columns: ``level_col`` (1 for the first level), every level's keys (NULL
+    where a level lacks them) and ``out``; sorted by level, then as ``rank_by``
+    sorts. The input is aggregated once to the union of the keys (for
+    ``nunique`` with the values, with ``dedupe_on`` with the entities); only
+    those rows are expanded into the grouping sets, which add up exact parts.
+    A row without a key is missing from the levels that have this key only.
+    """
+    if fn not in AGGREGATES:
+        raise ValueError(f"unknown aggregate {fn!r}; expected one of {AGGREGATES}")
+    sets = [list(keys) for keys in levels]
+    keys = list(dict.fromkeys(k for one in sets for k in one))
+    marks = [sum(1 << i for i, k in enumerate(reversed(keys)) if k not in one) for one in sets]
+    if len(set(marks)) < len(marks):
+        raise ValueError("two levels have the same keys")
+    out = out or value
+    total = exact_units(value, scale) if scale is not None else F.sum(value)
+    unit = float(10**scale) if scale is not None else 1.0
+    whole = F.sum("_total").cast("double") / F.lit(unit) if scale is not None else F.sum("_total")
+    if fn == "nunique" or dedupe_on:
+        entity = list(dedupe_on)
+        fine = df.groupBy(*keys, *entity).agg(F.max(value).alias("_v")) if entity else \
+            df.select(*keys, F.col(value).alias("_v")).distinct()
+        last = _agg_expr(fn, "_v", scale)
+    else:
+        entity = []
+        fine = df.groupBy(*keys).agg(total.alias("_total"), F.count(value).alias("_n"),
+                                     F.min(value).alias("_min"), F.max(value).alias("_max"))
+        last = {"avg": whole / F.nullif(F.sum("_n"), F.lit(0)), "mean": whole / F.nullif(F.sum("_n"), F.lit(0)),
+                "sum": F.coalesce(whole, F.lit(0).cast("double")), "count": F.sum("_n"),
+                "min": F.min("_min"), "max": F.max("_max")}[fn]
+    level = F.lit(None).cast("int")
+    for i, mark in enumerate(marks):
+        level = F.when(F.col("_mark") == mark, F.lit(i + 1)).otherwise(level)
+    fine = fine.select("*", *[F.col(e).alias(f"_e{i}") for i, e in enumerate(entity)])
+    by_entity = [f"_e{i}" for i in range(len(entity))]
+    if entity:
+        g = fine.groupingSets([[*one, *by_entity] for one in sets], *keys, *by_entity).agg(
+            F.grouping_id().alias("_id"), F.max("_v").alias("_v"))
+        g = g.withColumn("_mark", F.shiftright("_id", len(entity))).groupBy("_mark", *keys).agg(last.alias(out))
+    else:
+        g = fine.groupingSets(sets, *keys).agg(F.grouping_id().alias("_mark"), last.alias(out))
+    present = F.lit(True)
+    for i, one in enumerate(sets):
+        for k in one:
+            present = present & (F.col(k).isNotNull() | (F.col(level_col) != i + 1))
+    g = g.select(level.alias(level_col), *keys, out).where(present)
+    return g.orderBy(level_col, F.desc_nulls_last(out), *[F.asc_nulls_last(k) for k in keys])
+
+
 def top_k(df: DataFrame, keys: Sequence[str], value: str, k: int, fn: str = "sum",
           out: str | None = None, scale: int | None = None) -> DataFrame:
     return rank_by(df, keys, value, fn=fn, out=out, limit=k, scale=scale)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from zonestats.operators.rank import head_n, rank_by, share_of_total, tail_n, top_k
+from zonestats.operators.rank import head_n, rank_by, rank_levels, share_of_total, tail_n, top_k
 from zonestats.plans.registry import register, rounded
 from zonestats.functions.columns import power_factor
 from zonestats.plans.standins import VIEW_SQL, DriverTables, driver_view, services
@@ -126,6 +126,42 @@ def _rank_sum_dedup(spark, d):
     return rank_by(v, LEVEL_KEYS[2], L.population, "sum", dedupe_on=[L.town_id], scale=2)
 
 
+# All three levels at once (AG1, AG4 and the deduplicated AG2), with one scan.
+def _levels_sql(result: str) -> str:
+    def one(level: int) -> str:
+        keys = [k if k in LEVEL_KEYS[level] else f"NULL AS {k}" for k in LEVEL_KEYS[3]]
+        return (f"SELECT {level} AS level, {', '.join(keys)}, {result} FROM v "
+                f"WHERE {_not_null_sql(level)} GROUP BY {_keys_sql(level)}")
+    return " UNION ALL ".join(map(one, (1, 2, 3)))
+
+
+def _levels(spark, d, *args, **kwargs):
+    return rank_levels(driver_view(spark, d), [LEVEL_KEYS[i] for i in (1, 2, 3)], *args, **kwargs)
+
+
+register(
+    "rank_levels_mean_active",
+    f"{V} {_levels_sql(exact_sum_sql('active_energy', 2) + ' / count(active_energy) AS active_energy')}",
+)(lambda spark, d: _levels(spark, d, L.active, "avg", scale=2))
+register(
+    "rank_levels_nunique",
+    f"{V} {_levels_sql('count(DISTINCT town_name) AS n_towns')}",
+)(lambda spark, d: _levels(spark, d, L.town_name, "nunique", out="n_towns"))
+
+
+def _dedup_sql(level: int) -> str:
+    keys = [k if k in LEVEL_KEYS[level] else f"NULL AS {k}" for k in LEVEL_KEYS[3]]
+    return (f"SELECT {level} AS level, {', '.join(keys)}, coalesce({exact_sum_sql('population', 2)}, 0) AS population "
+            f"FROM (SELECT {_keys_sql(level)}, town_id, max(population) AS population FROM v "
+            f"WHERE {_not_null_sql(level)} GROUP BY {_keys_sql(level)}, town_id) GROUP BY {_keys_sql(level)}")
+
+
+register(
+    "rank_levels_population",
+    f"{V} {' UNION ALL '.join(map(_dedup_sql, (1, 2, 3)))}",
+)(lambda spark, d: _levels(spark, d, L.population, "sum", dedupe_on=[L.town_id], scale=2))
+
+
 @register(
     "share_of_total",
     f"{V}, g AS (SELECT muni_name, sum(CAST(active_energy AS DECIMAL(18, 2))) AS s FROM v "

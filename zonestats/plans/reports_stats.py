@@ -7,7 +7,7 @@ Per-town statistics run for every town at once (``events`` with
 from __future__ import annotations
 
 from zonestats.operators.dist import frequency_table, kde
-from zonestats.operators.geo import map_aggregate, map_centre
+from zonestats.operators.geo import map_aggregate, map_measures, map_view_point
 from zonestats.operators.lookup import (
     child_options,
     lookup_id,
@@ -99,7 +99,26 @@ def _map_aggregate(spark, d):
 
 @register("map_centre", f"{_MAP_SQL} SELECT avg(lat) AS lat, avg(lon) AS lon FROM m")
 def _map_centre(spark, d):
-    return map_centre(map_aggregate(driver_view(spark, d), [L.town_name], L.hours, L.lat, L.lon))
+    return map_view_point(driver_view(spark, d), [L.town_name], L.hours, L.lat, L.lon)
+
+
+MAP_MEASURES = [L.hours, L.active, L.reactive, L.power, L.population, L.need, L.services]
+
+
+def _map_measure_sql(measure: str) -> str:
+    return (f"SELECT '{measure}' AS measure, lat, lon, min(town_name) AS town_name, arg_min(value, town_name) AS value "
+            f"FROM (SELECT town_name, median({measure}) AS value, avg(lat) AS lat, avg(lon) AS lon FROM v "
+            "WHERE town_name IS NOT NULL GROUP BY town_name) "
+            "WHERE lat IS NOT NULL AND lon IS NOT NULL AND value IS NOT NULL GROUP BY lat, lon")
+
+
+@register("map_measures",
+          f"{V}, m AS ({' UNION ALL '.join(map(_map_measure_sql, MAP_MEASURES))}) "
+          "SELECT measure, town_name, lat, lon, round(value, 6) AS value, "
+          "round(value / NULLIF(max(value) OVER (PARTITION BY measure), 0) * 10000.0, 6) AS elevation_norm FROM m")
+def _map_measures(spark, d):
+    m = map_measures(driver_view(spark, d), [L.town_name], MAP_MEASURES, L.lat, L.lon)
+    return rounded(m, 6, {"lat": None, "lon": None})
 
 
 # ---- statistics per town -------------------------------------------------------
