@@ -50,12 +50,13 @@ def dim_build(df: DataFrame, cols: Sequence[str], id_col: str | None = None,
               dropna: bool = True, order_by: Sequence[str] | None = None) -> DataFrame:
     """Distinct attribute combinations, optionally without missing values,
     with an optional serial key (``id_col``) in the given order."""
-    d = df.select(*cols).distinct()
+    d = df.select(*cols)
     if dropna:
         d = d.dropna(how="any")
     if not id_col:
-        return d
-    r = _numbered(d.withColumn("_w", F.lit(1).cast("long")), order_by or list(cols), _num_partitions(df, None))
+        return d.distinct()
+    d = d.groupBy(*cols).agg(F.least(F.count(F.lit(1)), F.lit(1)).alias("_w"))
+    r = _numbered(d, order_by or list(cols), _num_partitions(df, None))
     return r.select(*cols, (F.col("_before") + 1).alias(id_col))
 
 

@@ -52,18 +52,22 @@ def _not_null(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df
 
 
-def range_parts(rows: DataFrame, order: Sequence[str], n_parts: int, out: str = "_part") -> DataFrame:
+def range_parts(rows: DataFrame, order: Sequence[str], n_parts: int, out: str = "_part",
+                weight: str | None = None) -> DataFrame:
     """Adds ``out``, 0 to ``n_parts`` - 1, growing with ``order`` (ascending,
     missing last). ``rows`` are distinct in ``order``.
 
     The cut points are one scalar subquery: an array of ``n_parts`` - 1 rows
-    from about ``SAMPLE`` times as many, whatever the size of ``rows``."""
+    from about ``SAMPLE`` times as many, whatever the size of ``rows``. With the
+    count ``weight`` of an aggregate, counting and drawing need its result, so
+    neither is pushed below it to scan its input again; its exchange serves all."""
     if n_parts == 1:
         return rows.withColumn(out, F.lit(0))
     at = F.struct(*[x for i, c in enumerate(order) for x in (F.isnull(c).alias(f"n{i}"), F.col(c).alias(f"c{i}"))])
-    total = rows.agg(F.count(F.lit(1))).scalar()
+    one = F.signum(weight) if weight else F.lit(1.0)
+    total = rows.agg(F.sum(one)).scalar()
     draw = F.shiftrightunsigned(F.xxhash64(*order), 1).cast("double")
-    drawn = rows.where(draw * total < F.lit(2.0**63 * SAMPLE * n_parts)).agg(F.array_sort(F.collect_list(at)).alias("s"))
+    drawn = rows.where(draw * total * one < F.lit(2.0**63 * SAMPLE * n_parts)).agg(F.array_sort(F.collect_list(at)).alias("s"))
     step = F.size("s") / F.lit(float(n_parts))
     cuts = drawn.select(F.transform(F.sequence(F.lit(1), F.lit(n_parts - 1)),
                                     lambda i: F.get("s", F.floor(i * step).cast("int")))).scalar()
@@ -80,7 +84,7 @@ def ranked(rows: DataFrame, keys: Sequence[str], order: Sequence[str], n_parts:
     standing for ``_w`` rows, with ``_before`` (rows of the group that come
     earlier in ``order``, missing last) and ``_n`` (rows of the group)."""
     keys, order = list(keys), list(order)
-    parts = range_parts(rows, [*keys, *order], n_parts)
+    parts = range_parts(rows, [*keys, *order], n_parts, weight="_w")
     totals = parts.groupBy("_part", *keys).agg(F.sum("_w").alias("_t"))
     group = Window.partitionBy(*keys)
     earlier = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
