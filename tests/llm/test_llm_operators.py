@@ -393,6 +393,13 @@ def test_license_scan_templates_and_variants():
     assert names(bsd.replace("copyright holder", "University").replace(": ", ":\n1. ")) == ["BSD-3-Clause"]
 
 
+def test_every_template_holds_a_cue(spark):
+    """No template, wrapped in any way, is left out by the filter before the scan."""
+    texts = [(n, "\n// ".join(textwrap.wrap(t, w))) for n, t in license_scan.TEMPLATES.items() for w in (12, 25, 70)]
+    df = spark.createDataFrame(texts, "name string, text string")
+    assert df.filter(~F.col("text").rlike(license_scan.CUE)).count() == 0
+
+
 def test_license_scan_spdx_tags():
     tag = "SPDX-License-Identifier: "
     assert names("/* " + tag + "GPL-2.0-only WITH Linux-syscall-note */") == ["GPL-2.0-only WITH Linux-syscall-note-tag"]
