@@ -68,3 +68,22 @@ def test_map_measures_equal_the_single_maps(rows):
 def test_map_measures_of_nothing(rows):
     assert map_measures(rows.limit(0), ["t"], ["v"], "lat", "lon").count() == 0
     assert tuple(map_view_point(rows.limit(0), ["t"], "v", "lat", "lon").first()) == (None, None)
+
+
+def test_maps_read_their_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.range(0, 1000, 1, 4).selectExpr("cast(id % 50 as string) AS t", "IF(id % 7 = 0, NULL, cast(id % 90 as double)) AS v",
+                                                 "cast(id % 50 as double) AS lat", "cast(-(id % 50) as double) AS lon")
+    counted = rows.mapInArrow(count, rows.schema)
+    got = map_aggregate(counted, ["t"], "v", "lat", "lon").collect()
+    assert len(got) == 50 and seen.value == 1000
+    want = map_aggregate(rows.coalesce(1), ["t"], "v", "lat", "lon").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    seen.value = 0
+    assert map_measures(counted, ["t"], ["v"], "lat", "lon").count() == 50 and seen.value == 1000

@@ -11,6 +11,18 @@ from zonestats.operators.clean import distinct_first
 from zonestats.operators.order_stats import exact_median
 
 
+def _collapsed(src: DataFrame, group: Sequence[str], value: str, lat: str, lon: str) -> DataFrame:
+    """(group, value) rows with counts and coordinate sums. The filter holds for
+    every row, but needs every aggregate, and so does the value: whatever reads
+    these rows reads the same exchange, with no column or filter pushed below it."""
+    c = src.groupBy(*group, value).agg(
+        F.count(F.lit(1)).alias("_w"),
+        F.sum(lat).alias("_slat"), F.count(lat).alias("_nlat"),
+        F.sum(lon).alias("_slon"), F.count(lon).alias("_nlon"))
+    whole = (F.col("_w") > 0) & (F.isnull("_slat") == (F.col("_nlat") == 0)) & (F.isnull("_slon") == (F.col("_nlon") == 0))
+    return c.where(whole).withColumn(value, F.when(F.col("_w") > 0, F.col(value)))
+
+
 def map_aggregate(df: DataFrame, keys: Sequence[str], measure: str, lat: str, lon: str,
                   scale: float = 10000.0, out: str = "elevation_norm",
                   num_partitions: int | None = None) -> DataFrame:
@@ -20,26 +32,21 @@ def map_aggregate(df: DataFrame, keys: Sequence[str], measure: str, lat: str, lo
 
     The input is read once: it is collapsed to (place, value) rows with
     counts and coordinate sums, from which come both the skew-safe exact
-    median and the mean position; the maximum is a scalar subquery (no
-    join, no global window).
+    median and the mean position; the maximum is a scalar subquery over whole
+    map rows, which shares their exchange (no join, no global window).
     """
     keys = list(keys)
     src = df.select(*keys, measure, lat, lon)
     for k in keys:
         src = src.where(F.col(k).isNotNull())
-    # one pass over the input: collapse to (place, value) with the count and
-    # the coordinate sums; the median and the mean position both use it
-    c = src.groupBy(*keys, measure).agg(
-        F.count(F.lit(1)).alias("_w"),
-        F.sum(lat).alias("_slat"), F.count(lat).alias("_nlat"),
-        F.sum(lon).alias("_slon"), F.count(lon).alias("_nlon"))
+    c = _collapsed(src, keys, measure, lat, lon)
     med = exact_median(c, measure, keys, name=measure, num_partitions=num_partitions, weight="_w")
     pos = c.groupBy(*keys).agg((F.sum("_slat") / F.sum("_nlat")).alias("lat"),
                                (F.sum("_slon") / F.sum("_nlon")).alias("lon"))
     m = pos.join(med, keys, "left")
     m = m.dropna(how="any", subset=["lat", "lon", measure])
     m = distinct_first(m, ["lat", "lon"], keys)
-    top = m.select(F.max(measure)).scalar()
+    top = m.select(F.max(F.struct(measure, *[x for x in m.columns if x != measure])).getField(measure)).scalar()
     return m.withColumn(out, F.col(measure) / F.nullif(top, F.lit(0.0)) * F.lit(scale))
 
 
@@ -55,15 +62,14 @@ def map_measures(df: DataFrame, keys: Sequence[str], measures: Sequence[str], la
     for k in keys:
         src = src.where(F.col(k).isNotNull())
     group = ["measure", *keys]
-    c = src.select("_m.measure", *keys, "_m.value", "_lat", "_lon").groupBy(*group, "value").agg(
-        F.count(F.lit(1)).alias("_w"), F.sum("_lat").alias("_slat"), F.count("_lat").alias("_nlat"),
-        F.sum("_lon").alias("_slon"), F.count("_lon").alias("_nlon"))
+    c = _collapsed(src.select("_m.measure", *keys, "_m.value", "_lat", "_lon"), group, "value", "_lat", "_lon")
     med = exact_median(c, "value", group, name="value", num_partitions=num_partitions, weight="_w")
     pos = c.groupBy(*group).agg((F.sum("_slat") / F.nullif(F.sum("_nlat"), F.lit(0))).alias("lat"),
                                 (F.sum("_slon") / F.nullif(F.sum("_nlon"), F.lit(0))).alias("lon"))
     m = pos.join(med, group).dropna(how="any", subset=["lat", "lon", "value"])
     m = distinct_first(m, ["measure", "lat", "lon"], keys)
-    top = m.groupBy(F.col("measure").alias("_of")).agg(F.max("value").alias("_top"))
+    top = m.groupBy(F.col("measure").alias("_of")).agg(
+        F.max(F.struct("value", "lat", "lon", *keys)).getField("value").alias("_top"))
     # one row a measure: a proven bound
     m = m.join(F.broadcast(top), F.col("measure") == F.col("_of"))
     return m.select(*group, "lat", "lon", "value", (F.col("value") / F.nullif("_top", F.lit(0.0)) * F.lit(scale)).alias(out))
