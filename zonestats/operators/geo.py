@@ -4,23 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonestats.operators.clean import distinct_first
 from zonestats.operators.order_stats import exact_median
 
+PLACE_ROWS = 50_000  # rows of a place whose values are sorted as one array
+LARGE_PLACES = 10_000  # places ranked by parts instead, at most
+
+
+def _sums(lat: str, lon: str) -> list[Column]:
+    return [F.count(F.lit(1)).alias("_w"),
+            F.sum(lat).alias("_slat"), F.count(lat).alias("_nlat"),
+            F.sum(lon).alias("_slon"), F.count(lon).alias("_nlon")]
+
+
+def _whole() -> Column:
+    return (F.col("_w") > 0) & (F.isnull("_slat") == (F.col("_nlat") == 0)) & (F.isnull("_slon") == (F.col("_nlon") == 0))
+
 
 def _collapsed(src: DataFrame, group: Sequence[str], value: str, lat: str, lon: str) -> DataFrame:
     """(group, value) rows with counts and coordinate sums. The filter holds for
     every row, but needs every aggregate, and so does the value: whatever reads
     these rows reads the same exchange, with no column or filter pushed below it."""
-    c = src.groupBy(*group, value).agg(
-        F.count(F.lit(1)).alias("_w"),
-        F.sum(lat).alias("_slat"), F.count(lat).alias("_nlat"),
-        F.sum(lon).alias("_slon"), F.count(lon).alias("_nlon"))
-    whole = (F.col("_w") > 0) & (F.isnull("_slat") == (F.col("_nlat") == 0)) & (F.isnull("_slon") == (F.col("_nlon") == 0))
-    return c.where(whole).withColumn(value, F.when(F.col("_w") > 0, F.col(value)))
+    c = src.groupBy(*group, value).agg(*_sums(lat, lon))
+    return c.where(_whole()).withColumn(value, F.when(F.col("_w") > 0, F.col(value)))
 
 
 def map_aggregate(df: DataFrame, keys: Sequence[str], measure: str, lat: str, lon: str,
@@ -51,22 +60,45 @@ def map_aggregate(df: DataFrame, keys: Sequence[str], measure: str, lat: str, lo
 
 
 def map_measures(df: DataFrame, keys: Sequence[str], measures: Sequence[str], lat: str, lon: str,
-                 scale: float = 10000.0, out: str = "elevation_norm", num_partitions: int | None = None) -> DataFrame:
+                 scale: float = 10000.0, out: str = "elevation_norm", num_partitions: int | None = None,
+                 place_rows: int = PLACE_ROWS) -> DataFrame:
     """``map_aggregate`` of several measures with one read of the input: rows
     (``measure``, keys, ``lat``, ``lon``, ``value``, ``out``), each measure as
-    its own map (its own missing places, shared locations and maximum)."""
+    its own map (its own missing places, shared locations and maximum).
+
+    The rows are dealt evenly once, all measures side by side; every step reads
+    that exchange. A place of at most ``place_rows`` rows (or a ``LARGE_PLACES``-th
+    of all rows, if that is more) has its values sorted as one array a measure.
+    Larger places, ``LARGE_PLACES`` at most, are ranked by parts instead
+    (``exact_median``), so no place is one task's work, however large."""
     keys = list(keys)
-    named = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value"))
-                                for m in measures])).alias("_m")
-    src = df.select(*keys, F.col(lat).alias("_lat"), F.col(lon).alias("_lon"), named)
+    group, values = ["measure", *keys], [f"_v{i}" for i in range(len(measures))]
+    src = df.select(*keys, F.col(lat).alias("_lat"), F.col(lon).alias("_lon"),
+                    *[F.col(m).cast("double").alias(v) for m, v in zip(measures, values)])
     for k in keys:
         src = src.where(F.col(k).isNotNull())
-    group = ["measure", *keys]
-    c = _collapsed(src.select("_m.measure", *keys, "_m.value", "_lat", "_lon"), group, "value", "_lat", "_lon")
-    med = exact_median(c, "value", group, name="value", num_partitions=num_partitions, weight="_w")
-    pos = c.groupBy(*group).agg((F.sum("_slat") / F.nullif(F.sum("_nlat"), F.lit(0))).alias("lat"),
-                                (F.sum("_slon") / F.nullif(F.sum("_nlon"), F.lit(0))).alias("lon"))
-    m = pos.join(med, group).dropna(how="any", subset=["lat", "lon", "value"])
+    # the deal needs every column, so no reader prunes the exchange; equal rows of several tasks part
+    rows = src.withColumn("_from", F.spark_partition_id())
+    rows = rows.repartition(*rows.columns)
+
+    by_measure = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(v).alias("value"))
+                                     for m, v in zip(measures, values)])).alias("_m")
+    placed = rows.groupBy(*keys).agg(*_sums("_lat", "_lon")).where(_whole())  # one exchange, see _collapsed
+    most = F.greatest(F.lit(float(place_rows)), placed.agg(F.sum("_w") / F.lit(float(LARGE_PLACES))).scalar())
+    large = placed.where(F.col("_w") > most)  # fewer than LARGE_PLACES: a proven bound
+    # not an anti join, which would be pushed below the exchange
+    small = rows.join(F.broadcast(large.select(*keys, F.lit(True).alias("_large"))), keys, "left").where(F.isnull("_large"))
+    lists = small.groupBy(*keys).agg(*_sums("_lat", "_lon"), *[F.sort_array(F.collect_list(v)).alias(v) for v in values])
+    # without values both places are outside: missing; + 0.0, as -0.0 is grouped as 0.0
+    middle = [((F.get(v, F.floor((F.size(v) - 1) / 2).cast("int")) + F.get(v, F.floor(F.size(v) / 2).cast("int")))
+               / F.lit(2.0) + F.lit(0.0)).alias(v) for v in values]
+    mean = [(F.col(f"_s{x}") / F.nullif(F.col(f"_n{x}"), F.lit(0))).alias(x) for x in ("lat", "lon")]
+    few = lists.select(*keys, *mean, *middle).select(*keys, "lat", "lon", by_measure) \
+        .select("_m.measure", *keys, "lat", "lon", "_m.value")
+    split = rows.join(F.broadcast(large.select(*keys)), keys).select(*keys, by_measure)
+    med = exact_median(split.select("_m.measure", *keys, "_m.value"), "value", group, name="value", num_partitions=num_partitions)
+    many = med.join(F.broadcast(large.select(*keys, *mean)), keys).select(*group, "lat", "lon", "value")
+    m = few.unionByName(many).dropna(how="any", subset=["lat", "lon", "value"])
     m = distinct_first(m, ["measure", "lat", "lon"], keys)
     top = m.groupBy(F.col("measure").alias("_of")).agg(
         F.max(F.struct("value", "lat", "lon", *keys)).getField("value").alias("_top"))
